@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from .common import append_columns, as_text
 
 #: Encoded misses that a worker remembers; beyond it starts anew.
-MEMO = 400_000
+MEMO = 600_000
 _GOLD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -31,28 +31,30 @@ class PerfectHash:
             h = xxhash.xxh64_intdigest(k)
             groups[h % self.buckets].append(h)
         self.shift = np.zeros(self.buckets, np.uint64)
-        taken = bytearray(self.n)
+        free = np.ones(self.n, bool)
         for b in sorted(range(self.buckets), key=lambda i: -len(groups[i])):
-            d = 0
-            while groups[b]:
-                slots = {self._slot(h, d) for h in groups[b]}
-                if len(slots) == len(groups[b]) and not any(taken[s] for s in slots):
-                    for s in slots:
-                        taken[s] = 1
-                    self.shift[b] = d
+            hashes, d, step = np.array(groups[b], np.uint64), 0, 16
+            while len(hashes):
+                slots = self._slot(hashes, np.arange(d, d + step, dtype=np.uint64)[:, None])
+                good = free[slots].all(axis=1)
+                if len(hashes) > 1:
+                    ordered = np.sort(slots, axis=1)
+                    good &= (ordered[:, 1:] != ordered[:, :-1]).all(axis=1)
+                if good.any():
+                    self.shift[b] = d + int(good.argmax())
+                    free[slots[good.argmax()]] = False
                     break
-                d += 1
+                d, step = d + step, min(4 * step, 1 << 14)
 
-    def _slot(self, h: int, d: int) -> int:
-        x = (h ^ (d * _GOLD & _MASK)) * 0xD6E8FEB86659FD93 & _MASK
-        return (x >> 32) * self.n >> 32
+    def _slot(self, h: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            x = (h ^ (shift * np.uint64(_GOLD))) * np.uint64(0xD6E8FEB86659FD93)
+        return ((x >> np.uint64(32)) * np.uint64(self.n) >> np.uint64(32)).astype(np.int64)
 
     def slots(self, keys: list[bytes]) -> np.ndarray:
         """The slot of each key; keys outside the set get some slot, so compare what lies there."""
         h = np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64, len(keys))
-        with np.errstate(over="ignore"):
-            x = (h ^ (self.shift[h % np.uint64(self.buckets)] * np.uint64(_GOLD))) * np.uint64(0xD6E8FEB86659FD93)
-        return ((x >> np.uint64(32)) * np.uint64(self.n) >> np.uint64(32)).astype(np.int64)
+        return self._slot(h, self.shift[h % np.uint64(self.buckets)])
 
 
 class Codec:
@@ -67,6 +69,9 @@ class Codec:
         self.slot_id = np.zeros(len(tokens), np.int32)
         for s, t in zip(self.hash.slots(tokens).tolist(), tokens):
             self.slot_token[s], self.slot_id[s] = t, ranks[t]
+        #: The rank of what two neighbouring parts make, by both their ids, for each way to cut a token into two tokens.
+        self.pairs = {ranks[t[:i]] << 20 | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.byte_id = [ranks[bytes([b])] for b in range(256)]
         by_id = [b""] * (max(ranks.values()) + 1)
         for t, i in ranks.items():
             by_id[i] = t
@@ -76,31 +81,37 @@ class Codec:
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a piece that is no token: the pair of lowest rank, leftmost on ties, is merged until none is left."""
-        ranks, n = self.ranks, len(piece)
-        part: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, piece[i : i + 2]) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+        pairs, n = self.pairs, len(piece)
+        ids = [self.byte_id[x] for x in piece]
+        due = [pairs.get(a << 20 | b, -1) for a, b in zip(ids, ids[1:])]  # the rank that each part and the next have
+        due.append(-1)
+        heap = [r << 32 | i for i, r in enumerate(due) if r >= 0]
         heapq.heapify(heap)
+        after, before, gone = list(range(1, n + 1)), list(range(-1, n - 1)), []
         while heap:
-            _, i, whole = heapq.heappop(heap)
-            j = after[i]
-            if part[i] is None or j >= n or len(part[i]) + len(part[j]) != len(whole):
+            first = heapq.heappop(heap)
+            r, i = first >> 32, first & 0xFFFFFFFF
+            if due[i] != r:
                 continue  # one of the two has been merged since
-            part[i], part[j] = whole, None
+            j = after[i]
             k = after[i] = after[j]
+            ids[i], due[j] = r, -1
+            gone.append(j)
+            due[i] = -1
             if k < n:
                 before[k] = i
-                pair = whole + part[k]
-                if (r := ranks.get(pair)) is not None:
-                    heapq.heappush(heap, (r, i, pair))
-            h = before[i]
-            if h >= 0:
-                pair = part[h] + whole
-                if (r := ranks.get(pair)) is not None:
-                    heapq.heappush(heap, (r, h, pair))
-        return [ranks[p] for p in part if p is not None]
-
-    def encode(self, texts: list[str], memo: dict[str, list[int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+                if (s := pairs.get(r << 20 | ids[k], -1)) >= 0:
+                    due[i] = s
+                    heapq.heappush(heap, s << 32 | i)
+            if (h := before[i]) >= 0:
+                due[h] = s = pairs.get(ids[h] << 20 | r, -1)
+                if s >= 0:
+                    heapq.heappush(heap, s << 32 | h)
+        for j in sorted(gone, reverse=True):
+            del ids[j]
+        return ids
+
+    def encode(self, texts: list[str], memo: dict[str, tuple[int, ...]] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one text after the other, and the number of ids of each text."""
         memo = {} if memo is None else memo
         split, codes, seen, counts = regex.compile(self.pattern).findall, [], {}, []
@@ -121,7 +132,7 @@ class Codec:
             if got is None:
                 if len(memo) >= MEMO:
                     memo.clear()
-                got = memo[piece] = self.merge(key)
+                got = memo[piece] = tuple(self.merge(key))  # no lists, which the garbage collector would visit
             out += got
             lengths[k] = len(got)
         flat, codes = np.array(out, np.int32), np.array(codes, np.int64)
@@ -161,7 +172,7 @@ def load_codec(path: str, pattern: str) -> Codec:
     return Codec(ranks, pattern)
 
 
-_memo: dict[str, dict[str, list[int]]] = {}
+_memo: dict[str, dict[str, tuple[int, ...]]] = {}
 
 
 def _offsets(counts: np.ndarray) -> pa.Array:
