@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, pii, quality, simhash_vp
+from . import bpe, langid, merkle, pii, quality, secret_scan, simhash_vp
 from .common import span_list, table
 
 #: Rank file of the tokenizer; None takes the installed public one.
@@ -18,6 +18,18 @@ def documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", *more)
 
 
+def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.compare_edits(documents(spark, sf_dir))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths, _, _ = secret_scan.scan_versions(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    counts = [secret_scan.count_kind(k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return paths.select("doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"), span_list("spans").alias("spans"))
+
+
 def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_vp.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -58,6 +70,6 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(~learn, F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_simhash_near_duplicates, op7_language_identification, op8_personal_data, op9_byte_bpe, op10_compression_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_merkle_fingerprints, op3_secret_ledger, op6_simhash_near_duplicates, op7_language_identification, op8_personal_data, op9_byte_bpe, op10_compression_quality)}
 
 ORACLES: dict[str, str] = {}
