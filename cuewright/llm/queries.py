@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, merkle, pii, quality, secret_scan, simhash_vp
+from . import bpe, langid, merkle, pii, quality, revisits, secret_scan, simhash_vp
 from .common import span_list, table
 
 #: Rank file of the tokenizer; None takes the installed public one.
@@ -30,6 +30,12 @@ def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.select("doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"), span_list("spans").alias("spans"))
 
 
+def op5_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve(revisits.captures_of_pages(table(spark, sf_dir, "pages")))
+    headers = F.concat_ws("; ", F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))))
+    return found.select(((F.col("capture_id") - 1) / 2).cast("long").alias("page_id"), "canonical_url", (F.col("refers_to") / 2).cast("long").alias("refers_to_page"), "verdict", headers.alias("headers"))
+
+
 def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_vp.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -70,6 +76,53 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(~learn, F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_merkle_fingerprints, op3_secret_ledger, op6_simhash_near_duplicates, op7_language_identification, op8_personal_data, op9_byte_bpe, op10_compression_quality)}
-
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_merkle_fingerprints, op3_secret_ledger, op5_revisit_resolution, op6_simhash_near_duplicates, op7_language_identification, op8_personal_data, op9_byte_bpe, op10_compression_quality)}
+
+#: crc32 has no counterpart in DuckDB, so the oracle of op5 computes it bit by bit from the polynomial.
+_CRC32 = """list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(page_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+  lambda h, b: list_reduce(list_prepend(xor(h, b), [0::UBIGINT for i in range(8)]), lambda c, i: xor(c >> 1, (c & 1) * 3988292384::UBIGINT)))"""
+
+_CUTS = " UNION ALL ".join(
+    f"SELECT doc_id, {i} AS rule, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(text, '{p}', 0) AS hits, regexp_extract_all(text, '{p}', {r.group}) AS held, string_split_regex(text, '{p}') AS gaps FROM d"
+    for i, r in enumerate(secret_scan.RULES)
+    for p in [r.pattern.replace("'", "''")]
+)
+
+ORACLES: dict[str, str] = {
+    "op2_merkle_fingerprints": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS nxt FROM d),
+e AS (SELECT doc_id, text, nxt, length(text) AS n_chars, substr(text, 1, length(text) - length(text) // 2) || substr(nxt, 1, length(text) // 2) AS edited FROM n),
+v AS (SELECT doc_id, n_chars, edited, unnest([{'k': 0, 't': text}, {'k': 1, 't': edited}, {'k': 2, 't': nxt}]) AS s FROM e),
+f AS (SELECT doc_id, n_chars, edited, s.k AS k,
+  sha256(list_aggregate(list_concat([''], list_transform(list_filter(string_split(regexp_replace(s.t, '(\n{2,})', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''),
+    lambda x: sha256(list_aggregate(list_transform(list_filter(string_split(regexp_replace(x, '(\n)', '\1' || chr(1), 'g'), chr(1)), lambda p: p <> ''), lambda p: sha256(p)), 'string_agg', '')))), 'string_agg', '')) AS root,
+  list_transform(list_filter(string_split(regexp_replace(s.t, '([.!?;:,|]+[ \t]+|\n+)', '\1' || chr(1), 'g'), chr(1)), lambda c: c <> ''), lambda c: substr(md5(c), 1, 8)) AS c FROM v),
+g AS (SELECT a.doc_id, a.n_chars, a.edited, a.root AS r0, b.root AS r1, z.root AS r2, a.c AS c0, b.c AS c1, z.c AS c2
+  FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.k = 1 JOIN f z ON a.doc_id = z.doc_id AND z.k = 2 WHERE a.k = 0),
+h AS (SELECT *, len(list_distinct(c0)) AS n0, len(list_distinct(c1)) AS n1, len(list_distinct(c2)) AS n2, len(list_intersect(c0, c1)) AS m1, len(list_intersect(c0, c2)) AS m2 FROM g)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, r0 || ':' || coalesce(list_aggregate(c0, 'string_agg', ''), '') AS fingerprint, r1 || ':' || coalesce(list_aggregate(c1, 'string_agg', ''), '') AS edited_fingerprint,
+  CASE WHEN r0 = r1 THEN 1.0::DOUBLE WHEN n0 + n1 = 0 THEN 0.0 ELSE 2.0::DOUBLE * m1 / (n0 + n1) END AS near_edited,
+  CASE WHEN r0 = r2 THEN 1.0::DOUBLE WHEN n0 + n2 = 0 THEN 0.0 ELSE 2.0::DOUBLE * m2 / (n0 + n2) END AS near_next FROM h""",
+    "op3_secret_ledger": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+cuts AS ({_CUTS}),
+m AS (SELECT doc_id, rule, kind, least, unnest(range(1, len(hits) + 1)) AS i, hits, held, gaps FROM cuts WHERE len(hits) > 0),
+p AS (SELECT doc_id, rule, kind, least, length(hits[i]) AS hit, length(held[i]) AS held, sum(length(gaps[i]) + length(hits[i])) OVER (PARTITION BY doc_id, rule ORDER BY i) AS stop FROM m),
+f AS (SELECT doc_id, rule, kind, (stop - hit)::BIGINT AS start, stop::BIGINT AS stop FROM p WHERE held >= least),
+s AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rule) FILTER (rule < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rule) AS spans FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN s ON d.doc_id IS NOT DISTINCT FROM s.doc_id""",
+    "op5_revisit_resolution": rf"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, {_CRC32} AS raw, regexp_replace(regexp_replace(trim(url), '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '#.*$', '') AS rest FROM pages),
+q AS (SELECT page_id, xor(raw, 4294967295::UBIGINT)::BIGINT AS crc, md5(html) AS etag, strlen(html) AS size, rest,
+  regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), '^(www[0-9]*|m)\.', ''), ':(80|443)$', '') AS host, regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+  list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[a-z]+|ref|fbclid|gclid|sessionid|phpsessid|jsessionid)(=|$)'))) AS query FROM p),
+u AS (SELECT *, host || path || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END AS canonical_url, 'day-' || (page_id // 7) AS modified FROM q),
+r AS (SELECT a.page_id, a.canonical_url, a.crc, CASE WHEN a.crc % 7 = 0 THEN NULL WHEN a.crc % 5 = 0 THEN md5(a.etag) ELSE a.etag END AS etag, CASE WHEN a.crc % 7 = 0 THEN NULL ELSE a.modified END AS modified,
+  max(b.page_id) AS refers_to_page FROM u a LEFT JOIN u b ON a.canonical_url = b.canonical_url AND 2 * b.page_id < 2 * (a.page_id + 1 + a.crc % 50) + 1 GROUP BY ALL),
+v AS (SELECT r.*, b.size, CASE WHEN b.page_id IS NULL THEN 'missing' WHEN coalesce(r.etag <> b.etag, false) OR coalesce(r.modified <> b.modified, false) THEN 'changed' WHEN r.etag IS NULL AND r.modified IS NULL THEN 'unproven' ELSE 'match' END AS verdict
+  FROM r LEFT JOIN u b ON r.refers_to_page = b.page_id)
+SELECT page_id, canonical_url, refers_to_page, verdict, 'cache-control: max-age=300; content-length: ' || CASE WHEN verdict = 'match' THEN size ELSE 0 END || CASE WHEN verdict = 'match' THEN '; content-type: text/html' ELSE '' END || '; date: visit-' || page_id AS headers FROM v""",
+}
