@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, merkle, pii, quality, revisits, secret_scan, simhash_vp
+from . import bpe, decontaminate, langid, merkle, pii, quality, revisits, secret_scan, simhash_vp
 from .common import span_list, table
 
 #: Rank file of the tokenizer; None takes the installed public one.
@@ -30,6 +30,12 @@ def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.select("doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"), span_list("spans").alias("spans"))
 
 
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each pair of a document and a test item that it holds."""
+    found = decontaminate.find_leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op5_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = revisits.resolve(revisits.captures_of_pages(table(spark, sf_dir, "pages")))
     headers = F.concat_ws("; ", F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))))
@@ -76,7 +82,7 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(~learn, F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_merkle_fingerprints, op3_secret_ledger, op5_revisit_resolution, op6_simhash_near_duplicates, op7_language_identification, op8_personal_data, op9_byte_bpe, op10_compression_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_merkle_fingerprints, op3_secret_ledger, op4_benchmark_leaks, op5_revisit_resolution, op6_simhash_near_duplicates, op7_language_identification, op8_personal_data, op9_byte_bpe, op10_compression_quality)}
 
 #: crc32 has no counterpart in DuckDB, so the oracle of op5 computes it bit by bit from the polynomial.
 _CRC32 = """list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(page_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
