@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -52,6 +53,28 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def bucketed(df: DataFrame, column: str, *order: str, name: str = "table") -> DataFrame:
+    """Write df to a warehouse table in buckets of `column`, sorted by `order`; joins on it then need no shuffle of df."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table_name = f"cuewright_{name}_{uuid.uuid4().hex}"
+    out = df.repartition(buckets, column).write.format("parquet").option("compression", "zstd").bucketBy(buckets, column)
+    (out.sortBy(*order) if order else out).saveAsTable(table_name)
+    kept = spark.table(table_name)
+    kept._cuewright_table = table_name
+    return kept
+
+
+def drop_table(df: DataFrame) -> None:
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._cuewright_table}")
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now; else they stay until the driver happens to run short of memory."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of a batch of about SLICE_BYTES of text each, with their texts as bytes (null: empty)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

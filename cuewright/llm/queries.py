@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, merkle, pii, quality, revisits, secret_scan, simhash_vp
+from . import bpe, decontaminate, langid, merkle, pii, quality, revisits, secret_scan, simhash_vp, suffix_index
 from .common import span_list, table
 
 #: Rank file of the tokenizer; None takes the installed public one.
@@ -18,6 +18,11 @@ def documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", *more)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return suffix_index.remove_repeats(documents(spark, sf_dir), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = merkle.compare_edits(documents(spark, sf_dir))
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
@@ -82,7 +87,7 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(~learn, F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_merkle_fingerprints, op3_secret_ledger, op4_benchmark_leaks, op5_revisit_resolution, op6_simhash_near_duplicates, op7_language_identification, op8_personal_data, op9_byte_bpe, op10_compression_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_merkle_fingerprints, op3_secret_ledger, op4_benchmark_leaks, op5_revisit_resolution, op6_simhash_near_duplicates, op7_language_identification, op8_personal_data, op9_byte_bpe, op10_compression_quality)}
 
 #: crc32 has no counterpart in DuckDB, so the oracle of op5 computes it bit by bit from the polynomial.
 _CRC32 = """list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(page_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),

@@ -1,4 +1,4 @@
-"""Sampled suffixes of byte strings, and hashes of all their windows, in vectorised form.
+"""Sampled suffixes of byte strings in vectorised form: what the suffix arrays of suffix_index.py hold.
 
 A window of `WINDOW` bytes is told by a suffix within it: the one whose first `PREFIX` bytes hash lowest, leftmost
 on ties. The choice depends on the window's bytes alone, so equal windows choose alike wherever they stand, and
@@ -41,7 +41,7 @@ def runs_hash(steps: dict[int, np.ndarray], length: int, seed: int) -> np.ndarra
     return out
 
 
-def window_hashes(raw: np.ndarray, seed: int) -> np.ndarray:
+def window_hashes(raw: np.ndarray, seed: int = 7) -> np.ndarray:
     return runs_hash(ladder(raw, seed, 128), WINDOW, seed)
 
 
