@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -166,6 +166,17 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS, blocks: int | None
     return tiled.groupBy("shard", "i", "j").applyInPandas(compare, "a long, b long")
 
 
+def _grouped(df: DataFrame, id_col: str, text_col: str, radius: int, width: int, blocks: int | None, *more: Column) -> DataFrame:
+    """(id, fp, *more, root, component) for each row; root is the component's smallest fingerprint."""
+    prints = fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *more), "text", width).drop("text")
+    prints = materialize(prints, "prints")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    roots = connected_components(links(distinct, distinct.count(), radius, blocks))
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "root", "component")
+    return prints.join(named, "fp")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = SHINGLE_WORDS, blocks: int | None = None) -> DataFrame:
     """(id_col, fp, component): component is the smallest id that can be reached over links of at most radius bits.
 
@@ -173,9 +184,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     other. Repeated ids are kept as they are; null ids get a component but never name one, unless all ids of a
     component are null. Other columns of df are not looked at. An empty table gives an empty result.
     """
-    prints = materialize(fingerprints(df.select(id_col, text_col), text_col, width).select(F.col(id_col).alias("id"), "fp"), "prints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = connected_components(links(distinct, distinct.count(), radius, blocks))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component")
+    return _grouped(df, id_col, text_col, radius, width, blocks).select(F.col("id").alias(id_col), "fp", "component")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = SHINGLE_WORDS, blocks: int | None = None) -> DataFrame:
+    """The rows of df without near duplicates: of each component the row of the smallest id (null ids last, then by text digest).
+
+    All columns stay. Rows that agree in id and text are one row.
+    """
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    found = _grouped(df, id_col, text_col, radius, width, blocks, digest.alias("digest"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("s")).select(F.col("s.id").alias("_id"), F.col("s.digest").alias("_digest"))
+    marked = df.withColumn("_of", digest)
+    kept = marked.join(first, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_digest")), "left_semi")
+    return kept.dropDuplicates([id_col, "_of"]).select(*df.columns)
