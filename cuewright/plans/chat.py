@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import answers as ans
 from ..operators import embed
+from ..shared import materialize
 from ..sources.settings import Settings
 from ..sources.store import Store
 from .retrieve import retrieve
@@ -38,6 +39,7 @@ class ChatSession:
         passages = chunks.select(F.col("video_id").alias("scope"), F.col("chunk_id").alias("passage_id"), "text")
         vectors = self.store.embeddings(s.packing.fingerprint(), embed.model_id(s.embedder, s.dim)).filter(F.col("video_id") == self.video_id).select(F.col("chunk_id").alias("passage_id"), "vector")
         hits = retrieve(s.retriever, passages, spark.createDataFrame([(0, search)], "query_id long, text string"), s, vectors)
+        hits = materialize(hits)
         full = hits.withColumnRenamed("query_id", "question_id").join(chunks.select(F.col("chunk_id").alias("passage_id"), "video_id", "start_s", "end_s", "text"), "passage_id")
         told, citations, _ = ans.answer(asked.select("question_id", "text"), full, self.load, s.min_score, s.require_citations, s.max_context_chars)
         row, cited = told.first(), [r.asDict() for r in citations.orderBy("place").collect()]

@@ -13,6 +13,7 @@ from ..operators.calibrate import threshold_sweep
 from ..operators.citations import context, within_budget
 from ..operators.metrics import citation_scores, retrieval_scores
 from ..operators.passages import Packing, pack
+from ..shared import materialize
 from ..sources.settings import Settings
 from .retrieve import retrieve
 
@@ -35,7 +36,7 @@ def evaluate(name: str, cases: DataFrame, passages: DataFrame, settings: Setting
     began = time.monotonic()
     numbered = cases.withColumn("query_id", F.xxhash64("case_id"))
     hits = _located(retrieve(name, passages, numbered.select("query_id", F.col("question").alias("text")), settings, vectors), passages)
-    hits = hits.join(numbered.select("query_id", "case_id"), "query_id")
+    hits = materialize(hits.join(numbered.select("query_id", "case_id"), "query_id"))
     spans, k = case_spans(cases), settings.top_k
     top = hits.groupBy("case_id").agg(F.max("confidence").alias("top_confidence"))
     base = cases.select("case_id", "answerable", "tags", "followup_to").join(top, "case_id", "left").withColumn("top_confidence", F.coalesce("top_confidence", F.lit(0.0)))

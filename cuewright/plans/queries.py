@@ -13,7 +13,8 @@ from ..functions import tokens as tk
 from ..operators import answers, calibrate, cases, citations, cues, dense, embed, fusion, lexical, metrics, passages, rerank, timeline
 from ..sources import captions, reports
 from ..sources.settings import Settings
-from ..sources.store import Store, scratch_folder
+from ..shared import scratch_folder
+from ..sources.store import Store
 from ..streaming import cues as stream
 from . import evaluate, index
 from . import fixtures as fx

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = 1
-#: Parts of each table; a replacement rewrites the parts of its videos only.
+#: Parts of each table of a new cache; a replacement rewrites the parts of its videos only.
 PARTS = 32
 SCHEMAS = {
     "videos": "video_id string, title string, channel string, duration_s double, language string, transcript_kind string, n_segments int, fetched_at timestamp",
@@ -24,29 +23,18 @@ SCHEMAS = {
 }
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; on one machine without it a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 class Store:
     """Tables of SCHEMAS below a folder. Each is keyed by video; everything of a video can be replaced or deleted at once."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, parts: int = PARTS) -> None:
+        self.spark, self.folder, self.parts = spark, folder, parts
         path = self._path("_version")
         if self._exists(path):
-            held = spark.read.parquet(path).first()[0]
+            held, self.parts = spark.read.parquet(path).select("version", "parts").first()
             if held != VERSION:
                 raise ValueError(f"the cache has version {held}; this code needs {VERSION}")
         else:
-            spark.createDataFrame([(VERSION,)], "version int").write.parquet(path)
+            spark.createDataFrame([(VERSION, parts)], "version int, parts int").write.parquet(path)
 
     def _path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -60,7 +48,7 @@ class Store:
         return fs.exists(p)
 
     def _part(self):
-        return F.pmod(F.xxhash64(F.col("video_id").cast("string")), F.lit(PARTS)).cast("int")
+        return F.pmod(F.xxhash64(F.col("video_id").cast("string")), F.lit(self.parts)).cast("int")
 
     def read(self, name: str, videos: list[str] | None = None) -> DataFrame:
         """A table; with a few videos named, only their parts are listed and read."""
@@ -86,7 +74,7 @@ class Store:
         What stays of the parts concerned is staged in the folder first, then the parts are deleted and written
         again, so that a run that broke off leaves the staged rows to write.
         """
-        parts = sorted(r[0] for r in keys.select(self._part()).distinct().collect())  # at most PARTS numbers
+        parts = sorted(r[0] for r in keys.select(self._part()).distinct().collect())  # at most as many numbers as there are parts
         path, staged = self._path(name), self._path(f"_staged/{name}-{uuid.uuid4().hex}")
         columns = [f.strip().split(" ")[0] for f in SCHEMAS[name].split(", ")]
         kept = rows.select(*columns)
