@@ -15,12 +15,23 @@ from pyspark.sql import types as T
 
 from .common import append_columns, as_text
 
-#: Encoded misses that a worker remembers; beyond it starts anew.
-MEMO = 600_000
+#: Encoded misses in one generation of what a worker remembers.
+GENERATION = 500_000
 _GOLD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
+class Memo:
+    """Encoded misses in two generations: when the young one is full the old one goes, so what is used stays."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def turn(self) -> None:
+        self.young, self.old = {}, self.young
+
+
 class PerfectHash:
     """A minimal perfect hash of fixed keys: each bucket of keys has a displacement that sends them to free slots."""
 
@@ -79,41 +90,41 @@ class Codec:
         self.length = np.array([len(t) for t in by_id], np.int64)
         self.start = np.concatenate(([0], np.cumsum(self.length)[:-1]))
 
-    def merge(self, piece: bytes) -> list[int]:
+    def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of a piece that is no token: the pair of lowest rank, leftmost on ties, is merged until none is left."""
-        pairs, n = self.pairs, len(piece)
+        rank, n = self.pairs.get, len(piece)
         ids = [self.byte_id[x] for x in piece]
-        due = [pairs.get(a << 20 | b, -1) for a, b in zip(ids, ids[1:])]  # the rank that each part and the next have
-        due.append(-1)
+        due = [rank(a << 20 | b, -1) for a, b in zip(ids, ids[1:])]  # the rank that each part and the next have
         heap = [r << 32 | i for i, r in enumerate(due) if r >= 0]
+        if not heap:
+            return tuple(ids)
+        due.append(-1)
         heapq.heapify(heap)
-        after, before, gone = list(range(1, n + 1)), list(range(-1, n - 1)), []
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
             first = heapq.heappop(heap)
             r, i = first >> 32, first & 0xFFFFFFFF
             if due[i] != r:
                 continue  # one of the two has been merged since
             j = after[i]
-            k = after[i] = after[j]
-            ids[i], due[j] = r, -1
-            gone.append(j)
-            due[i] = -1
+            after[i] = k = after[j]
+            ids[i], ids[j], due[i], due[j] = r, -1, -1, -1
             if k < n:
                 before[k] = i
-                if (s := pairs.get(r << 20 | ids[k], -1)) >= 0:
-                    due[i] = s
+                due[i] = s = rank(r << 20 | ids[k], -1)
+                if s >= 0:
                     heapq.heappush(heap, s << 32 | i)
-            if (h := before[i]) >= 0:
-                due[h] = s = pairs.get(ids[h] << 20 | r, -1)
+            h = before[i]
+            if h >= 0:
+                due[h] = s = rank(ids[h] << 20 | r, -1)
                 if s >= 0:
                     heapq.heappush(heap, s << 32 | h)
-        for j in sorted(gone, reverse=True):
-            del ids[j]
-        return ids
+        return tuple([x for x in ids if x >= 0])
 
-    def encode(self, texts: list[str], memo: dict[str, tuple[int, ...]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], memo: Memo | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one text after the other, and the number of ids of each text."""
-        memo = {} if memo is None else memo
+        memo = memo or Memo()
+        young, old = memo.young, memo.old
         split, codes, seen, counts = regex.compile(self.pattern).findall, [], {}, []
         for text in texts:
             pieces = split(text)
@@ -128,13 +139,13 @@ class Codec:
             if self.slot_token[s] == key:
                 out.append(ids[k])
                 continue
-            got = memo.get(piece)
+            got = young.get(piece)
             if got is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                got = memo[piece] = tuple(self.merge(key))  # no lists, which the garbage collector would visit
+                got = young[piece] = old.get(piece) or self.merge(key)  # tuples of numbers, which the garbage collector leaves alone
             out += got
             lengths[k] = len(got)
+        if len(young) >= GENERATION:
+            memo.turn()
         flat, codes = np.array(out, np.int32), np.array(codes, np.int64)
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(lengths) else lengths
         all_ids = flat[_runs(starts[codes], lengths[codes])]
@@ -172,7 +183,7 @@ def load_codec(path: str, pattern: str) -> Codec:
     return Codec(ranks, pattern)
 
 
-_memo: dict[str, dict[str, tuple[int, ...]]] = {}
+_memo: dict[str, Memo] = {}
 
 
 def _offsets(counts: np.ndarray) -> pa.Array:
@@ -189,7 +200,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids:
     fields = [T.StructField(ids, T.ArrayType(T.IntegerType(), False)), *([T.StructField(decoded, T.BinaryType())] if decoded else [])]
 
     def setup():
-        own, memo = codec.value, _memo.setdefault(path + pattern, {})
+        own, memo = codec.value, _memo.setdefault(path + pattern, Memo())
 
         def compute(texts: list[bytes]) -> list[pa.Array]:
             flat, counts = own.encode([as_text(t) for t in texts], memo)
