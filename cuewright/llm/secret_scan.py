@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -99,7 +101,8 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, known: D
         findings = findings.unionByName(known)
     scanned = blobs.select("blob", F.explode("todo").alias("rule"))
     span = F.struct(F.col("start").cast("long").alias("start"), "rule", "kind", F.col("end").cast("long").alias("end"))
-    each = findings.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    # A table of its own, so that the join can split a blob that very many paths have.
+    each = materialize(findings.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("spans")), "findings")
     paths = rows.select(path_col, "blob").join(each, "blob", "left")
     none = F.array().cast("array<struct<start:bigint,rule:int,kind:string,end:bigint>>")
     return paths.select(path_col, "blob", F.coalesce("spans", none).alias("spans")), findings, scanned if ledger is None else ledger.unionByName(scanned)
