@@ -54,11 +54,14 @@ def discard(df: DataFrame) -> None:
 
 
 def bucketed(df: DataFrame, column: str, *order: str, name: str = "table") -> DataFrame:
-    """Write df to a warehouse table in buckets of `column`, sorted by `order`; joins on it then need no shuffle of df."""
+    """Write df to a warehouse table in buckets of `column`, sorted by `order`; joins on it then need no shuffle of df.
+
+    df must lie in partitions of `column` already, as after a group-by or a join on it, so that each bucket is one file.
+    """
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table_name = f"cuewright_{name}_{uuid.uuid4().hex}"
-    out = df.repartition(buckets, column).write.format("parquet").option("compression", "zstd").bucketBy(buckets, column)
+    out = df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, column)
     (out.sortBy(*order) if order else out).saveAsTable(table_name)
     kept = spark.table(table_name)
     kept._cuewright_table = table_name

@@ -1,13 +1,14 @@
 """Suffix-array deduplication with a logarithmic family of indexes.
 
-Texts come in batches. A batch's suffix array holds its sampled suffixes (see suffixes.py) with their places, in
-buckets of the hash of their first bytes and sorted within them. A new array is merge-scanned against every level
-for suffixes that begin alike, and levels of equal size are merged, so n batches make about log n levels. Scans
-join tables that lie in the same buckets; no text moves for them. What begins alike is then compared in full:
+Texts come in batches. A batch's suffixes are sampled (see suffixes.py) and lie in a table with their places; its
+suffix array tells in order of their beginnings, as hashes, how often each occurs. A new array is merge-scanned
+against every level for suffixes that begin alike, and levels of equal size are merged, so n batches make about
+log n levels. Arrays lie in buckets, so scans and merges move nothing; a beginning that a third of all texts share
+is one row of an array. What begins alike is then compared in full:
 
 * suffixes whose whole surroundings are equal repeat every window that they stand for;
-* up to GROUP different surroundings of one beginning are sorted next to each other and matched to both sides;
-* of more than GROUP, each window is hashed, and hashes are counted with a partial sum before the shuffle.
+* suffixes of a beginning with up to GROUP occurrences are brought next to each other and matched to both sides;
+* of one with more, each window is hashed, and hashes are counted with a partial sum before the shuffle.
 
 Equal texts are one blob with a count, so a text that a third of all rows repeat is indexed once.
 """
@@ -15,6 +16,7 @@ Equal texts are one blob with a count, so a text that a third of all rows repeat
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +26,11 @@ from pyspark.sql import functions as F
 from .common import bucketed, discard, drop_table, materialize, prepare, release_shuffles, slices
 from .suffixes import WINDOW, sample, window_hashes
 
-#: Different surroundings of one beginning that are compared with each other in one task.
+#: Occurrences of one beginning whose surroundings are compared with each other in one task.
 GROUP = 48
 #: Batches that a whole table is cut into.
 BATCHES = 3
-_ARRAY = "key long, run long, blob binary, place int, lead int, count int, n long"
+_SUFFIXES = "key long, run long, blob binary, place int, lead int, count int, n long"
 _SPANS = "blob binary, start int, end int"
 
 
@@ -43,7 +45,7 @@ def blobs_of(df: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.groupBy("blob").agg(F.first("text").alias("text"), F.count("*").alias("n"))
 
 
-def suffix_array(blobs: DataFrame) -> DataFrame:
+def suffixes_of(blobs: DataFrame) -> DataFrame:
     """Sampled suffixes of the blobs, a row each: beginning and surroundings as hashes, place, windows before it, windows, copies."""
     prepare(blobs)
 
@@ -58,51 +60,49 @@ def suffix_array(blobs: DataFrame) -> DataFrame:
                     names=["key", "run", "blob", "place", "lead", "count", "n"],
                 )
 
-    return blobs.select("blob", "text", "n").filter(F.octet_length("text") >= WINDOW).mapInArrow(run, _ARRAY)
+    return blobs.select("blob", "text", "n").filter(F.octet_length("text") >= WINDOW).mapInArrow(run, _SUFFIXES)
 
 
 class SuffixIndex:
-    """Levels of suffix arrays: level k has the suffixes of 2^k batches; keys that were found twice are remembered."""
+    """Levels of suffix arrays (key, n): level k tells of the suffixes of 2^k batches; keys that were found twice are remembered."""
 
     def __init__(self) -> None:
         self.levels: list[tuple[int, DataFrame]] = []
+        self.suffixes: list[DataFrame] = []
         self.found: list[DataFrame] = []
 
     def add(self, blobs: DataFrame) -> None:
         """Scan a new batch against itself and all levels, then insert it, merging equal levels."""
-        new = bucketed(suffix_array(blobs), "key", "key", "run", name="suffixes")
+        rows = materialize(suffixes_of(blobs), "suffixes")
+        self.suffixes.append(rows)
+        new = bucketed(rows.groupBy("key").agg(F.sum("n").alias("n")), "key", "key", name="array")
         release_shuffles(new.sparkSession)
-        twice = new.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
-        alike = [new.select("key").join(level.select("key"), "key", "left_semi").distinct() for _, level in self.levels]
-        for keys in [twice, *alike]:
-            self.found.append(materialize(keys, "found"))
+        alike = [new.filter("n > 1").select("key")]
+        alike += [new.select("key").join(level.select("key"), "key", "left_semi") for _, level in self.levels]
+        self.found += [materialize(keys, "found") for keys in alike]
         size = 0
         while self.levels and self.levels[-1][0] == size:
             _, level = self.levels.pop()
-            merged = bucketed(level.unionByName(new), "key", "key", "run", name="suffixes")
+            both = level.join(new.withColumnRenamed("n", "m"), "key", "full")
+            merged = bucketed(both.select("key", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n")), "key", "key", name="array")
             drop_table(level)
             drop_table(new)
             new, size = merged, size + 1
         self.levels.append((size, new))
-        release_shuffles(new.sparkSession)
 
     def matches(self) -> DataFrame:
-        """All suffixes, of whatever level, whose beginning was found twice."""
-        found = self.found[0]
-        for more in self.found[1:]:
-            found = found.union(more)
-        found = found.distinct()
-        parts = [level.join(found, "key", "left_semi") for _, level in self.levels]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
+        """All suffixes whose beginning was found twice, with `often`, how often it occurs."""
+        keys = reduce(DataFrame.union, self.found).distinct()
+        counts = reduce(DataFrame.unionByName, (level.join(keys, "key", "left_semi") for _, level in self.levels))
+        # A table of its own, so that the join below can split a beginning that very many suffixes share.
+        often = materialize(counts.groupBy("key").agg(F.sum("n").alias("often")), "often")
+        return reduce(DataFrame.unionByName, self.suffixes).join(often, "key")
 
     def close(self) -> None:
         for _, level in self.levels:
             drop_table(level)
-        for keys in self.found:
-            discard(keys)
+        for rows in [*self.found, *self.suffixes]:
+            discard(rows)
 
 
 def _aligned(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +165,7 @@ def _surroundings(blobs: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def _compare(rows: DataFrame) -> DataFrame:
-    """Spans of repeated windows among rows(blob, key, place, lead, count, covered) of at most GROUP rows a key."""
+    """Spans of repeated windows among rows(blob, key, place, lead, count, covered) whose keys occur at most GROUP times."""
     sorted_rows = rows.select("key", "covered", "blob", "place", "lead", "count").repartition("key").sortWithinPartitions("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,15 +197,14 @@ def _compare(rows: DataFrame) -> DataFrame:
 def repeated_spans(blobs: DataFrame, index: SuffixIndex) -> DataFrame:
     """(blob, start, end): bytes covered by windows that stand somewhere else too; spans may overlap."""
     matches = materialize(index.matches(), "matches")
-    runs = matches.groupBy("key", "run").agg(F.sum("n").alias("copies"))
-    keys = runs.groupBy("key").agg(F.count("*").alias("runs"))
-    # A key with one run only has all its windows repeated; the rest is decided by copies and by the number of runs.
-    status = runs.join(keys, "key").select("key", "run", F.when(F.col("copies") > 1, "all").when(F.col("runs") > GROUP, "many").otherwise("few").alias("status"))
-    # Surroundings that several suffixes share are also what single ones are compared with: one of them stands for all.
-    told = materialize(matches.join(status, ["key", "run"]), "told")
+    release_shuffles(blobs.sparkSession)
+    runs = materialize(matches.groupBy("key", "run").agg(F.sum("n").alias("copies")), "runs")
+    told = matches.join(runs, ["key", "run"]).withColumn("status", F.when(F.col("copies") > 1, "all").when(F.col("often") > GROUP, "many").otherwise("few"))
+    told = materialize(told.select("blob", "key", "run", "place", "lead", "count", "status"), "told")
     release_shuffles(blobs.sparkSession)
     whole = told.filter("status = 'all'").select("blob", (F.col("place") - F.col("lead")).alias("start"), (F.col("place") - F.col("lead") + F.col("count") - 1 + WINDOW).alias("end"))
     single = told.filter("status <> 'all'")
+    # Surroundings that several suffixes share are also what single ones are held against; one of them stands for all.
     shared = told.filter("status = 'all'").groupBy("key", "run").agg(F.min(F.struct("blob", "place", "lead", "count")).alias("s")).select("key", "s.*")
     open_keys = single.groupBy("key").agg(F.first("status").alias("status"))
     shared = shared.join(open_keys, "key").select("blob", "key", "place", "lead", "count", (F.col("status") == "many").alias("many"))
@@ -214,7 +213,7 @@ def repeated_spans(blobs: DataFrame, index: SuffixIndex) -> DataFrame:
     release_shuffles(blobs.sparkSession)
     few = _compare(around.filter("covered IS NOT NULL"))
     windows = around.filter("window IS NOT NULL").select("blob", "key", "window", "place")
-    often = windows.groupBy("key", "window").agg(F.count("*").alias("n")).filter("n > 1").select("key", "window")
+    often = materialize(windows.groupBy("key", "window").agg(F.count("*").alias("n")).filter("n > 1").select("key", "window"), "often")
     many = windows.join(often, ["key", "window"], "left_semi").select("blob", F.col("place").alias("start"), (F.col("place") + WINDOW).alias("end"))
     return whole.union(few).union(many)
 
