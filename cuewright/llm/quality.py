@@ -91,7 +91,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     good, bad = _dictionary(text(1, 0)), _dictionary(text(0, 0))
     sizer = Sizer(good, bad)
     held = [(sizer.difference(t), y) for y in (0, 1) for t in text(y, 1)]
-    total = sum(counts.values()) or 1
+    total = sum(counts.values())
     prior = (counts.get(1, 0) + 0.5) / (total + 1)
     if len({y for _, y in held}) < 2:
         return Model(good, bad, 1.0, 0.0, float(np.log(prior / (1 - prior))))
