@@ -14,6 +14,7 @@ import argparse
 import importlib
 import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +28,11 @@ from .sources.store import Store
 
 
 def _load(name: str):
+    """The function package.module:name; its module's code goes to the executors with the tasks."""
     module, _, attribute = name.partition(":")
-    return getattr(importlib.import_module(module), attribute)
+    found = importlib.import_module(module)
+    cloudpickle.register_pickle_by_value(found)
+    return getattr(found, attribute)
 
 
 def _video(spark: SparkSession, locator: str) -> str:
