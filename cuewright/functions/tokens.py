@@ -16,8 +16,10 @@ TERM = "[a-z0-9]+(?:['-][a-z0-9]+)*"
 
 def search_terms(text: Column, stopwords: bool = False) -> Column:
     """Terms in order: a compound (a-b, a'b) gives itself and its parts; stop words go last, unless kept. Null: none."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
-    spread = F.flatten(F.transform(found, lambda w: F.when(w.rlike("['-]"), F.concat(F.array(w), F.split(w, "['-]"))).otherwise(F.array(w))))
+    low = F.lower(F.coalesce(text, F.lit("")))
+    found = F.regexp_extract_all(low, F.lit(TERM), F.lit(0))
+    each = F.flatten(F.transform(found, lambda w: F.when(w.rlike("['-]"), F.concat(F.array(w), F.split(w, "['-]"))).otherwise(F.array(w))))
+    spread = F.when(low.rlike("[a-z0-9]['-][a-z0-9]"), each).otherwise(found)  # most texts have no compounds to take apart
     return spread if stopwords else F.filter(spread, lambda w: ~w.isin(*STOPWORDS))
 
 

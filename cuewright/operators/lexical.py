@@ -21,7 +21,8 @@ def scope_stats(passages: DataFrame) -> DataFrame:
 def postings(passages: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """(scope, passage_id, len, term, tf); with terms(term) only theirs, filtered before anything is shuffled."""
     rows = passages.select("scope", "passage_id", search_terms(F.col("text")).alias("terms"))
-    each = rows.select("scope", "passage_id", F.size("terms").alias("len"), F.explode("terms").alias("term"))
+    # A plain explode would have the optimizer test the array's size below it, which cuts every text into terms twice.
+    each = rows.select("scope", "passage_id", F.size("terms").alias("len"), F.explode_outer("terms").alias("term")).filter("term IS NOT NULL")
     if terms is not None:
         each = each.join(terms.select("term").distinct(), "term", "left_semi")
     return each.groupBy("scope", "passage_id", "len", "term").agg(F.count("*").alias("tf"))
