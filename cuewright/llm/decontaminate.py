@@ -1,4 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds find test items in training text, Smith-Waterman scores the copies."""
+"""Benchmark decontamination: n-gram seeds find test items in training text, Smith-Waterman scores the copies.
+
+Every n-gram of an item is a seed, however often the corpus has it: counts cannot tell a leak that was copied often
+from a common phrase. Chance hits are turned away by a bound on the score before anything is aligned.
+"""
 
 from __future__ import annotations
 
@@ -11,12 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, prepare, slices
+from .common import append_columns, prepare
 
 #: Words in a seed.
 SEED_WORDS = 3
-#: An n-gram of an item is a seed if the corpus has it at most so many times as often as the item's rarest one.
-RARITY = 8
 #: Share of an item's words that the best alignment must recover.
 LEAK = 0.4
 #: Words of test items that tasks get at once; a larger benchmark is handled in several passes.
@@ -124,36 +126,43 @@ class Items:
         order = np.argsort(keys, kind="stable")
         return cls(ids, words, width, keys[order], item[order], place[order])
 
-    def rare(self, counts: dict[int, int]) -> Items:
-        """Only the n-grams that are rare by the counts in the corpus (absent: 0), measured within each item."""
-        n = np.array([counts.get(k, 0) for k in self.keys.view(np.int64).tolist()], np.int64)
-        least = np.full(len(self.words), np.iinfo(np.int64).max)
-        np.minimum.at(least, self.item, n)
-        keep = n <= RARITY * np.maximum(1, least[self.item])
-        return Items(self.ids, self.words, self.width, self.keys[keep], self.item[keep], self.place[keep])
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Item numbers, in order, and where in one text each item would begin by a seed in common (places below 0 too)."""
+        grams = ngrams(words, self.width)
+        low, high = np.searchsorted(self.keys, grams), np.searchsorted(self.keys, grams, "right")
+        n = high - low
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n)
+        item, begin = self.item[k], np.repeat(np.arange(len(grams)), n) - self.place[k]
+        order = np.lexsort((begin, item))
+        return item[order], begin[order]
 
     def leaks(self, words: np.ndarray) -> list[tuple[int, float, int, int]]:
         """(item_id, score, start, end) of the items found in one text; places count its words."""
-        grams = ngrams(words, self.width)
-        low, high = np.searchsorted(self.keys, grams), np.searchsorted(self.keys, grams, "right")
-        hits: dict[int, list[int]] = {}
-        for at in np.flatnonzero(high > low).tolist():
-            for k in range(low[at], high[at]):
-                hits.setdefault(int(self.item[k]), []).append(at - int(self.place[k]))
+        of, begins = self.hits(words)
+        numbers, edges = np.unique(of, return_index=True)
+        if not len(numbers):
+            return []
+        # Where even all words in common in order would score lower, the item needs no look at its places.
+        sizes = np.array([len(self.words[i]) for i in numbers])
+        common = np.add.reduceat(np.isin(np.concatenate([self.words[i] for i in numbers]), words), np.cumsum(sizes) - sizes, dtype=np.int64)
         found = []
-        for i, begins in sorted(hits.items()):
+        for i, places, able in zip(numbers.tolist(), np.split(begins, edges[1:]), common >= LEAK * sizes):
+            if not able:
+                continue
             item = self.words[i]
+            # A score of LEAK leaves room for so many gaps, so no alignment through a seed leaves the passage.
+            room = int(2 * (1 - LEAK) * len(item))
             best, reach = (0.0, 0, 0), -1
-            for begin in sorted(set(begins)):
+            places = np.unique(places)
+            for begin in places.tolist():
                 if begin <= reach:
                     continue
-                # Seeds whose items would begin close together share one passage, with room for as many added words again.
-                near = [b for b in begins if begin <= b <= begin + len(item)]
-                reach = max(near)
-                a, b = max(0, begin - len(item) // 2), min(len(words), reach + len(item) + len(item) // 2)
+                # Seeds whose items would begin close together share one passage.
+                reach = int(places[np.searchsorted(places, begin + len(item), "right") - 1])
+                a, b = max(0, begin - room), min(len(words), reach + len(item) + room)
                 passage = words[a:b]
                 if np.isin(item, passage).sum() < LEAK * len(item):
-                    continue  # even with every common word in order the score would be lower
+                    continue
                 score, s, e = smith_waterman(item, passage)
                 best = max(best, (score, a + s, a + e), key=lambda x: x[0])
             if best[0] >= LEAK:
@@ -178,41 +187,16 @@ def _chunks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]
     yield from (Items.of(*group, n) for n, group in sorted(held.items()))
 
 
-def count_seeds(df: DataFrame, items: Items, text_col: str = "text") -> dict[int, int]:
-    """How often each n-gram of the items stands in the whole corpus; no more rows than n-grams reach the driver."""
-    prepare(df)
-    shared = df.sparkSession.sparkContext.broadcast(np.unique(items.keys))
-    width = items.width
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = shared.value
-        total = np.zeros(len(keys), np.int64)
-        for batch in batches:
-            for _, texts in slices(batch, 0):
-                words, starts = words_of(texts)
-                grams = ngrams(words, width)
-                within = np.repeat(starts[1:], np.diff(starts))[: len(grams)] - np.arange(len(grams)) >= width
-                grams = grams[within]
-                at = np.minimum(np.searchsorted(keys, grams), max(0, len(keys) - 1))
-                if len(keys):
-                    total += np.bincount(at[keys[at] == grams], minlength=len(keys))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[seen].view(np.int64)), pa.array(total[seen])], names=["key", "n"])
-
-    rows = df.select(text_col).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
-    return {r.key: r.n for r in rows}
-
-
 def find_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out: str = "leaks") -> DataFrame:
     """df with the test items that each whole text holds, as an array of (item_id, score, start, end) in words.
 
     Score is the best Smith-Waterman alignment of the item's words with the text's (match 2, mismatch and gap -1) as a share of
-    the item's own; items of at least LEAK are listed, each once. Seeds are counted over all of df first. Null and
+    the item's own; items of at least LEAK that share SEED_WORDS words in a row with the text are listed, each once. Null and
     empty texts hold none; null or wordless items are never found; repeated items are found each by its id; with
     no items every array is empty. A column named like out is replaced; all rows are kept, nothing is shuffled.
     """
-    chunks = [items.rare(count_seeds(df, items, text_col)) for items in _chunks(benchmark, item_col, item_text_col)]
-    shared = [df.sparkSession.sparkContext.broadcast(c) for c in chunks]
+    prepare(df)
+    shared = [df.sparkSession.sparkContext.broadcast(c) for c in _chunks(benchmark, item_col, item_text_col)]
 
     def setup():
         def compute(texts: list[bytes]) -> list[pa.Array]:

@@ -195,6 +195,20 @@ def test_leaks_of_exact_edited_and_short_copies(spark):
     assert {(0, 0), (1, 1), (3, 2), (4, 8), (5, 3)} == set(got)
 
 
+@pytest.mark.parametrize("copies", [9, 100, 1000])
+def test_leaks_of_edited_copies_in_many_documents(spark, copies):
+    pick = random.Random(4)
+    vocabulary = ["".join(pick.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    say = lambda n: [pick.choice(vocabulary) for _ in range(n)]
+    item = say(36)
+    edited = lambda at: [pick.choice(vocabulary) if k % 7 == at else x for k, x in enumerate(item)]
+    often, cut, seldom = edited(3), item[:18], edited(0)
+    docs = {d: often for d in range(copies)} | {copies + d: say(10) + cut + say(10) for d in range(copies)} | {2 * copies: seldom, 2 * copies + 1: item, 2 * copies + 2: say(100)}
+    held = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], DOCS)
+    found = decontaminate.find_leaks(held, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert {r.doc_id for r in found.filter(F.size("leaks") > 0).collect()} == set(docs) - {2 * copies + 2}
+
+
 def test_merkle_edits_and_equality(spark):
     old = spark.createDataFrame([(1, "a. b\nc\n\nd"), (2, "same")], DOCS)
     new = spark.createDataFrame([(1, "a. b\nC\n\nd"), (2, "same"), (3, "more")], DOCS)
