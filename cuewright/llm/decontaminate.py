@@ -152,10 +152,10 @@ class Items:
             item = self.words[i]
             # A score of LEAK leaves room for so many gaps, so no alignment through a seed leaves the passage.
             room = int(2 * (1 - LEAK) * len(item))
-            best, reach = (0.0, 0, 0), -1
+            best, reach = (0.0, 0, 0), None
             places = np.unique(places)
             for begin in places.tolist():
-                if begin <= reach:
+                if reach is not None and begin <= reach:
                     continue
                 # Seeds whose items would begin close together share one passage.
                 reach = int(places[np.searchsorted(places, begin + len(item), "right") - 1])

@@ -209,6 +209,15 @@ def test_leaks_of_edited_copies_in_many_documents(spark, copies):
     assert {r.doc_id for r in found.filter(F.size("leaks") > 0).collect()} == set(docs) - {2 * copies + 2}
 
 
+def test_leaks_of_items_cut_at_the_start_or_end_of_a_text(spark):
+    item, other = [f"w{k}" for k in range(36)], [f"v{k}" for k in range(30)]
+    docs = {1: item[1:], 2: item[1:] + other, 3: item[9:], 4: item[9:] + other, 5: other + item[:-9], 6: item[30:] + other}
+    held = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], DOCS)
+    found = decontaminate.find_leaks(held, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    got = {r.doc_id: (x.score, x.start, x.end) for r in found.collect() for x in r.leaks}
+    assert got == {1: (35 / 36, 0, 35), 2: (35 / 36, 0, 35), 3: (0.75, 0, 27), 4: (0.75, 0, 27), 5: (0.75, 30, 57)}
+
+
 def test_merkle_edits_and_equality(spark):
     old = spark.createDataFrame([(1, "a. b\nc\n\nd"), (2, "same")], DOCS)
     new = spark.createDataFrame([(1, "a. b\nC\n\nd"), (2, "same"), (3, "more")], DOCS)
