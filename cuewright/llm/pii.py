@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -34,13 +34,35 @@ def mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+#: Signs in the account numbers of each country.
+IBAN_SIGNS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_SIGNS_OF = {country: n for n, countries in IBAN_SIGNS.items() for country in countries.split()}
+
+
+def account_length(proposal: str) -> int:
+    """Characters of the account number that a proposal begins with (0: none), which ends where the proposal or a group ends.
+
+    The length of the country comes first, then any other from the longest.
+    """
+    ends = [i for i in range(1, len(proposal) + 1) if proposal[i - 1] != " " and (i == len(proposal) or proposal[i] == " ")]
+    lengths = [(len(proposal[:i].replace(" ", "")), i) for i in reversed(ends)]
+    lengths.sort(key=lambda x: x[0] != _SIGNS_OF.get(proposal[:2]))
+    return next((i for n, i in lengths if 15 <= n <= 34 and mod97(proposal[:i].replace(" ", ""))), 0)
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if c in "0123456789")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """base: the spans stay whatever their score; others need a score of `least`."""
+    """base: the spans stay whatever their score; others need a score of `least`.
+
+    cut: how much of a proposal is meant; what follows, or a proposal of nothing but its first sign, is searched again.
+    """
 
     kind: str
     pattern: re.Pattern
@@ -50,6 +72,18 @@ class Rule:
     context: re.Pattern
     base: bool = True
     least: float = 0.0
+    cut: Callable[[str], int] | None = None
+
+    def spans(self, text: str) -> Iterator[tuple[int, int]]:
+        if not self.cut:
+            yield from (m.span() for m in self.pattern.finditer(text) if self.valid(m[0]))
+            return
+        at = 0
+        while m := self.pattern.search(text, at):
+            n = self.cut(m[0])
+            at = m.start() + (n or 1)
+            if n:
+                yield m.start(), at
 
 
 def _words(*words: str) -> re.Pattern:
@@ -61,7 +95,7 @@ RULES = (
     Rule("ip", re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"), ".", lambda m: all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or "0") <= 255 for p in m.split(".")), 0.6, _words("ip", "address", "host", "server", "from", "login")),
     Rule("card", re.compile(r"[0-9](?:[ -]?[0-9])+"), "", lambda m: 14 <= len(d := _digits(m)) <= 19 and luhn(d), 0.8, _words("card", "visa", "mastercard", "amex", "credit", "payment", "pay")),
     Rule("phone", re.compile(r"\+[0-9][ ().0-9-]+[0-9]"), "+", lambda m: 10 <= len(_digits(m)) <= 15, 0.7, _words("phone", "tel", "call", "mobile", "fax")),
-    Rule("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), "", lambda m: 15 <= len(m.replace(" ", "")) <= 34 and mod97(m.replace(" ", "")), 0.9, _words("iban", "account", "bank", "transfer"), base=False, least=0.8),
+    Rule("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), "", lambda m: account_length(m) > 0, 0.9, _words("iban", "account", "bank", "transfer"), base=False, least=0.8, cut=account_length),
     Rule("ssn", re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"), "-", lambda m: True, 0.4, _words("ssn", "social", "security"), base=False, least=0.6),
 )
 ORDER = {r.kind: i for i, r in enumerate(RULES)}
@@ -76,10 +110,7 @@ def find(text: str, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, int, int
     for rule in rules:
         if rule.needs not in text:
             continue
-        for m in rule.pattern.finditer(text):
-            if not rule.valid(m[0]):
-                continue
-            a, b = m.span()
+        for a, b in rule.spans(text):
             around = text[max(0, a - WINDOW) : a] + " " + text[b : b + WINDOW]
             score = min(1.0, rule.score + 0.25 * bool(rule.context.search(around)))
             if rule.base or score >= rule.least:

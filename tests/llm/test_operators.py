@@ -130,6 +130,14 @@ def test_personal_data_checks_and_context():
     assert pii.redact("x a@b.co y") == "x <email> y"
 
 
+@pytest.mark.parametrize("after", [" BIC COBADEFFXXX", " 00 EUR 50", " 12 May", " EUR 50", " AB12", " ABTEILUNG KONTO NUMMER EINS ZWEI", ". End"])
+def test_account_numbers_before_other_capitals_and_digits(after):
+    for number in ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "FR1420041010050500013M02606", "GB82 WEST 1234 5698 7654 32"):
+        assert [(k, a, b) for k, a, b, _, _ in pii.find(f"IBAN {number}{after}") if k == "iban"] == [("iban", 5, 5 + len(number))]
+    two = "AB12 CDEF 3456 7890 DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32"
+    assert pii.redact(two) == "AB12 CDEF 3456 7890 <iban> <iban>"
+
+
 def test_bpe_agrees_with_the_reference_encoder(spark):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
     known = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
