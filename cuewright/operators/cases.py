@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Follow-ups of follow-ups that are looked through; a longer chain is taken for a cycle.
-DEPTH = 16
-
+from ..shared import materialize
 
 def validate(cases: DataFrame) -> DataFrame:
     """(case_id, problem) for cases(case_id, question, answerable, n_spans, followup_to); an empty table is a problem with a null id."""
@@ -21,19 +19,21 @@ def validate(cases: DataFrame) -> DataFrame:
 
 
 def with_depth(cases: DataFrame) -> DataFrame:
-    """cases with depth: 0 for a first question, else one more than the case it follows; null beyond DEPTH (a cycle) or if that is unknown.
+    """cases with depth: 0 for a first question, else one more than the case it follows; null in or after a cycle or if that is unknown.
 
-    Each round is a join of the cases just placed with those that follow them, so rounds are as many as the longest chain.
+    Each round joins every open case with the ancestor of its ancestor, so rounds grow with the logarithm of the longest chain.
     """
-    placed = cases.filter("followup_to IS NULL").select("case_id", F.lit(0).alias("depth"))
-    out, last = placed, placed
-    follow = cases.filter("followup_to IS NOT NULL").select("case_id", "followup_to")
-    for depth in range(1, DEPTH + 1):
-        last = follow.join(last.select(F.col("case_id").alias("followup_to")), "followup_to").select("case_id", F.lit(depth).alias("depth"))
-        if last.isEmpty():
-            break
-        out = out.union(last)
-    return cases.join(out, "case_id", "left")
+    step = F.when(F.col("followup_to").isNull(), 0).otherwise(1)
+    steps = materialize(cases.select("case_id", F.col("followup_to").alias("up"), step.alias("depth")))
+    done, still = steps.filter("up IS NULL"), steps.filter("up IS NOT NULL")
+    while True:
+        hop = done.union(still).select(F.col("case_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        longer = materialize(still.join(hop, "up").select("case_id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth")))
+        ended = longer.filter("up IS NULL")
+        # A chain has cases of every depth up to its own, so a round in which none ends leaves only cycles.
+        if ended.isEmpty():
+            return cases.join(done.select("case_id", "depth"), "case_id", "left")
+        done, still = done.union(ended), longer.filter("up IS NOT NULL")
 
 
 def split(cases: DataFrame) -> DataFrame:

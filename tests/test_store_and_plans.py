@@ -112,6 +112,13 @@ def test_cycles_have_no_depth(spark):
     assert got == {"a": 0, "b": 1, "c": 2, "x": None, "y": None, "z": None}
 
 
+def test_long_conversations_keep_their_order(spark):
+    turns = 300
+    rows = [(f"t{i}", f"t{i - 1}" if i else None) for i in range(turns)] + [(f"c{i}", f"c{(i + 1) % 5}") for i in range(5)] + [("tail", "c0"), ("lost", "nowhere"), ("branch", "t40"), ("after lost", "lost")]
+    got = {r.case_id: r.depth for r in cases.with_depth(spark.createDataFrame(rows, "case_id string, followup_to string")).collect()}
+    assert got == {f"t{i}": i for i in range(turns)} | {f"c{i}": None for i in range(5)} | {"tail": None, "lost": None, "branch": 41, "after lost": None}
+
+
 def test_unknown_kind_is_an_error(spark):
     with pytest.raises(Exception, match="unknown kind"):
         captions.prefer_track(spark.createDataFrame([("v", "en", "odd")], "video_id string, language string, kind string")).collect()
