@@ -15,7 +15,7 @@ import xxhash
 from compare import FOLDER, assert_same
 from pyspark.sql import functions as F
 
-from cuewright.llm import bpe, decontaminate, langid, merkle, pii, quality, revisits, secret_scan, simhash_vp
+from cuewright.llm import bpe, decontaminate, langid, merkle, near_copies, pii, quality, revisits, secret_scan, simhash_vp
 from cuewright.llm.queries import ORACLES, QUERIES
 
 DOCS = "doc_id long, text string"
@@ -287,6 +287,54 @@ def test_models_without_anything_to_learn(spark):
     assert {r.quality_score for r in quality.score_quality(spark.createDataFrame(ODD, DOCS), model).collect()} == {0.5}
 
 
+def similar_components(texts):
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.encode().lower().split()) else set() for d, t in texts.items()}
+    root = {d: d for d in texts}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a, b in combinations(sorted(texts), 2):
+        if sets[a] == sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {d: find(d) for d in texts}
+
+
+def test_near_dedup_stage_against_all_pairs(spark):
+    import corpus_pipeline
+
+    pick = random.Random(5)
+    texts = {d: t for d, t in texts_of(spark).items()}
+    for d in range(40):  # long chains and stars of edited copies around a similarity of 0.8, and texts that share a passage only
+        words = [f"{d}w{k}" for k in range(120)]
+        for n in range(8):
+            texts[1000 + 10 * d + n] = " ".join(words)
+            for _ in range(pick.randrange(4)):
+                words = list(words)
+                words[pick.randrange(120)] = f"e{d}x{n}"
+            if d % 2:
+                words = [f"{d}w{k}" for k in range(120)]
+                for k in pick.sample(range(120), 3):
+                    words[k] = f"e{d}y{n}y{k}"
+    for d in range(60):
+        texts[3000 + d] = " ".join([f"p{k}" for k in range(60)] + [f"{d}q{k}" for k in range(40)])
+    want = sorted(set(similar_components(texts).values()))
+    docs = spark.createDataFrame(list(texts.items()), DOCS)
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, FOLDER).collect())
+    assert got == want
+    assert got != sorted(r.doc_id for r in simhash_vp.keep_one(docs).collect())
+
+
+def test_near_copies_keep_one_of_each(spark):
+    rows = [(3, "a b c d e f"), (1, "A b c d  e f"), (1, "A b c d  e f"), (2, "other words stand here now"), (None, "lonely"), (4, None), (5, "")]
+    got = near_copies.keep_one(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, "lonely"), (1, "A b c d  e f"), (2, "other words stand here now"), (4, "")]
+    assert near_copies.keep_one(spark.createDataFrame([], DOCS)).count() == 0
+
+
 def test_pipeline_stages_against_brute_force(spark):
     import corpus_pipeline
 
