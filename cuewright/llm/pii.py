@@ -1,4 +1,8 @@
-"""Personal data: regular expressions propose spans, checksums confirm them, nearby words adjust the score."""
+"""Personal data: regular expressions propose spans, checksums confirm them, nearby words adjust the score.
+
+Every pattern takes time in proportion to the text, unbroken runs of letters or digits included: a proposal is
+anchored where a run begins or at the one sign that it must hold, and runs are never given back.
+"""
 
 from __future__ import annotations
 
@@ -61,42 +65,83 @@ def _digits(text: str) -> str:
 class Rule:
     """base: the spans stay whatever their score; others need a score of `least`.
 
-    cut: how much of a proposal is meant; what follows, or a proposal of nothing but its first sign, is searched again.
+    propose: spans of a text that may be meant, leftmost first and without overlaps. context raises, against lowers the score.
     """
 
     kind: str
-    pattern: re.Pattern
+    propose: Callable[[str], Iterator[tuple[int, int]]]
     needs: str
     valid: Callable[[str], bool]
     score: float
-    context: re.Pattern
+    context: frozenset[str]
+    against: frozenset[str]
     base: bool = True
     least: float = 0.0
-    cut: Callable[[str], int] | None = None
 
     def spans(self, text: str) -> Iterator[tuple[int, int]]:
-        if not self.cut:
-            yield from (m.span() for m in self.pattern.finditer(text) if self.valid(m[0]))
-            return
-        at = 0
-        while m := self.pattern.search(text, at):
-            n = self.cut(m[0])
-            at = m.start() + (n or 1)
-            if n:
-                yield m.start(), at
+        return ((a, b) for a, b in self.propose(text) if self.valid(text[a:b]))
+
+
+def _matches(pattern: str) -> Callable[[str], Iterator[tuple[int, int]]]:
+    compiled = re.compile(pattern)
+    return lambda text: (m.span() for m in compiled.finditer(text))
+
+
+_NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses from their sign outwards: the run before it, no further than the last one's end, and the domain after it."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        # Each stretch between two signs is turned and searched once.
+        before = text[done:at][::-1]
+        gap = _NOT_LOCAL.search(before)
+        start = at - (gap.start() if gap else len(before))
+        domain = _DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            yield start, domain.end()
+        done = domain.end() if domain else at + 1
+        at = text.find("@", done)
+
+
+_ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+
+
+def _accounts(text: str) -> Iterator[tuple[int, int]]:
+    """What follows an account number within its proposal, or a proposal of none but for its first sign, is searched again."""
+    at = 0
+    while m := _ACCOUNT.search(text, at):
+        n = account_length(m[0])
+        at = m.start() + (n or 1)
+        if n:
+            yield m.start(), at
+
+
+def _words(*words: str) -> frozenset[str]:
+    return frozenset(" ".join(words).split())
+
+
+_WORD = re.compile(r"\w+")
+
+
+def _always(found: str) -> bool:
+    return True
 
 
-def _words(*words: str) -> re.Pattern:
-    return re.compile(r"\b(?:" + "|".join(words) + r")\b", re.I | re.A)
+def _is_address(found: str) -> bool:
+    return all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or "0") <= 255 for p in found.split("."))
 
 
+#: Context words are English, German, French and Spanish.
 RULES = (
-    Rule("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), "@", lambda m: True, 0.9, _words("mail", "email", "e-mail", "contact", "write")),
-    Rule("ip", re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"), ".", lambda m: all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or "0") <= 255 for p in m.split(".")), 0.6, _words("ip", "address", "host", "server", "from", "login")),
-    Rule("card", re.compile(r"[0-9](?:[ -]?[0-9])+"), "", lambda m: 14 <= len(d := _digits(m)) <= 19 and luhn(d), 0.8, _words("card", "visa", "mastercard", "amex", "credit", "payment", "pay")),
-    Rule("phone", re.compile(r"\+[0-9][ ().0-9-]+[0-9]"), "+", lambda m: 10 <= len(_digits(m)) <= 15, 0.7, _words("phone", "tel", "call", "mobile", "fax")),
-    Rule("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), "", lambda m: account_length(m) > 0, 0.9, _words("iban", "account", "bank", "transfer"), base=False, least=0.8, cut=account_length),
-    Rule("ssn", re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"), "-", lambda m: True, 0.4, _words("ssn", "social", "security"), base=False, least=0.6),
+    Rule("email", _emails, "@", _always, 0.9, _words("mail email contact write", "kontakt schreiben schreib", "courriel contacter écrire écrivez", "correo contacto escriba escribe"), _words("noreply")),
+    Rule("ip", _matches(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"), ".", _is_address, 0.6, _words("ip address host server from login", "adresse rechner anmeldung", "adresse serveur hôte connexion", "dirección servidor equipo acceso"), _words("version release section chapter kapitel abschnitt chapitre versión capítulo")),
+    Rule("card", _matches(r"[0-9](?:[ -]?[0-9])++"), "", lambda m: 14 <= len(d := _digits(m)) <= 19 and luhn(d), 0.8, _words("card visa mastercard amex credit payment pay", "karte kreditkarte kartennummer zahlung", "carte bancaire paiement crédit", "tarjeta crédito pago"), _words("isbn tracking serial seriennummer")),
+    Rule("phone", _matches(r"\+[0-9][ ().0-9-]+[0-9]"), "+", lambda m: 10 <= len(_digits(m)) <= 15, 0.7, _words("phone tel call mobile fax", "telefon anrufen handy rufnummer", "téléphone appeler appelez portable", "teléfono llamar llame móvil"), _words("isbn tracking serial seriennummer")),
+    Rule("iban", _accounts, "", _always, 0.9, _words("iban account bank transfer", "konto überweisung kontonummer", "compte banque virement", "cuenta banco transferencia"), _words("serial serie série"), base=False, least=0.65),
+    Rule("ssn", _matches(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"), "-", _always, 0.4, _words("ssn social security"), _words("phone tel fax isbn"), base=False, least=0.6),
 )
 ORDER = {r.kind: i for i, r in enumerate(RULES)}
 _ANY = re.compile("[@0-9]")
@@ -111,8 +156,9 @@ def find(text: str, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, int, int
         if rule.needs not in text:
             continue
         for a, b in rule.spans(text):
-            around = text[max(0, a - WINDOW) : a] + " " + text[b : b + WINDOW]
-            score = min(1.0, rule.score + 0.25 * bool(rule.context.search(around)))
+            around = _WORD.findall(f"{text[max(0, a - WINDOW) : a]} {text[b : b + WINDOW]}".lower())
+            score = rule.score + 0.25 * (not rule.context.isdisjoint(around)) - 0.2 * (not rule.against.isdisjoint(around))
+            score = round(min(1.0, max(0.0, score)), 6)
             if rule.base or score >= rule.least:
                 found.append((rule.kind, a, b, score, rule.base))
     return sorted(found, key=lambda s: (s[1], ORDER[s[0]]))
@@ -122,7 +168,7 @@ def find_pii(df: DataFrame, text_col: str = "text", out: str = "spans") -> DataF
     """df with the personal data of each whole text as an array of (kind, start, end, score, base).
 
     Base kinds are found leftmost and without overlaps within a kind; spans of different kinds may overlap.
-    Null and empty texts give empty arrays. A column named like out is replaced; rows and ties are kept.
+    Null and empty texts give empty arrays; a text is read in one pass, however long its unbroken runs are. A column named like out is replaced; rows and ties are kept.
     """
 
     def setup():
@@ -137,17 +183,12 @@ def find_pii(df: DataFrame, text_col: str = "text", out: str = "spans") -> DataF
 
 def redact(text: str) -> str:
     """The text with every span replaced by its kind in angle brackets; spans that overlap are replaced as one."""
-    spans, out, at = find(text), [], 0
-    for i, (kind, a, b, _, _) in enumerate(spans):
-        if a >= at:
-            reach = b
-            for _, c, d, _, _ in spans[i + 1 :]:
-                if c >= reach:
-                    break
-                reach = max(reach, d)
-            out += [text[at:a], f"<{kind}>"]
-            at = reach
-    return "".join([*out, text[at:]])
+    out, reach = [], 0
+    for kind, a, b, _, _ in find(text):
+        if a >= reach:
+            out += [text[reach:a], f"<{kind}>"]
+        reach = max(reach, b)
+    return "".join([*out, text[reach:]])
 
 
 def redact_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
