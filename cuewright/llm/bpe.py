@@ -17,6 +17,8 @@ from .common import append_columns, as_text
 
 #: Encoded misses in one generation of what a worker remembers.
 GENERATION = 500_000
+#: Bytes of the longest piece that is remembered, which bounds a generation in bytes too.
+REMEMBERED = 64
 _GOLD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -72,6 +74,8 @@ class Codec:
     """Encoder and decoder for one rank file and one pre-token pattern."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        if max(ranks.values()) >= 1 << 20 or any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("ranks must stay below 2^20 and hold every single byte")
         self.ranks = ranks
         self.pattern = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.hash = PerfectHash(list(ranks))
@@ -141,7 +145,9 @@ class Codec:
                 continue
             got = young.get(piece)
             if got is None:
-                got = young[piece] = old.get(piece) or self.merge(key)  # tuples of numbers, which the garbage collector leaves alone
+                got = old.get(piece) or self.merge(key)
+                if len(key) <= REMEMBERED:
+                    young[piece] = got  # tuples of numbers, which the garbage collector leaves alone
             out += got
             lengths[k] = len(got)
         if len(young) >= GENERATION:

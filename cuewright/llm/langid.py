@@ -54,7 +54,8 @@ def has_letter(text: bytes) -> bool:
 def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, rounds: int = 150) -> np.ndarray:
     """Weights and offset of a linear SVM with squared hinge loss, by accelerated gradient steps; y is -1 or 1."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    weight = weight / weight.sum()
+    # All of one width, else each round would convert the whole matrix.
+    y, weight = y.astype(np.float32), (weight / weight.sum()).astype(np.float32)
     w = before = np.zeros(x.shape[1], np.float32)
     step = 1 / (ridge + 4)
     for k in range(rounds):
@@ -115,19 +116,20 @@ class Model:
         return [lang if k else UNKNOWN for lang, k in zip(langs, known)], scores
 
 
-def _draw(labelled: DataFrame, id_col: str, label_col: str, rows: int) -> tuple[DataFrame, dict]:
-    """About `rows` rows of each label, by a hash of the id; and the number of rows of each label."""
+def _draw(labelled: DataFrame, by: list[str], label_col: str, rows: int) -> tuple[DataFrame, dict]:
+    """About `rows` rows of each label, at most twice as many of all, by a hash of the columns `by`; and the number of rows of each label."""
     counts = {r[0]: r[1] for r in labelled.groupBy(label_col).count().collect()}
     share: Column = F.lit(0.0)
     for label, n in counts.items():
         share = F.when(F.col(label_col) == F.lit(label), F.lit(min(1.0, rows / n))).otherwise(share)
-    return labelled.filter(F.pmod(F.xxhash64(id_col, F.lit("draw")), F.lit(1 << 20)) < share * (1 << 20)), counts
+    drawn = labelled.filter(F.pmod(F.xxhash64(*by, F.lit("draw")), F.lit(1 << 20)) < share * (1 << 20))
+    return drawn.limit(2 * rows * max(1, len(counts))), counts
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, families: dict[str, int] | None = None) -> Model:
     """Fit on the rows with a language and a letter; only their features, rows_per_language of each, reach the driver."""
     prepare(labelled)
-    drawn, _ = _draw(labelled.filter(F.col(lang_col).isNotNull()).select(id_col, text_col, lang_col), id_col, lang_col, rows_per_language)
+    drawn, _ = _draw(labelled.filter(F.col(lang_col).isNotNull()).select(id_col, text_col, lang_col), [id_col, text_col], lang_col, rows_per_language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

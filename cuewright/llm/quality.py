@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from .common import append_columns
 from .langid import _draw
 
-#: Labelled rows of each class that the fit takes, about, and the longest text among them.
-ROWS_PER_CLASS, LONGEST_SAMPLE = 1200, 100_000
+#: Labelled rows of each class that the fit takes, about, and the characters of each: of a longer text so many in blocks from all over it.
+ROWS_PER_CLASS, CHARS_PER_ROW = 1200, 32_768
 DICTIONARY_BYTES = 64 << 10
 #: Each block of a text is compressed by itself, else a long text teaches the compressor more than the dictionary does.
 BLOCK = 4096
@@ -76,16 +76,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * x / self.scale + self.offset, -30, 30)))
 
 
-def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows_per_class: int = ROWS_PER_CLASS) -> Model:
-    """Fit on about rows_per_class labelled rows of each class (label 1, and all others), of at most LONGEST_SAMPLE characters.
+def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows_per_class: int = ROWS_PER_CLASS, chars_per_row: int = CHARS_PER_ROW) -> Model:
+    """Fit on about rows_per_class labelled rows of each class (label 1, and all others).
 
+    A text of over chars_per_row characters teaches by blocks of BLOCK characters at even distances, so many in all.
     Half of each class makes its dictionary, the other half the calibration, weighted to the classes' true
     shares. Without rows of a class the score of every text is that of the offset.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col, (F.col(label_col) == 1).cast("int").alias("y")).distinct()
-    drawn, counts = _draw(known, id_col, "y", rows_per_class)
-    bounded = F.broadcast(drawn.limit(4 * rows_per_class))  # a bound that the draw stays far below
-    rows = documents.filter(F.char_length(text_col) <= LONGEST_SAMPLE).select(id_col, text_col).join(bounded, id_col).select("y", F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, F.lit("half")), F.lit(2)).alias("half")).collect()
+    drawn, counts = _draw(known, [id_col], "y", rows_per_class)
+    blocks = max(1, chars_per_row // BLOCK)
+    apart = F.char_length(text_col) / blocks
+    short = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.substring(F.col(text_col), (i * apart).cast("int") + 1, F.lit(BLOCK))), "")
+    part = F.when(F.char_length(text_col) <= chars_per_row, F.col(text_col)).otherwise(short)
+    bounded = F.broadcast(drawn)  # at most 4 * rows_per_class rows of an id and a label
+    rows = documents.filter(F.col(text_col).isNotNull()).select(id_col, text_col).join(bounded, id_col).limit(8 * rows_per_class).select("y", part.alias("text"), F.pmod(F.xxhash64(id_col, F.lit("half")), F.lit(2)).alias("half")).collect()
     rows.sort(key=lambda r: (r.y, r.text))
     text = lambda y, half: [r.text.encode() for r in rows if r.y == y and r.half == half]
     good, bad = _dictionary(text(1, 0)), _dictionary(text(0, 0))

@@ -29,7 +29,10 @@ def op2_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths, _, _ = secret_scan.scan_versions(documents(spark, sf_dir))
+    """Two generations: half of the texts first, then all, of which only the others' blobs are scanned."""
+    docs = documents(spark, sf_dir)
+    early = docs.filter(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2)) == 0)
+    paths = secret_scan.scan_generations([early, docs])
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
     counts = [secret_scan.count_kind(k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
     return paths.select("doc_id", *counts, F.sha2(span_list(base), 256).alias("base_sha256"), span_list("spans").alias("spans"))
@@ -44,7 +47,7 @@ def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = revisits.resolve(revisits.captures_of_pages(table(spark, sf_dir, "pages")))
     headers = F.concat_ws("; ", F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))))
-    return found.select(((F.col("capture_id") - 1) / 2).cast("long").alias("page_id"), "canonical_url", (F.col("refers_to") / 2).cast("long").alias("refers_to_page"), "verdict", headers.alias("headers"))
+    return found.select(F.expr("(capture_id - 1) div 2").alias("page_id"), "canonical_url", F.expr("refers_to div 2").alias("refers_to_page"), "verdict", headers.alias("headers"))
 
 
 def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +136,7 @@ q AS (SELECT page_id, xor(raw, 4294967295::UBIGINT)::BIGINT AS crc, md5(html) AS
 u AS (SELECT *, host || path || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END AS canonical_url, 'day-' || (page_id // 7) AS modified FROM q),
 r AS (SELECT a.page_id, a.canonical_url, a.crc, CASE WHEN a.crc % 7 = 0 THEN NULL WHEN a.crc % 5 = 0 THEN md5(a.etag) ELSE a.etag END AS etag, CASE WHEN a.crc % 7 = 0 THEN NULL ELSE a.modified END AS modified,
   max(b.page_id) AS refers_to_page FROM u a LEFT JOIN u b ON a.canonical_url = b.canonical_url AND 2 * b.page_id < 2 * (a.page_id + 1 + a.crc % 50) + 1 GROUP BY ALL),
-v AS (SELECT r.*, b.size, CASE WHEN b.page_id IS NULL THEN 'missing' WHEN coalesce(r.etag <> b.etag, false) OR coalesce(r.modified <> b.modified, false) THEN 'changed' WHEN r.etag IS NULL AND r.modified IS NULL THEN 'unproven' ELSE 'match' END AS verdict
+v AS (SELECT r.*, b.size, CASE WHEN b.page_id IS NULL THEN 'missing' WHEN coalesce(r.etag = b.etag, r.modified = b.modified) THEN 'match' WHEN NOT coalesce(r.etag = b.etag, r.modified = b.modified) THEN 'changed' ELSE 'unproven' END AS verdict
   FROM r LEFT JOIN u b ON r.refers_to_page = b.page_id)
 SELECT page_id, canonical_url, refers_to_page, verdict, 'cache-control: max-age=300; content-length: ' || CASE WHEN verdict = 'match' THEN size ELSE 0 END || CASE WHEN verdict = 'match' THEN '; content-type: text/html' ELSE '' END || '; date: visit-' || page_id AS headers FROM v""",
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Headers of a 304 that must not replace those of the stored response (RFC 9111, section 3.2, and hop-by-hop ones).
 KEPT_HEADERS = ("connection", "content-encoding", "content-length", "content-md5", "content-range", "content-type", "etag", "keep-alive", "proxy-authenticate", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade")
 #: Query parameters that say where a visitor came from, not what is shown.
@@ -30,40 +32,47 @@ def merge_headers(stored: Column, sent: Column) -> Column:
     return F.map_concat(held, sent)
 
 
+def same_validator(sent: Column, stored: Column) -> Column:
+    """Whether two ETags are equal by weak comparison (a leading W/ does not count); null if one is missing."""
+    bare = lambda tag: F.regexp_replace(tag, "^W/", "")
+    return bare(sent) == bare(stored)
+
+
 def resolve(captures: DataFrame, ranges: int | None = None) -> DataFrame:
     """A row for each revisit: (capture_id, canonical_url, refers_to, verdict, headers).
 
     captures: (capture_id, url, time, kind, etag, last_modified, headers); time is a number, kind `response` (full)
     or `revisit`, header names in lower case. refers_to is the response of the same canonical URL with the latest
-    time below the revisit's (on ties the largest capture_id). verdict is `match` if the validators that both have
-    agree, `changed` if one differs, `unproven` if they share none, `missing` without an earlier response. Headers
-    are merged for `match`; otherwise they are the revisit's own. Null urls and null times stay unresolved
-    (`missing`); repeated rows give repeated results; other columns are dropped.
+    time below the revisit's (on ties the largest capture_id). verdict is `missing` without an earlier response; else
+    the ETags decide if both have one, by weak comparison, and the dates of modification only if not: `match` or
+    `changed`, and `unproven` if they share neither. Headers are merged for `match`; otherwise they are the revisit's
+    own. Null urls and null times stay unresolved (`missing`); repeated rows give repeated results; other columns,
+    whatever their names, are dropped; an empty table gives an empty result.
 
-    A URL may hold a large part of all captures, so time is cut into `ranges` ranges: each finds its own answer,
-    and what a range leaves open comes from the last response of the ranges before it, one row for each.
+    A URL may hold a large part of all captures, so captures of one URL and time become one point before they are
+    put in order, and time is cut into `ranges` ranges of about equal numbers: each finds its own answer, and what
+    a range leaves open comes from the last response of the ranges before it, one row for each.
     """
     ranges = ranges or 4 * int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    low, high = captures.agg(F.min("time"), F.max("time")).first()
-    width = 1 if low is None else (high - low) / ranges or 1
-    part = F.coalesce(F.floor((F.col("time") - F.lit(low or 0)) / F.lit(width)).cast("int"), F.lit(-1))
+    edges = sorted(set(captures.agg(F.percentile_approx("time", [i / ranges for i in range(1, ranges)] or [0.5], 100 * ranges)).first()[0] or []))
+    part = F.aggregate(F.array(*map(F.lit, edges)), F.lit(0), lambda n, e: n + (e < F.col("time")).cast("int")) if edges else F.lit(0)
     no_headers = F.create_map().cast("map<string,string>")
-    rows = captures.select("capture_id", canonical_url(F.col("url")).alias("canonical_url"), "time", "kind", "etag", "last_modified", F.coalesce("headers", no_headers).alias("headers"), part.alias("part"))
+    rows = captures.select("capture_id", canonical_url(F.col("url")).alias("canonical_url"), "time", "kind", "etag", "last_modified", F.coalesce("headers", no_headers).alias("headers"))
     usable = F.col("canonical_url").isNotNull() & F.col("time").isNotNull()
-    full = (F.col("kind") == "response") & usable
+    full = F.col("kind") == "response"
     held = F.struct("time", "capture_id", "etag", "last_modified", "headers")
-    rows = rows.withColumn("held", F.when(full, held))
-    line = Window.partitionBy("canonical_url", "part").orderBy("time", F.when(full, 1).otherwise(0), "capture_id")
-    near = rows.filter(usable).withColumn("near", F.last("held", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))).filter("kind = 'revisit'")
-    last = rows.filter(usable).groupBy("canonical_url", "part").agg(F.max_by("held", F.when(full, F.struct("time", "capture_id"))).alias("held"))
+    points = rows.filter(usable).groupBy("canonical_url", "time").agg(F.max_by(held, F.when(full, F.col("capture_id"))).alias("held")).withColumn("part", part)
+    line = Window.partitionBy("canonical_url", "part").orderBy("time").rowsBetween(Window.unboundedPreceding, -1)
+    near = points.withColumn("near", F.last("held", ignorenulls=True).over(line))
+    last = points.groupBy("canonical_url", "part").agg(F.max_by("held", F.when(F.col("held").isNotNull(), F.col("time"))).alias("held"))
     parts = Window.partitionBy("canonical_url").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = last.select("canonical_url", "part", F.last("held", ignorenulls=True).over(parts).alias("before"))
-    found = near.join(before, ["canonical_url", "part"], "left").withColumn("at", F.coalesce("near", "before"))
-    lost = rows.filter(~usable & (F.col("kind") == "revisit")).withColumn("at", F.lit(None).cast(found.schema["at"].dataType))
-    found = found.select("capture_id", "canonical_url", "etag", "last_modified", "headers", "at").unionByName(lost.select("capture_id", "canonical_url", "etag", "last_modified", "headers", "at"))
-    same = lambda c: F.col(c) == F.col(f"at.{c}")
-    verdict = F.when(F.col("at").isNull(), "missing").when(~F.coalesce(same("etag"), F.lit(True)) | ~F.coalesce(same("last_modified"), F.lit(True)), "changed").when(F.coalesce(same("etag"), same("last_modified")), "match").otherwise("unproven")
-    found = found.withColumn("verdict", verdict)
+    answers = near.join(before, ["canonical_url", "part"]).select("canonical_url", "time", F.coalesce("near", "before").alias("at"))
+    # A table of its own, so that the join can split a moment at which one URL has very many revisits.
+    answers = materialize(answers, "answers")
+    found = rows.filter("kind = 'revisit'").join(answers, ["canonical_url", "time"], "left")
+    same = F.coalesce(same_validator(F.col("etag"), F.col("at.etag")), F.col("last_modified") == F.col("at.last_modified"))
+    found = found.withColumn("verdict", F.when(F.col("at").isNull(), "missing").when(same, "match").when(~same, "changed").otherwise("unproven"))
     headers = F.when(F.col("verdict") == "match", merge_headers(F.col("at.headers"), F.col("headers"))).otherwise(F.col("headers"))
     return found.select("capture_id", "canonical_url", F.col("at.capture_id").alias("refers_to"), "verdict", headers.alias("headers"))
 

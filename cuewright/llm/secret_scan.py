@@ -1,7 +1,8 @@
 """Secret scans over an incremental blob ledger, with DataFrame functions only.
 
 Every version of every path is content-addressed. Each pair of a blob and a rule's version is scanned once: pairs
-that the ledger lists are left out, copies of a blob count once, and findings are joined back to all paths.
+that the ledger lists are left out, copies of a blob count once, and findings are joined back to all paths. A
+finding carries its rule's key (kind/version), so findings of a version that a newer one replaced are dropped.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ def unseen(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Findings (blob, kind, start, end) in code points, leftmost and without overlaps within a kind.
+    """Findings (blob, rule, kind, start, end) in code points, leftmost and without overlaps within a kind.
 
     A match's place is the length of all gaps and matches before it: a text is cut at the matches of a rule, and
     the lengths of the pieces are summed in order within one blob and rule.
@@ -77,37 +78,50 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         rows = F.arrays_zip(lengths(gaps).alias("gap"), lengths(hits).alias("hit"), lengths(held).alias("held"))
         return F.when(test, rows).otherwise(empty)
 
-    kinds = F.array(*(F.struct(F.lit(i).alias("rule"), pieces(r).alias("pieces")) for i, r in enumerate(rules)))
+    kinds = F.array(*(F.struct(F.lit(r.key).alias("rule"), F.lit(r.kind).alias("kind"), F.lit(r.least).alias("least"), pieces(r).alias("pieces")) for r in rules))
     found = blobs.select("blob", F.explode(F.filter(kinds, lambda k: F.size(k["pieces"]) > 0)).alias("k"))
-    found = found.select("blob", "k.rule", F.posexplode("k.pieces").alias("place", "p"))
+    found = found.select("blob", "k.rule", "k.kind", "k.least", F.posexplode("k.pieces").alias("place", "p"))
     line = Window.partitionBy("blob", "rule").orderBy("place")
     found = found.withColumn("end", F.sum(F.col("p.gap") + F.col("p.hit")).over(line))
-    kind = F.element_at(F.array(*(F.lit(r.kind) for r in rules)), F.col("rule") + 1)
-    least = F.element_at(F.array(*(F.lit(r.least) for r in rules)), F.col("rule") + 1)
-    return found.filter(F.col("p.held") >= least).select("blob", "rule", kind.alias("kind"), (F.col("end") - F.col("p.hit")).alias("start"), "end")
+    return found.filter(F.col("p.held") >= F.col("least")).select("blob", "rule", "kind", (F.col("end") - F.col("p.hit")).alias("start"), "end")
 
 
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, known: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(paths, findings, ledger) for versions of paths: a row of `versions` is one version of one path.
 
-    paths: (path_col, blob, spans) for every row, spans an array of (start, rule, kind, end) in order; findings:
-    the new ones and `known`, those of earlier scans; ledger: (blob, rule) pairs scanned so far. A null text is an
-    empty blob. Repeated rows stay; a null path stays; an empty table gives empty results.
+    paths: (path_col, blob, spans) for every row, spans an array of (start, place, kind, end) in order of start, then
+    of the place of their rule in `rules`; findings: the new ones and those `known` from earlier scans by rules that
+    still hold (of a rule whose version changed only the new version's stay); ledger: (blob, rule) pairs scanned so
+    far. A null text is an empty blob. Repeated rows stay; a null path stays; an empty table gives empty results.
     """
     rows = versions.select(path_col, content_address(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     blobs = unseen(rows.select("blob", "text"), ledger, rules)
     findings = scan(blobs, rules)
     if known is not None:
-        findings = findings.unionByName(known)
+        findings = findings.unionByName(known.filter(F.col("rule").isin(*(r.key for r in rules))))
     scanned = blobs.select("blob", F.explode("todo").alias("rule"))
-    span = F.struct(F.col("start").cast("long").alias("start"), "rule", "kind", F.col("end").cast("long").alias("end"))
+    place = F.array_position(F.array(*(F.lit(r.key) for r in rules)), F.col("rule")).cast("int")
+    span = F.struct(F.col("start").cast("long").alias("start"), place.alias("place"), "kind", F.col("end").cast("long").alias("end"))
     # A table of its own, so that the join can split a blob that very many paths have.
     each = materialize(findings.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("spans")), "findings")
     paths = rows.select(path_col, "blob").join(each, "blob", "left")
-    none = F.array().cast("array<struct<start:bigint,rule:int,kind:string,end:bigint>>")
+    none = F.array().cast("array<struct<start:bigint,place:int,kind:string,end:bigint>>")
     return paths.select(path_col, "blob", F.coalesce("spans", none).alias("spans")), findings, scanned if ledger is None else ledger.unionByName(scanned)
 
 
 def count_kind(kind: str, spans: str = "spans") -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
+
+def scan_generations(generations: list[DataFrame], rules: tuple[Rule, ...] = RULES, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """paths (as scan_versions has them) of the last of several generations of versions.
+
+    Each generation is scanned with the ledger and the findings that those before it left, which are written to the
+    shared folder in between, so a blob that an earlier generation had is not scanned again.
+    """
+    ledger = known = paths = None
+    for n, versions in enumerate(generations):
+        paths, findings, scanned = scan_versions(versions, ledger, known, rules, path_col, text_col)
+        if n < len(generations) - 1:
+            known, ledger = materialize(findings, "known"), materialize(scanned, "ledger")
+    return paths
