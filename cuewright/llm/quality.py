@@ -23,12 +23,16 @@ LEVEL = 3
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary; with too little text to train on, the text itself."""
+    """A trained dictionary; where training finds too little in common, pieces from all over the texts themselves."""
     blocks = [t[i : i + BLOCK] for t in texts for i in range(0, len(t), BLOCK)]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, blocks, level=LEVEL).as_bytes()
+        trained = zstandard.train_dictionary(DICTIONARY_BYTES, blocks, level=LEVEL).as_bytes()
     except (zstandard.ZstdError, ValueError):
-        return b" ".join(blocks)[-DICTIONARY_BYTES:] or b" "
+        trained = b""
+    if len(trained) >= min(DICTIONARY_BYTES, sum(map(len, blocks))) // 4:
+        return trained
+    share = max(1, DICTIONARY_BYTES // max(1, len(blocks)))
+    return b" ".join(b[:share] for b in blocks)[-DICTIONARY_BYTES:] or b" "
 
 
 class Sizer:
