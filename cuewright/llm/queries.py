@@ -108,16 +108,20 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS nxt FROM d),
 e AS (SELECT doc_id, text, nxt, length(text) AS n_chars, substr(text, 1, length(text) - length(text) // 2) || substr(nxt, 1, length(text) // 2) AS edited FROM n),
 v AS (SELECT doc_id, n_chars, edited, unnest([{'k': 0, 't': text}, {'k': 1, 't': edited}, {'k': 2, 't': nxt}]) AS s FROM e),
-f AS (SELECT doc_id, n_chars, edited, s.k AS k,
-  sha256(list_aggregate(list_concat([''], list_transform(list_filter(string_split(regexp_replace(s.t, '(\n{2,})', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''),
-    lambda x: sha256(list_aggregate(list_transform(list_filter(string_split(regexp_replace(x, '(\n)', '\1' || chr(1), 'g'), chr(1)), lambda p: p <> ''), lambda p: sha256(p)), 'string_agg', '')))), 'string_agg', '')) AS root,
-  list_transform(list_filter(string_split(regexp_replace(s.t, '([.!?;:,|]+[ \t]+|\n+)', '\1' || chr(1), 'g'), chr(1)), lambda c: c <> ''), lambda c: substr(md5(c), 1, 8)) AS c FROM v),
-g AS (SELECT a.doc_id, a.n_chars, a.edited, a.root AS r0, b.root AS r1, z.root AS r2, a.c AS c0, b.c AS c1, z.c AS c2
-  FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.k = 1 JOIN f z ON a.doc_id = z.doc_id AND z.k = 2 WHERE a.k = 0),
-h AS (SELECT *, len(list_distinct(c0)) AS n0, len(list_distinct(c1)) AS n1, len(list_distinct(c2)) AS n2, len(list_intersect(c0, c1)) AS m1, len(list_intersect(c0, c2)) AS m2 FROM g)
-SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, r0 || ':' || coalesce(list_aggregate(c0, 'string_agg', ''), '') AS fingerprint, r1 || ':' || coalesce(list_aggregate(c1, 'string_agg', ''), '') AS edited_fingerprint,
-  CASE WHEN r0 = r1 THEN 1.0::DOUBLE WHEN n0 + n1 = 0 THEN 0.0 ELSE 2.0::DOUBLE * m1 / (n0 + n1) END AS near_edited,
-  CASE WHEN r0 = r2 THEN 1.0::DOUBLE WHEN n0 + n2 = 0 THEN 0.0 ELSE 2.0::DOUBLE * m2 / (n0 + n2) END AS near_next FROM h""",
+l AS (SELECT doc_id, n_chars, edited, s.k AS k, regexp_extract_all(s.t, '[^\n]*\n|[^\n]+') AS lines FROM v),
+f AS (SELECT doc_id, n_chars, edited, k,
+  sha256(array_to_string(list_transform(list_filter(string_split(regexp_replace(array_to_string(list_transform(lines, lambda p: sha256(p)), '.') || '.', '\b(0[0-9a-f]*)\.', '\1;', 'g'), ';'), lambda s: s <> ''), lambda s: sha256(s)), '')) AS root,
+  CASE WHEN len(lines) = 0 THEN '' ELSE regexp_replace(array_to_string(list_transform(lines, lambda p: substr(sha256(p), 1, 8) || array_to_string(list_transform(regexp_extract_all(p, '(?s).{1,80}?(?:[.!?;:,|]+[ \t]+|\n)|.{80}|.+'), lambda c: substr(md5(c), 1, 8)), '')), '.') || '.', '\b(0[0-9a-f]*)\.', '\1;', 'g') END AS tree FROM l),
+g AS (SELECT a.doc_id, a.n_chars, a.edited, z.k, a.root AS r0, z.root AS r1, a.tree AS t0, z.tree AS t1, list_filter(string_split(a.tree, ';'), lambda x: x <> '') AS sa, list_filter(string_split(z.tree, ';'), lambda x: x <> '') AS sb FROM f a JOIN f z ON a.doc_id = z.doc_id AND z.k > 0 WHERE a.k = 0),
+p AS (SELECT *, list_distinct(flatten(list_transform(list_filter(sa, lambda s: list_contains(sb, s)), lambda s: list_filter(string_split(s, '.'), lambda y: y <> '')))) AS pc,
+  list_distinct(flatten(list_transform(list_filter(sa, lambda s: NOT list_contains(sb, s)), lambda s: list_filter(string_split(s, '.'), lambda y: y <> '')))) AS pa,
+  list_distinct(flatten(list_transform(list_filter(sb, lambda s: NOT list_contains(sa, s)), lambda s: list_filter(string_split(s, '.'), lambda y: y <> '')))) AS pb FROM g),
+q AS (SELECT *, list_distinct(flatten(list_transform(list_filter(pa, lambda x: NOT list_contains(pb, x)), lambda x: regexp_extract_all(substr(x, 9), '.{8}')))) AS la,
+  list_distinct(flatten(list_transform(list_filter(pb, lambda x: NOT list_contains(pa, x)), lambda x: regexp_extract_all(substr(x, 9), '.{8}')))) AS lb,
+  coalesce(list_sum(list_transform(list_concat(pc, list_filter(pa, lambda x: list_contains(pb, x))), lambda x: length(x) // 8 - 1)), 0) AS held FROM p),
+h AS (SELECT *, len(list_intersect(la, lb)) AS m FROM q),
+w AS (SELECT doc_id, n_chars, edited, k, r0, r1, t0, t1, CASE WHEN r0 = r1 THEN 1.0::DOUBLE WHEN held + len(la) + len(lb) = 0 THEN 0.0 ELSE 2.0::DOUBLE * (held + m) / (2.0::DOUBLE * (held + m) + len(la) + len(lb) - 2 * m) END AS near FROM h)
+SELECT a.doc_id, a.n_chars, sha256(a.edited) AS edited_sha256, a.r0 || ':' || a.t0 AS fingerprint, a.r1 || ':' || a.t1 AS edited_fingerprint, a.near AS near_edited, b.near AS near_next FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.k = 1 AND b.k = 2""",
     "op3_secret_ledger": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 cuts AS ({_CUTS}),

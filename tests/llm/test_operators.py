@@ -226,14 +226,6 @@ def test_leaks_of_items_cut_at_the_start_or_end_of_a_text(spark):
     assert got == {1: (35 / 36, 0, 35), 2: (35 / 36, 0, 35), 3: (0.75, 0, 27), 4: (0.75, 0, 27), 5: (0.75, 30, 57)}
 
 
-def test_merkle_edits_and_equality(spark):
-    old = spark.createDataFrame([(1, "a. b\nc\n\nd"), (2, "same")], DOCS)
-    new = spark.createDataFrame([(1, "a. b\nC\n\nd"), (2, "same"), (3, "more")], DOCS)
-    assert sorted(tuple(r) for r in merkle.edits(merkle.nodes(old), merkle.nodes(new)).collect()) == [(1, 0, 1, "edited"), (3, 0, 0, "added")]
-    lone = merkle.compare_edits(spark.createDataFrame([(1, "x y")], DOCS)).collect()[0]
-    assert lone.near_next == 1.0 and lone.n_chars == 3
-
-
 def test_ledger_scans_nothing_twice(spark):
     first = spark.createDataFrame([(1, "key AKIA" + "B" * 16), (2, "key AKIA" + "B" * 16), (3, "nothing")], DOCS)
     _, findings, ledger = secret_scan.scan_versions(first)
