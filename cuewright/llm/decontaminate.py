@@ -1,11 +1,15 @@
 """Benchmark decontamination: n-gram seeds find test items in training text, Smith-Waterman scores the copies.
 
 Every n-gram of an item is a seed, however often the corpus has it: counts cannot tell a leak that was copied often
-from a common phrase. Chance hits are turned away by a bound on the score before anything is aligned.
+from a common phrase. What makes a seed rare enough is its item: chance hits are turned away by a bound on the score
+that the words in common allow, before anything is aligned. Items come to the tasks in passes of bounded size; a
+benchmark of several passes is never held whole, neither by the driver nor by a task.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,19 +19,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, prepare
+from .common import append_columns, as_text, discard, materialize, prepare
 
 #: Words in a seed.
 SEED_WORDS = 3
 #: Share of an item's words that the best alignment must recover.
 LEAK = 0.4
-#: Words of test items that tasks get at once; a larger benchmark is handled in several passes.
-CHUNK_WORDS = 2_000_000
+#: Words of test items that tasks get at once, some 100 MB with their seeds; a larger benchmark takes several passes.
+PASS_WORDS = 2_000_000
+_HELD = "_cuewright_held_leaks"
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 ARROW_LEAKS = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
 
+_odd = re.compile(r"[^\w\x00-\x7f]+")
 _word_bytes = np.zeros(256, np.uint8)
 _word_bytes[48:58], _word_bytes[97:123], _word_bytes[65:91], _word_bytes[128:] = np.arange(48, 58), np.arange(97, 123), np.arange(97, 123), np.arange(128, 256)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -56,16 +62,23 @@ class _Powers:
 _up, _down = _Powers(_BASE), _Powers(_INVERSE)
 
 
+def _plain(text: bytes) -> bytes:
+    """Composed, in small letters, and with a space for signs beyond ASCII that are no letters or digits."""
+    if text.isascii():
+        return text
+    s = as_text(text)
+    s = s if unicodedata.is_normalized("NFC", s) else unicodedata.normalize("NFC", s)
+    return _odd.sub(" ", s.lower()).encode("utf-8", "replace")
+
+
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts in order, and where each text's words begin (one entry more than texts).
 
-    Words are runs of ASCII letters and digits and of bytes above 127; capitals of Latin-1 count as small.
+    Words are runs of letters and digits, whatever their script and case.
     """
+    texts = [_plain(t) for t in texts]
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     b = _word_bytes[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]
-    # Capitals with an accent (U+00C0 to U+00DE) are two bytes, of which the second is 32 below the small letter's.
-    lead = np.flatnonzero(b[:-1] == 0xC3) + 1
-    b[lead[(b[lead] >= 0x80) & (b[lead] <= 0x9E) & (b[lead] != 0x97)]] += 32
     inside = b != 0
     edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -108,14 +121,15 @@ def smith_waterman(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, i
 
 @dataclass
 class Items:
-    """Test items as word hashes, and their n-grams: sorted hashes, and the item and place of each."""
+    """Test items as word hashes, and their n-grams, sorted: each one's item and its first and last place in it."""
 
     ids: list[int]
     words: list[np.ndarray]
     width: int
     keys: np.ndarray
     item: np.ndarray
-    place: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
 
     @classmethod
     def of(cls, ids: list[int], words: list[np.ndarray], width: int) -> Items:
@@ -123,22 +137,27 @@ class Items:
         item = np.repeat(np.arange(len(words)), [len(g) for g in grams])
         place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
         keys = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        order = np.argsort(keys, kind="stable")
-        return cls(ids, words, width, keys[order], item[order], place[order])
-
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Item numbers, in order, and where in one text each item would begin by a seed in common (places below 0 too)."""
+        order = np.lexsort((place, item, keys))
+        keys, item, place = keys[order], item[order], place[order]
+        new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (item[1:] != item[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        ends = np.append(new[1:], len(keys)) - 1 if len(keys) else new
+        return cls(ids, words, width, keys[new], item[new], place[new], place[ends])
+
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item numbers, in order, and where in one text each item would begin by a seed in common, at the earliest and
+        at the latest (places below 0 too). A seed that an item repeats is one hit."""
         grams = ngrams(words, self.width)
         low, high = np.searchsorted(self.keys, grams), np.searchsorted(self.keys, grams, "right")
         n = high - low
         k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n)
-        item, begin = self.item[k], np.repeat(np.arange(len(grams)), n) - self.place[k]
-        order = np.lexsort((begin, item))
-        return item[order], begin[order]
+        at = np.repeat(np.arange(len(grams)), n)
+        item, low, high = self.item[k], at - self.last[k], at - self.first[k]
+        order = np.lexsort((high, low, item))
+        return item[order], low[order], high[order]
 
     def leaks(self, words: np.ndarray) -> list[tuple[int, float, int, int]]:
         """(item_id, score, start, end) of the items found in one text; places count its words."""
-        of, begins = self.hits(words)
+        of, lows, highs = self.hits(words)
         numbers, edges = np.unique(of, return_index=True)
         if not len(numbers):
             return []
@@ -146,20 +165,20 @@ class Items:
         sizes = np.array([len(self.words[i]) for i in numbers])
         common = np.add.reduceat(np.isin(np.concatenate([self.words[i] for i in numbers]), words), np.cumsum(sizes) - sizes, dtype=np.int64)
         found = []
-        for i, places, able in zip(numbers.tolist(), np.split(begins, edges[1:]), common >= LEAK * sizes):
+        for i, low, high, able in zip(numbers.tolist(), np.split(lows, edges[1:]), np.split(highs, edges[1:]), common >= LEAK * sizes):
             if not able:
                 continue
             item = self.words[i]
-            # A score of LEAK leaves room for so many gaps, so no alignment through a seed leaves the passage.
-            room = int(2 * (1 - LEAK) * len(item))
-            best, reach = (0.0, 0, 0), None
-            places = np.unique(places)
-            for begin in places.tolist():
-                if reach is not None and begin <= reach:
-                    continue
-                # Seeds whose items would begin close together share one passage.
-                reach = int(places[np.searchsorted(places, begin + len(item), "right") - 1])
-                a, b = max(0, begin - room), min(len(words), reach + len(item) + room)
+            # Words of the text within an alignment cost a point each where they match nothing, and all of the item's
+            # words together earn two each, so a score of LEAK leaves room for so many; no alignment through a seed
+            # leaves the passage.
+            room = int(2 * (1 - LEAK) * len(item)) + 1
+            best = (0.0, 0, 0)
+            # Seeds whose passages overlap share one.
+            reach = np.maximum.accumulate(high + len(item) + room)
+            starts = np.flatnonzero(np.append(True, low[1:] - room > reach[:-1]))
+            for k, after in zip(starts.tolist(), [*starts[1:].tolist(), len(low)]):
+                a, b = max(0, int(low[k]) - room), min(len(words), int(reach[after - 1]))
                 passage = words[a:b]
                 if np.isin(item, passage).sum() < LEAK * len(item):
                     continue
@@ -170,8 +189,8 @@ class Items:
         return found
 
 
-def _chunks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
-    """The items in passes of bounded size, those of fewer words than a seed by themselves with seeds of their length."""
+def _chunks(benchmark: DataFrame, id_col: str, text_col: str, pass_words: int) -> Iterator[list[Items]]:
+    """The items in passes of about pass_words words; those of fewer words than a seed have seeds of their length."""
     held: dict[int, tuple[list[int], list[np.ndarray]]] = {}
     size = 0
     for row in benchmark.select(id_col, text_col).filter(F.col(text_col).isNotNull()).toLocalIterator():
@@ -181,36 +200,53 @@ def _chunks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]
             ids.append(row[0])
             texts.append(words)
             size += len(words)
-        if size >= CHUNK_WORDS:
-            yield from (Items.of(*group, n) for n, group in sorted(held.items()))
+        if size >= pass_words:
+            yield [Items.of(*group, n) for n, group in sorted(held.items())]
             held, size = {}, 0
-    yield from (Items.of(*group, n) for n, group in sorted(held.items()))
-
+    if held:
+        yield [Items.of(*group, n) for n, group in sorted(held.items())]
 
-def find_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out: str = "leaks") -> DataFrame:
-    """df with the test items that each whole text holds, as an array of (item_id, score, start, end) in words.
 
-    Score is the best Smith-Waterman alignment of the item's words with the text's (match 2, mismatch and gap -1) as a share of
-    the item's own; items of at least LEAK that share SEED_WORDS words in a row with the text are listed, each once. Null and
-    empty texts hold none; null or wordless items are never found; repeated items are found each by its id; with
-    no items every array is empty. A column named like out is replaced; all rows are kept, nothing is shuffled.
-    """
-    prepare(df)
-    shared = [df.sparkSession.sparkContext.broadcast(c) for c in _chunks(benchmark, item_col, item_text_col)]
+def _one_pass(df: DataFrame, items: list[Items], text_col: str, out: str) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast(items)
 
     def setup():
         def compute(texts: list[bytes]) -> list[pa.Array]:
             words, starts = words_of(texts)
             held: list[list[dict]] = [[] for _ in texts]
-            for one in shared:
-                items: Items = one.value
-                grams = ngrams(words, items.width)
-                at = np.minimum(np.searchsorted(items.keys, grams), max(0, len(items.keys) - 1))
-                hit = np.flatnonzero(items.keys[at] == grams) if len(items.keys) else []
+            for one in shared.value:
+                grams = ngrams(words, one.width)
+                at = np.minimum(np.searchsorted(one.keys, grams), max(0, len(one.keys) - 1))
+                hit = np.flatnonzero(one.keys[at] == grams) if len(one.keys) else []
                 for i in np.unique(np.searchsorted(starts, hit, "right") - 1).tolist():
-                    held[i] += [dict(zip(("item_id", "score", "start", "end"), x)) for x in items.leaks(words[starts[i] : starts[i + 1]])]
+                    held[i] += [dict(zip(("item_id", "score", "start", "end"), x)) for x in one.leaks(words[starts[i] : starts[i + 1]])]
             return [pa.array(held, ARROW_LEAKS)]
 
         return compute
 
     return append_columns(df, text_col, [T.StructField(out, LEAKS)], setup)
+
+
+def find_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out: str = "leaks", pass_words: int = PASS_WORDS) -> DataFrame:
+    """df with the test items that each whole text holds, as an array of (item_id, score, start, end) in words.
+
+    Score is the best Smith-Waterman alignment of the item's words with the text's (match 2, mismatch and gap -1) as a share of
+    the item's own; items of at least LEAK that share SEED_WORDS words in a row with the text are listed, each once. Null and
+    empty texts hold none; null or wordless items are never found; repeated items are found each by its id; with
+    no items every array is empty. A column named like out is replaced; all rows are kept, nothing is shuffled.
+
+    A benchmark of up to pass_words words takes one lazy pass. Of a larger one each pass is run and written to the
+    shared folder before the next one's items are read, so memory does not grow with the benchmark.
+    """
+    prepare(df)
+    before, found = None, None
+    for items in _chunks(benchmark, item_col, item_text_col, pass_words):
+        if found is None:
+            found = _one_pass(df, items, text_col, out)
+            continue
+        done = materialize(found, "leaks")
+        if before is not None:
+            discard(before)
+        more = _one_pass(done.withColumnRenamed(out, _HELD), items, text_col, out)
+        before, found = done, more.withColumn(out, F.concat(_HELD, out)).select(*done.columns)
+    return _one_pass(df, [], text_col, out) if found is None else found
