@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, as_text, discard, materialize, prepare
+from .common import append_columns, as_text, discard, fresh, materialize, prepare
 
 #: Words in a seed.
 SEED_WORDS = 3
@@ -27,7 +27,6 @@ SEED_WORDS = 3
 LEAK = 0.4
 #: Words of test items that tasks get at once, some 100 MB with their seeds; a larger benchmark takes several passes.
 PASS_WORDS = 2_000_000
-_HELD = "_cuewright_held_leaks"
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -247,6 +246,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item
         done = materialize(found, "leaks")
         if before is not None:
             discard(before)
-        more = _one_pass(done.withColumnRenamed(out, _HELD), items, text_col, out)
-        before, found = done, more.withColumn(out, F.concat(_HELD, out)).select(*done.columns)
+        held = fresh(done, "held")
+        more = _one_pass(done.withColumnRenamed(out, held), items, text_col, out)
+        before, found = done, more.withColumn(out, F.concat(held, out)).select(*done.columns)
     return _one_pass(df, [], text_col, out) if found is None else found

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, as_text
+from .common import append_columns, as_text, fresh
 
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("base", T.BooleanType())]))
 ARROW_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("base", pa.bool_())]))
@@ -194,11 +194,12 @@ def redact(text: str) -> str:
 def redact_pii(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with personal data in text_col replaced by its kind; nulls stay null, all rows and columns stay."""
     order = df.columns
-    marked = df.withColumn("_was_null", F.col(text_col).isNull())
+    was_null, redacted = fresh(df, "was_null"), fresh(df, "redacted")
+    marked = df.withColumn(was_null, F.col(text_col).isNull())
 
     def setup():
         return lambda texts: [pa.array([redact(as_text(t)) for t in texts], pa.string())]
 
-    done = append_columns(marked, text_col, [T.StructField("_redacted", T.StringType())], setup)
-    done = done.withColumn(text_col, F.when(~F.col("_was_null"), F.col("_redacted")))
+    done = append_columns(marked, text_col, [T.StructField(redacted, T.StringType())], setup)
+    done = done.withColumn(text_col, F.when(~F.col(was_null), F.col(redacted)))
     return done.select(*order)

@@ -1,12 +1,15 @@
 """SimHash near-duplicates found through vantage-point trees.
 
-Fingerprints are 64 bits from word shingles. Two of them within `radius` bits agree on all but `radius` of the
-blocks that the bits are cut into, so each choice of the other blocks is a projection on which some projection
-of every close pair has distance zero (fewer blocks than that leave a radius above zero in a projection). Each
-projection has a vantage-point tree: a node holds a vantage fingerprint and the median Hamming distance to it,
-and a fingerprint goes to every side that the triangle bound cannot exclude, so shards along a boundary overlap.
-Exact distances are then taken within shards. One tree over all 64 bits is the case blocks=1; distances between
-random 64-bit strings lie so close together that it visits nearly all shards, which README.md shows in figures.
+Fingerprints are 64 bits from word shingles. The bits are cut into blocks; two fingerprints within `radius` bits of
+each other lie within radius // blocks of each other in some block. Each block has a vantage-point tree: a node
+holds a vantage point and the median Hamming distance to it. A fingerprint lives in the one leaf that it falls into
+and visits every leaf that the triangle bound cannot exclude, so it meets the close ones beyond a boundary in
+their own leaf. Exact distances over all 64 bits are then taken between a leaf's own fingerprints and its visitors.
+
+BLOCKS = 3 leaves a distance of 1 within a block of 21 bits. One tree over all 64 bits is blocks=1; distances between
+random 64-bit strings lie so close together that it visits nearly all leaves. With more blocks than radius bits,
+each tree stands over all blocks but `radius` of them, on which some pair of leaves agrees fully; then nothing has
+to be visited but the own leaf. README.md has figures for all three.
 """
 
 from __future__ import annotations
@@ -23,16 +26,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, materialize, prepare
+from .common import append_columns, fresh, materialize, prepare
 from .components import connected_components
 
 RADIUS = 4
 SHINGLE_WORDS = 4
 SEED = 42
-#: Fingerprints that one shard should hold, and that one side of a tile may hold.
-SHARD, TILE = 1500, 2048
+#: Blocks of the bits; a tree stands over each.
+BLOCKS = 3
+#: Fingerprints that one leaf should hold, and that one side of a tile may hold.
+SHARD, TILE = 1000, 2048
 #: Fingerprints from which trees are built, and their greatest depth: both bound what the driver sends out.
-SAMPLE, DEPTH = 8192, 10
+SAMPLE, DEPTH = 32768, 13
 
 
 def simhash(text: bytes, width: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -71,14 +76,6 @@ def projections(blocks: int, radius: int) -> tuple[list[int], int]:
     return [sum(c) for c in combinations(masks, blocks - radius)], 0
 
 
-def blocks_for(n: int, radius: int) -> int:
-    """The fewest blocks whose projections tell n fingerprints apart well enough for shards of about SHARD."""
-    blocks = radius + 1
-    while n / 2 ** (64 * (blocks - radius) / blocks) > 4 * SHARD and blocks < 2 * radius + 2:
-        blocks += 1
-    return blocks
-
-
 class VantageTree:
     """A complete binary tree of vantage points over one projection, built from a sample."""
 
@@ -103,7 +100,7 @@ class VantageTree:
             held[2 * node], held[2 * node + 1] = points[d <= self.median[node]], points[d > self.median[node]]
 
     def shards(self, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers of points and the leaves in which points within radius of them can lie."""
+        """Row numbers of points and the leaves in which points within radius of them can lie; radius 0 gives each its own leaf."""
         rows, nodes = np.arange(len(points)), np.ones(len(points), np.int64)
         for _ in range(self.depth):
             d = np.bitwise_count((points[rows] & self.mask) ^ self.vantage[nodes]).astype(np.int16)
@@ -112,29 +109,32 @@ class VantageTree:
         return rows, nodes - (1 << self.depth)
 
 
-def close_roots(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def close_roots(own: np.ndarray, visitors: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Points linked to others here, and the smallest point of their local component (spanning links, not all pairs)."""
-    points = np.unique(points)
-    near = np.zeros((len(points), len(points)), bool)
-    for at in range(0, len(points), 512):
-        near[at : at + 512] = np.bitwise_count(points[at : at + 512, None] ^ points) <= radius
-    linked = np.flatnonzero(near.sum(axis=1) > 1)
-    points, near = points[linked], near[np.ix_(linked, linked)]
-    roots = np.arange(len(points))
-    while len(points):
-        lower = np.where(near, roots, len(points)).min(axis=1)
-        lower = lower[lower]
-        if (lower == roots).all():
+    own, visitors = np.unique(own), np.unique(visitors)
+    near = np.zeros((len(own), len(visitors)), bool)
+    for at in range(0, len(own), 512):
+        near[at : at + 512] = np.bitwise_count(own[at : at + 512, None] ^ visitors) <= radius
+    points, place = np.unique(np.concatenate((own, visitors)), return_inverse=True)
+    i, j = np.nonzero(near & (own[:, None] != visitors))
+    rows, columns = np.unique(i), np.unique(j)
+    near = near[np.ix_(rows, columns)]
+    a, b = place[: len(own)][rows], place[len(own) :][columns]
+    roots, worst = np.arange(len(points)), len(points)
+    while len(rows):
+        before = roots.copy()
+        np.minimum.at(roots, a, np.where(near, roots[b], worst).min(axis=1))
+        np.minimum.at(roots, b, np.where(near, roots[a][:, None], worst).min(axis=0))
+        roots = roots[roots]
+        if (roots == before).all():
             break
-        roots = lower
     other = roots != np.arange(len(points))
     return points[other], points[roots[other]]
 
 
-def links(distinct: DataFrame, n: int, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+def links(distinct: DataFrame, n: int, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """Spanning links (a, b) between the n distinct fingerprints fp that lie within radius of each other."""
     prepare(distinct)
-    blocks = blocks or blocks_for(n, radius)
     masks, inner = projections(blocks, radius)
     depth = max(0, min(DEPTH, math.ceil(math.log2(max(1, n / SHARD)))))
     fine = 1 if inner else max(1, round(n / SHARD / (1 << depth)))  # only equal projections meet at distance zero
@@ -145,28 +145,32 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS, blocks: int | None
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for k, tree in enumerate(trees):
-                rows, leaves = tree.shards(fp, inner)
-                key = (k << depth) + leaves
-                if fine > 1:
-                    mixed = (fp[rows] & tree.mask) * np.uint64(0x9E3779B97F4A7C15)
-                    key = key * fine + ((mixed >> np.uint64(32)) % np.uint64(fine)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[rows].view(np.int64))], names=["shard", "fp"])
-
-    placed = distinct.select("fp").mapInArrow(shard, "shard long, fp long")
-    tiles = placed.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(TILE)).cast("int").alias("tiles"))
-    # A shard with too many fingerprints becomes a square of tiles: each fingerprint meets every tile of its shard.
-    side = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    tiled = placed.join(tiles, "shard").select("shard", "fp", side.alias("i"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("j"))
-    tiled = tiled.select("shard", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "fp")
+                for own, reach in ((True, 0), (False, inner)):
+                    rows, leaves = tree.shards(fp, reach)
+                    key = (k << depth) + leaves
+                    if fine > 1:
+                        mixed = (fp[rows] & tree.mask) * np.uint64(0x9E3779B97F4A7C15)
+                        key = key * fine + ((mixed >> np.uint64(32)) % np.uint64(fine)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(rows), own)), pa.array(fp[rows].view(np.int64))], names=["shard", "own", "fp"])
+
+    placed = distinct.select("fp").mapInArrow(shard, "shard long, own boolean, fp long")
+    parts = lambda own: F.ceil(F.count_if(F.col("own") == own) / F.lit(TILE)).cast("int")
+    tiles = placed.groupBy("shard").agg(parts(True).alias("rows"), parts(False).alias("columns"))
+    # A leaf with too many fingerprints becomes a rectangle of tiles: its own stand along one side, visitors along the other.
+    side = lambda n: F.pmod(F.xxhash64("fp"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    across = F.when(F.col("own"), F.greatest("columns", F.lit(1))).otherwise(F.greatest("rows", F.lit(1)))
+    tiled = placed.join(tiles, "shard").select("shard", "own", "fp", F.when(F.col("own"), side("rows")).otherwise(side("columns")).alias("place"), F.explode(F.sequence(F.lit(0), across - 1)).alias("over"))
+    tiled = tiled.select("shard", F.when(F.col("own"), F.col("place")).otherwise(F.col("over")).alias("i"), F.when(F.col("own"), F.col("over")).otherwise(F.col("place")).alias("j"), "own", "fp")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = close_roots(group["fp"].to_numpy(np.int64).view(np.uint64), radius)
+        fp, own = group["fp"].to_numpy(np.int64).view(np.uint64), group["own"].to_numpy(bool)
+        a, b = close_roots(fp[own], fp[~own], radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return tiled.groupBy("shard", "i", "j").applyInPandas(compare, "a long, b long")
 
 
-def _grouped(df: DataFrame, id_col: str, text_col: str, radius: int, width: int, blocks: int | None, *more: Column) -> DataFrame:
+def _grouped(df: DataFrame, id_col: str, text_col: str, radius: int, width: int, blocks: int, *more: Column) -> DataFrame:
     """(id, fp, *more, root, component) for each row; root is the component's smallest fingerprint."""
     prints = fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *more), "text", width).drop("text")
     prints = materialize(prints, "prints")
@@ -177,7 +181,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, radius: int, width: int,
     return prints.join(named, "fp")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = SHINGLE_WORDS, blocks: int | None = None) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = SHINGLE_WORDS, blocks: int = BLOCKS) -> DataFrame:
     """(id_col, fp, component): component is the smallest id that can be reached over links of at most radius bits.
 
     One row per input row. Null texts count as empty and empty texts have fingerprint 0, which links like any
@@ -187,14 +191,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return _grouped(df, id_col, text_col, radius, width, blocks).select(F.col("id").alias(id_col), "fp", "component")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = SHINGLE_WORDS, blocks: int | None = None) -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, width: int = SHINGLE_WORDS, blocks: int = BLOCKS) -> DataFrame:
     """The rows of df without near duplicates: of each component the row of the smallest id (null ids last, then by text digest).
 
     All columns stay. Rows that agree in id and text are one row.
     """
     digest = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
     found = _grouped(df, id_col, text_col, radius, width, blocks, digest.alias("digest"))
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("s")).select(F.col("s.id").alias("_id"), F.col("s.digest").alias("_digest"))
-    marked = df.withColumn("_of", digest)
-    kept = marked.join(first, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_digest")), "left_semi")
-    return kept.dropDuplicates([id_col, "_of"]).select(*df.columns)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest")).alias("s"))
+    own, kept_id, kept_digest = fresh(df, "own"), fresh(df, "kept_id"), fresh(df, "kept_digest")
+    first = first.select(F.col("s.id").alias(kept_id), F.col("s.digest").alias(kept_digest))
+    kept = df.withColumn(own, digest).join(first, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_digest)), "left_semi")
+    return kept.dropDuplicates([id_col, own]).select(*df.columns)
