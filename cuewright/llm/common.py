@@ -54,30 +54,35 @@ def fresh(df: DataFrame, name: str) -> str:
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialised table that nothing will read again."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        delete_folder(df.sparkSession, folder)
 
 
 def bucketed(df: DataFrame, column: str, *order: str, name: str = "table") -> DataFrame:
-    """Write df to a warehouse table in buckets of `column`, sorted by `order`; joins on it then need no shuffle of df.
+    """Write df to a table in the shared folder, in buckets of `column`, sorted by `order`; joins on it then need no shuffle of df.
 
     df must lie in partitions of `column` already, as after a group-by or a join on it, so that each bucket is one file.
     """
     spark = df.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table_name = f"cuewright_{name}_{uuid.uuid4().hex}"
-    out = df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, column)
+    path = f"{shared_folder(spark)}/{table_name}"
+    out = df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, column)
     (out.sortBy(*order) if order else out).saveAsTable(table_name)
     kept = spark.table(table_name)
-    kept._cuewright_table = table_name
+    kept._cuewright_table = table_name, path
     return kept
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_table(df: DataFrame) -> None:
-    df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._cuewright_table}")
+    name, path = df._cuewright_table
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    delete_folder(df.sparkSession, path)
 
 
 def release_shuffles(spark: SparkSession) -> None:

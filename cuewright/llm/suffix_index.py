@@ -71,15 +71,19 @@ class SuffixIndex:
         self.suffixes: list[DataFrame] = []
         self.found: list[DataFrame] = []
 
-    def add(self, blobs: DataFrame) -> None:
-        """Scan a new batch against itself and all levels, then insert it, merging equal levels."""
+    def add(self, blobs: DataFrame) -> DataFrame:
+        """Scan a new batch against itself and all levels, then insert it, merging equal levels.
+
+        Returns the batch's suffixes whose beginning stands somewhere else too; suffixes of older batches are not read.
+        """
         rows = materialize(suffixes_of(blobs), "suffixes")
         self.suffixes.append(rows)
         new = bucketed(rows.groupBy("key").agg(F.sum("n").alias("n")), "key", "key", name="array")
         release_shuffles(new.sparkSession)
         alike = [new.filter("n > 1").select("key")]
         alike += [new.select("key").join(level.select("key"), "key", "left_semi") for _, level in self.levels]
-        self.found += [materialize(keys, "found") for keys in alike]
+        fresh = [materialize(keys, "found") for keys in alike]
+        self.found += fresh
         size = 0
         while self.levels and self.levels[-1][0] == size:
             _, level = self.levels.pop()
@@ -89,6 +93,7 @@ class SuffixIndex:
             drop_table(new)
             new, size = merged, size + 1
         self.levels.append((size, new))
+        return rows.join(reduce(DataFrame.union, fresh).distinct(), "key", "left_semi")
 
     def matches(self) -> DataFrame:
         """All suffixes whose beginning was found twice, with `often`, how often it occurs."""
@@ -96,6 +101,7 @@ class SuffixIndex:
         counts = reduce(DataFrame.unionByName, (level.join(keys, "key", "left_semi") for _, level in self.levels))
         # A table of its own, so that the join below can split a beginning that very many suffixes share.
         often = materialize(counts.groupBy("key").agg(F.sum("n").alias("often")), "often")
+        self.found.append(often)
         return reduce(DataFrame.unionByName, self.suffixes).join(often, "key")
 
     def close(self) -> None:
@@ -194,8 +200,8 @@ def _compare(rows: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(run, _SPANS)
 
 
-def repeated_spans(blobs: DataFrame, index: SuffixIndex) -> DataFrame:
-    """(blob, start, end): bytes covered by windows that stand somewhere else too; spans may overlap."""
+def repeated_spans(blobs: DataFrame, index: SuffixIndex) -> tuple[DataFrame, list[DataFrame]]:
+    """(blob, start, end): bytes covered by windows that stand somewhere else too; spans may overlap. And the tables that this reads."""
     matches = materialize(index.matches(), "matches")
     release_shuffles(blobs.sparkSession)
     runs = materialize(matches.groupBy("key", "run").agg(F.sum("n").alias("copies")), "runs")
@@ -215,7 +221,7 @@ def repeated_spans(blobs: DataFrame, index: SuffixIndex) -> DataFrame:
     windows = around.filter("window IS NOT NULL").select("blob", "key", "window", "place")
     often = materialize(windows.groupBy("key", "window").agg(F.count("*").alias("n")).filter("n > 1").select("key", "window"), "often")
     many = windows.join(often, ["key", "window"], "left_semi").select("blob", F.col("place").alias("start"), (F.col("place") + WINDOW).alias("end"))
-    return whole.union(few).union(many)
+    return whole.union(few).union(many), [matches, runs, told, around, often]
 
 
 def _merge(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
@@ -258,7 +264,7 @@ def remove_repeats(df: DataFrame, *columns: Column, id_col: str = "doc_id", text
 
     Returns (id_col, *columns), a row for each row. Columns are expressions over what was found for the text:
     n_bytes, spans (an array of (start, end) in bytes: maximal removed runs) and kept (the other bytes); without any
-    all three are returned. Null texts count as empty; texts under 200 bytes keep all; repeated rows are
+    all three are returned. The result reads one table in the shared folder; all others are deleted. Null texts count as empty; texts under 200 bytes keep all; repeated rows are
     separate texts, so both lose everything; ids may be null or repeated; other columns are not looked at.
     """
     blobs = bucketed(blobs_of(df, text_col), "blob", name="blobs")
@@ -266,7 +272,10 @@ def remove_repeats(df: DataFrame, *columns: Column, id_col: str = "doc_id", text
     index = SuffixIndex()
     for k in range(batches):
         index.add(blobs.filter(F.pmod(F.xxhash64("blob"), F.lit(batches)) == k))
-    done = materialize(cut(blobs, repeated_spans(blobs, index)).select("blob", *(columns or ("n_bytes", "spans", "kept"))), "cut")
+    spans, read = repeated_spans(blobs, index)
+    done = materialize(cut(blobs, spans).select("blob", *(columns or ("n_bytes", "spans", "kept"))), "cut")
+    for one in read:
+        discard(one)
     index.close()
     drop_table(blobs)
     release_shuffles(df.sparkSession)

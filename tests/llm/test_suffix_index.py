@@ -66,3 +66,44 @@ def test_empty_table_and_extra_columns(spark):
     odd = spark.createDataFrame([(None, "q" * 300, "z", 1), (None, "q" * 300, "y", 2)], "doc_id long, text string, blob string, n int")
     got = suffix_index.remove_repeats(odd).collect()
     assert [(r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) for r in got] == [(300, [(0, 300)], b"")] * 2
+
+
+def test_registered_query_on_documents(spark):
+    from compare import FOLDER
+
+    from cuewright.llm.queries import QUERIES
+
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect())
+    got = sorted(tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in QUERIES["op1_suffix_dedup"](spark, FOLDER).collect())
+    assert got == [(d, *b) for (d, _), b in zip(rows, brute([t for _, t in rows]))]
+
+
+def folder_of(spark):
+    from pathlib import Path
+
+    return Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+
+
+def test_no_table_but_the_result_is_left(spark):
+    before, tables = set(folder_of(spark).iterdir()), spark.catalog.listTables()
+    texts = corpus(8)
+    run(spark, texts)
+    left = {p.name.split("-")[0] for p in set(folder_of(spark).iterdir()) - before}
+    assert left == {"cut"} and spark.catalog.listTables() == tables
+
+
+def test_live_index_tells_what_a_new_batch_repeats(spark):
+    pick = random.Random(11)
+    line = lambda size: "".join(pick.choice("abcdefgh ") for _ in range(size))
+    shared, index = line(600), suffix_index.SuffixIndex()
+    frame = lambda texts: suffix_index.blobs_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    batches = [[line(500) + shared], [line(900)], [shared + line(300), line(400)], [line(700)], [shared[100:400]]]
+    found = [index.add(frame(b)).select("blob").distinct().count() for b in batches]
+    assert found == [0, 0, 1, 0, 1] and [size for size, _ in index.levels] == [2, 0]
+    index.close()
+
+
+def test_long_unbroken_texts(spark):
+    texts = ["ab" * 150_000, "".join(chr(97 + (i * i * 7 + i // 9) % 26) for i in range(3000)), "x" * 200_000]
+    got = run(spark, texts)
+    assert [g[1:3] for g in (got[0], got[2])] == [(300_000, 1), (200_000, 1)] and got[1] == brute(texts[1:2])[0]
