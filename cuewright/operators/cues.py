@@ -27,13 +27,20 @@ def clean(cues: DataFrame, composed: bool = True) -> DataFrame:
 
 
 def new_words(before: str | None, text: str, limit: int = tx.OVERLAP_WORDS) -> str:
-    """text without its longest first words (at most limit) that before ends with."""
-    last, first = (before or "").split(), text.split()
-    low_last, low_first = [w.lower() for w in last], [w.lower() for w in first]
-    for n in range(min(limit, len(last), len(first)), 0, -1):
-        if low_last[-n:] == low_first[:n]:
-            return " ".join(first[n:])
-    return text
+    """text without its longest first words (at most limit) that before ends with, whatever their case.
+
+    The words of both are joined with a mark between them; an overlap is a border of that sequence, and borders are
+    found by the failure links of the sequence, each in one step from the one before.
+    """
+    words = text.split()
+    line = [w.lower() for w in words[:limit]] + [None] + [w.lower() for w in (before or "").split()[-limit:]]
+    links = [0] * len(line)
+    for i in range(1, len(line)):
+        k = links[i - 1]
+        while k and line[i] != line[k]:
+            k = links[k - 1]
+        links[i] = k + (line[i] == line[k])
+    return " ".join(words[links[-1] :]) if links[-1] else text
 
 
 class _Rolling:

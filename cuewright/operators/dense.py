@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine_confidence
-from .lexical import DIGITS, ranked
+from ..shared import materialize
 from ..shipping import ship
+from .lexical import DIGITS, ranked
 
 #: Query vectors that tasks hold at once (as float64); a larger query set is answered in several passes.
 BLOCK_BYTES = 16 << 20
@@ -44,38 +46,43 @@ def _one_pass(vectors: DataFrame, ids: list[int], block: np.ndarray, k: int) ->
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, asked = shared.value
+        # The best k so far of the whole task: scores and ids, best first, ties by id, as the final rank has them.
+        near, own = np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64)
         for batch in batches:
             x, there = _matrix(batch.column(1), asked.shape[1])
             if not len(x):
                 continue
-            near = np.round(asked @ _unit_rows(x).T, DIGITS)
-            own = batch.column(0).to_numpy(zero_copy_only=False)[there]
-            order = np.argsort(own, kind="stable")
-            near, own = near[:, order], own[order]
-            pick = np.argsort(-near, axis=1, kind="stable")[:, :k]  # ties by id, as the final rank has them
-            rows = np.repeat(np.arange(len(names)), pick.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(names)[rows]), pa.array(own[pick.ravel()]), pa.array(near[rows, pick.ravel()])], names=["query_id", "passage_id", "score"])
+            ids = batch.column(0).to_numpy(zero_copy_only=False)[there]
+            near = np.hstack([near, np.round(asked @ _unit_rows(x).T, DIGITS)])
+            own = np.hstack([own, np.broadcast_to(ids, (len(names), len(ids)))])
+            pick = np.lexsort((own, -near), axis=1)[:, :k]
+            near, own = np.take_along_axis(near, pick, axis=1), np.take_along_axis(own, pick, axis=1)
+        rows = np.repeat(np.arange(len(names)), near.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(names)[rows]), pa.array(own.ravel()), pa.array(near.ravel())], names=["query_id", "passage_id", "score"])
 
     return vectors.select("passage_id", "vector").mapInArrow(best, "query_id long, passage_id long, score double")
 
 
-def retrieve(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def retrieve(vectors: DataFrame, queries: DataFrame, k: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, passage_id, score, rank, confidence) of the k nearest vectors of each query, negative ones too.
 
-    vectors(passage_id, vector), queries(query_id, vector). Each batch of vectors gives its best k for each query
-    from one matrix product, so what is shuffled grows with batches and queries, not with their product with rows.
-    Null vectors are never hits; without queries or with k of 0 or less there are none.
+    vectors(passage_id, vector), queries(query_id, vector). A task keeps its best k for each query over all its
+    batches, so what is shuffled grows with tasks and queries. Queries of up to block_bytes take one lazy pass; of
+    a larger set each pass is run and written to the shared folder before the next block is read, so neither the
+    driver nor a task ever holds more than a block. Null vectors are never hits; without queries or with k of 0 or
+    less there are none.
     """
     spark = vectors.sparkSession
     none = spark.createDataFrame([], "query_id long, passage_id long, score double")
-    hits, ids, block, held = none, [], [], 0
+    hits, ids, block, held = [], [], [], 0
     if k > 0:
         for row in queries.filter(F.col("vector").isNotNull()).select("query_id", "vector").toLocalIterator():
+            if held >= block_bytes:
+                hits.append(materialize(ranked(_one_pass(vectors, ids, np.array(block), k), k, per=("query_id",)).drop("rank")))
+                ids, block, held = [], [], 0
             ids.append(row[0])
             block.append(np.array(row[1], np.float64))
             held += 8 * len(block[-1])
-            if held >= BLOCK_BYTES:
-                hits, ids, block, held = hits.union(_one_pass(vectors, ids, np.array(block), k)), [], [], 0
         if ids:
-            hits = hits.union(_one_pass(vectors, ids, np.array(block), k))
-    return ranked(hits, k, per=("query_id",)).withColumn("confidence", cosine_confidence(F.col("score")))
+            hits.append(_one_pass(vectors, ids, np.array(block), k))
+    return ranked(reduce(DataFrame.union, hits, none), k, per=("query_id",)).withColumn("confidence", cosine_confidence(F.col("score")))

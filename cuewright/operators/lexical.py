@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import lexical_confidence
 from ..functions.tokens import search_terms
+from ..shared import materialize
 
 K1, B = 1.5, 0.75
 #: Digits that scores are rounded to before they are ranked, so that the order of a sum does not decide a rank.
@@ -44,11 +45,19 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def score(passages: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, scope, passage_id, score) of all passages with a term of the query in common.
 
-    Queries go to every scope unless they have a column scope. Only postings of query terms leave the scan.
+    Queries go to every scope unless they have a column scope. Passages are read once: what is kept of each is a
+    row with its length and a row for each term that some query has, written to the shared folder; frequencies,
+    average lengths and scores come from that.
     """
-    asked = query_terms(queries)
-    posted = postings(passages, asked)
-    weights = document_frequencies(posted).join(scope_stats(passages), "scope").select("scope", "term", idf("n_docs", "df").alias("idf"), "avg_len")
+    asked = materialize(query_terms(queries))
+    # The empty term, which no text has, stands for the passage itself, so that passages without a hit count too.
+    wanted = asked.select("term").distinct().union(asked.sparkSession.createDataFrame([("",)], "term string"))
+    rows = passages.select("scope", "passage_id", search_terms(F.col("text")).alias("terms"))
+    each = rows.select("scope", "passage_id", F.size("terms").alias("len"), F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
+    held = materialize(each.join(wanted, "term", "left_semi").groupBy("scope", "passage_id", "len", "term").agg(F.count("*").alias("tf")))
+    posted = held.filter("term <> ''")
+    stats = held.filter("term = ''").groupBy("scope").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("avg_len"))
+    weights = document_frequencies(posted).join(stats, "scope").select("scope", "term", idf("n_docs", "df").alias("idf"), "avg_len")
     norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
     weighed = posted.join(weights, ["scope", "term"]).select("scope", "passage_id", "term", (F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("w"))
     hits = weighed.join(asked, "term").groupBy("query_id", "scope", "passage_id").agg(F.round(F.sum(F.col("qf") * F.col("w")), DIGITS).alias("score"))

@@ -62,6 +62,21 @@ def unit_spans(timeline: DataFrame, packing: Packing = Packing()) -> DataFrame:
     return units(timeline, packing).groupBy("video_id", "unit").agg(F.min("word_start").alias("char_start"), F.max("word_end").alias("char_end"))
 
 
+def whole_units(timeline: DataFrame, packing: Packing = Packing()) -> DataFrame:
+    """A row for each unit: (video_id, unit, start, end, from_s, to_s, first, last, text, words).
+
+    words, the unit's words in order with their places, is there only where the unit is too long for a passage.
+    """
+    place = F.struct("word_start", "word_end", "from_s", "to_s", "seg_index", "word")
+    each = units(timeline, packing).groupBy("video_id", "unit").agg(F.array_sort(F.collect_list(place)).alias("w"))
+    first, last = F.element_at("w", 1), F.element_at("w", -1)
+    long = last["word_end"] - first["word_start"] > packing.max_chars
+    return each.select(
+        "video_id", "unit", first["word_start"].alias("start"), last["word_end"].alias("end"), first["from_s"].alias("from_s"), last["to_s"].alias("to_s"),
+        first["seg_index"].alias("first"), last["seg_index"].alias("last"), F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("text"), F.when(long, F.col("w")).alias("words"),
+    )
+
+
 @dataclass
 class _Unit:
     start: int
@@ -70,24 +85,18 @@ class _Unit:
     to_s: float
     first: int
     last: int
-    words: list[str]
+    text: str
 
     @property
     def size(self) -> int:
         return self.end - self.start
 
-    def add(self, row: dict) -> None:
-        self.end, self.to_s, self.last = row["word_end"], row["to_s"], row["seg_index"]
-        self.words.append(row["word"])
-
 
 class _Packer:
     """Splits units over the limit at words, packs them greedily and carries an overlap; holds two groups at most."""
 
     def __init__(self, packing: Packing) -> None:
         self.p, self.n = packing, 0
-        self.unit: _Unit | None = None
-        self.unit_id: int | None = None
         self.group: list[_Unit] = []
         self.chars = 0
         self.done: list[_Unit] | None = None
@@ -95,15 +104,15 @@ class _Packer:
 
     def feed(self, row: dict) -> list[tuple]:
         self.video = row["video_id"]
-        out = []
-        if self.unit is not None and (row["unit"] != self.unit_id or row["word_end"] - self.unit.start > self.p.max_chars):
-            out = self._take(self.unit)
-            self.unit = None
-        if self.unit is None:
-            self.unit = _Unit(row["word_start"], row["word_end"], row["from_s"], row["to_s"], row["seg_index"], row["seg_index"], [row["word"]])
-            self.unit_id = row["unit"]
-        else:
-            self.unit.add(row)
+        if not row["words"]:
+            return self._take(_Unit(row["start"], row["end"], row["from_s"], row["to_s"], row["first"], row["last"], row["text"]))
+        out, piece = [], []
+        for word in [*row["words"], None]:
+            if piece and (word is None or word["word_end"] - piece[0]["word_start"] > self.p.max_chars):
+                a, b = piece[0], piece[-1]
+                out += self._take(_Unit(a["word_start"], b["word_end"], a["from_s"], b["to_s"], a["seg_index"], b["seg_index"], " ".join(w["word"] for w in piece)))
+                piece = []
+            piece.append(word)
         return out
 
     def _take(self, unit: _Unit) -> list[tuple]:
@@ -130,23 +139,21 @@ class _Packer:
         return group[k:] or ([group[-1]] if group[-1].size <= 2 * budget else [])
 
     def _row(self, group: list[_Unit]) -> tuple:
-        text = " ".join(w for u in group for w in u.words)
+        text = " ".join(u.text for u in group)
         start, end = group[0].from_s, max(group[0].from_s, group[-1].to_s)
         self.n += 1
         return (self.video, self.n - 1, text, round(start, 3), round(end, 3), group[0].first, group[-1].last, group[0].start, group[-1].end, len(text))
 
     def close(self) -> list[tuple]:
-        out = self._take(self.unit) if self.unit is not None else []
         if self.done is not None and self.group and sum(u.size for u in self.group) < self.p.min_chars:
             # A runt joins the passage before, whose units it may share.
             self.done, self.group = self.done + [u for u in self.group if all(u is not d for d in self.done)], []
-        return out + [self._row(g) for g in (self.done, self.group) if g]
+        return [self._row(g) for g in (self.done, self.group) if g]
 
 
 def pack(timeline: DataFrame, packing: Packing = Packing()) -> DataFrame:
-    """Passages of cleaned cues' spans. Words in order make units, units make passages: a scan, as each edge depends on the one before."""
-    rows = units(timeline, packing).select("video_id", "unit", "word", "word_start", "word_end", "from_s", "to_s", "seg_index")
-    return scan(rows, ["video_id"], ["word_start"], lambda: _Packer(packing), PASSAGES)
+    """Passages of cleaned cues' spans. Spark makes units of words; units are packed by a scan, as each edge depends on the one before."""
+    return scan(whole_units(timeline, packing), ["video_id"], ["start"], lambda: _Packer(packing), PASSAGES)
 
 
 def passages_of(cues: DataFrame, packing: Packing = Packing()) -> DataFrame:

@@ -1,4 +1,8 @@
-"""The cache: Parquet tables cut into parts by a hash of the video, replaced part by part."""
+"""The cache: Parquet tables cut into parts by a hash of the video, replaced part by part.
+
+A replacement is written in full beside the table first, with a list of the parts that it stands for; only then are
+these parts deleted and written anew. Whatever breaks off in between, the next opening of the cache ends it.
+"""
 
 from __future__ import annotations
 
@@ -35,6 +39,7 @@ class Store:
                 raise ValueError(f"the cache has version {held}; this code needs {VERSION}")
         else:
             spark.createDataFrame([(VERSION, parts)], "version int, parts int").write.parquet(path)
+        self.recover()
 
     def _path(self, name: str) -> str:
         return f"{self.folder}/{name}"
@@ -66,13 +71,18 @@ class Store:
 
     def _write(self, name: str, rows: DataFrame) -> None:
         columns = [f.strip().split(" ")[0] for f in SCHEMAS[name].split(", ")]
-        rows.select(*columns).withColumn("part", self._part()).repartition("part").write.mode("append").partitionBy("part").parquet(self._path(name))
+        # Spark splits and joins what a part gets by its size, so writers grow with the rows and not with the number of parts.
+        rows.select(*columns).withColumn("part", self._part()).hint("rebalance", "part").write.mode("append").partitionBy("part").parquet(self._path(name))
+
+    def _delete(self, path: str) -> None:
+        fs, p = self._hadoop(path)
+        fs.delete(p, True)
 
     def replace(self, name: str, rows: DataFrame, keys: DataFrame, on: list[str]) -> None:
         """Put rows in the place of all rows whose `on` columns are among keys; repeated calls with the same rows change nothing.
 
-        What stays of the parts concerned is staged in the folder first, then the parts are deleted and written
-        again, so that a run that broke off leaves the staged rows to write.
+        What the parts concerned will hold is staged in the folder first. From the moment that the list of parts is
+        there as well, the replacement counts as made: `recover` ends it if this run does not.
         """
         parts = sorted(r[0] for r in keys.select(self._part()).distinct().collect())  # at most as many numbers as there are parts
         path, staged = self._path(name), self._path(f"_staged/{name}-{uuid.uuid4().hex}")
@@ -81,13 +91,34 @@ class Store:
         if self._exists(path):
             old = self.spark.read.schema(f"{SCHEMAS[name]}, part int").parquet(path).filter(F.col("part").isin(parts)).drop("part")
             kept = old.join(keys.select(*on).distinct(), on, "left_anti").select(*columns).unionByName(kept)
-        kept.write.parquet(staged)
-        for part in parts:
-            fs, p = self._hadoop(f"{path}/part={part}")
-            fs.delete(p, True)
-        self._write(name, self.spark.read.schema(SCHEMAS[name]).parquet(staged))
-        fs, p = self._hadoop(staged)
-        fs.delete(p, True)
+        kept.write.parquet(f"{staged}/rows")
+        self.spark.createDataFrame([(p,) for p in parts], "part int").coalesce(1).write.parquet(f"{staged}/parts")
+        self._finish(name, staged)
+
+    def _finish(self, name: str, staged: str) -> None:
+        for part in [r.part for r in self.spark.read.parquet(f"{staged}/parts").collect()]:
+            self._delete(f"{self._path(name)}/part={part}")
+        self._write(name, self.spark.read.schema(SCHEMAS[name]).parquet(f"{staged}/rows"))
+        self._delete(staged)
+
+    def recover(self) -> None:
+        """End every replacement that broke off after it was staged, and forget those that broke off before."""
+        if not self._exists(self._path("_staged")):
+            return
+        fs, p = self._hadoop(self._path("_staged"))
+        for entry in fs.listStatus(p):
+            staged = f"{self._path('_staged')}/{entry.getPath().getName()}"
+            if self._exists(f"{staged}/parts/_SUCCESS"):
+                self._finish(entry.getPath().getName().rpartition("-")[0], staged)
+            else:
+                self._delete(staged)
+
+    def transcript(self, videos: list[str] | None = None) -> DataFrame:
+        """Cached cues (video_id, language, transcript_kind, idx, start_s, duration_s, text) in order of idx within a video; an unknown language is `en`."""
+        held = self.read("videos", videos).select("video_id", F.coalesce("language", F.lit("en")).alias("language"), "transcript_kind")
+        cues = self.read("segments", videos).join(held, "video_id")
+        rows = cues.select("video_id", "language", "transcript_kind", "idx", "start_s", (F.col("end_s") - F.col("start_s")).alias("duration_s"), "text")
+        return rows.repartition("video_id").sortWithinPartitions("video_id", "idx")
 
     def save_videos(self, videos: DataFrame, segments: DataFrame) -> None:
         """Upsert videos and all their segments; language and kind are the transcript's, a missing duration is that of the last segment."""
@@ -117,8 +148,11 @@ class Store:
         self.replace("embedding_sets", sets, sets, ["video_id", "embedding_set_id"])
 
     def embeddings(self, fingerprint: str, model: str) -> DataFrame:
-        sets = self.read("embedding_sets").filter(F.col("model_id") == model).select("video_id", "chunk_set_id", "embedding_set_id")
-        return self.read("embeddings").join(sets, ["video_id", "embedding_set_id"]).join(self.chunks(fingerprint), ["video_id", "chunk_set_id", "chunk_id"])
+        """Vectors of the passages of a packing with the passages; a vector of another width than its set's fails the job."""
+        sets = self.read("embedding_sets").filter(F.col("model_id") == model).select("video_id", "chunk_set_id", "embedding_set_id", "dim")
+        checked = F.when(F.size("vector") == F.col("dim"), F.col("vector")).otherwise(F.raise_error(F.lit("a cached vector has not the width of its set")))
+        held = self.read("embeddings").join(sets, ["video_id", "embedding_set_id"]).withColumn("vector", checked).drop("dim")
+        return held.join(self.chunks(fingerprint), ["video_id", "chunk_set_id", "chunk_id"])
 
     def clear(self, videos: DataFrame) -> None:
         """Delete videos(video_id) with everything that depends on them."""

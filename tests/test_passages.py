@@ -21,32 +21,31 @@ def cue_rows(seed, videos=4, n=25, words="so we go on. and then? it goes! on and
     return rows
 
 
-def packed(units, p):
-    """Groups of units (start, end) by the packing's rules."""
-    groups, cur, chars = [], [], 0
-    for u in units:
-        size = u[1] - u[0]
-        if cur and chars + size + 1 > p.max_chars:
-            groups.append(cur)
-            tail, total = [], 0
-            for x in reversed(cur):
-                if p.overlap_chars <= 0 or total + x[1] - x[0] > p.overlap_chars:
-                    break
-                tail.insert(0, x)
-                total += x[1] - x[0]
-            if p.overlap_chars > 0 and not tail and cur[-1][1] - cur[-1][0] <= 2 * p.overlap_chars:
-                tail = [cur[-1]]
-            cur, chars = tail, sum(b - a for a, b in tail) + max(0, len(tail) - 1)
-        chars += size + bool(cur)
-        cur = [*cur, u]
-    groups += [cur] if cur else []
-    if len(groups) > 1 and sum(b - a for a, b in groups[-1]) < p.min_chars:
-        groups[-2:] = [groups[-2] + [u for u in groups[-1] if u not in groups[-2]]]
-    return groups
+def overlap(sizes, first, last, budget):
+    """Where the passage after units first..last may begin: with the most last units that fit the budget, or a single one of under twice it."""
+    begin = min((k for k in range(first, last + 1) if sum(sizes[k : last + 1]) <= budget), default=last + 1)
+    return last if begin > last and budget and sizes[last] <= 2 * budget else begin if budget else last + 1
+
+
+def check_packing(sizes, runs, p):
+    """Whether runs of units (first, last) are what the packing's rules allow: full, overlapping as far as they may, the last no runt."""
+    length = lambda a, b: sum(sizes[a : b + 1]) + b - a
+    full = lambda a, b: length(a, b) + sizes[b + 1] + 1 > p.max_chars
+    fits = lambda a, b, new: length(a, b) <= p.max_chars or new == b
+    new = 0  # the first unit that no passage before had
+    for k, (a, b) in enumerate(runs[:-1]):
+        assert a <= new <= b and full(a, b) and fits(a, b, new)
+        assert runs[k + 1][0] == overlap(sizes, a, b, p.overlap_chars)
+        new = b + 1
+    a, b = runs[-1]
+    assert b == len(sizes) - 1 and a <= new <= b
+    alone = fits(a, b, new) and (len(runs) == 1 or sum(sizes[a:]) >= p.min_chars)
+    joined = [m for m in range(new, b) if full(a, m) and fits(a, m, new) and sum(sizes[overlap(sizes, a, m, p.overlap_chars) :]) < p.min_chars]
+    assert alone != bool(joined) or (alone and not any(full(a, m) for m in range(new, b)))
 
 
 @pytest.mark.parametrize("packing", [passages.Packing(160, 40, 40), passages.Packing(60, 0, 30), passages.Packing(80, 30, 70, 5, 2.0), passages.Packing(30, 20, 10, 28, 0.0)])
-def test_pack_matches_plain_statement(spark, packing):
+def test_packs_keep_the_rules(spark, packing):
     rows = cue_rows(packing.max_chars)
     line = timeline.spans(spark.createDataFrame(rows, cues.CUES))
     got = {}
@@ -77,10 +76,10 @@ def test_pack_matches_plain_statement(spark, packing):
                     start = a
                 end = b
             flat.append((start, end))
-        want = [(g[0][0], g[-1][1]) for g in packed(flat, packing)]
-        assert [(r.char_start, r.char_end) for r in got[v]] == want
-        assert [r.text for r in got[v]] == [text[a:b] for a, b in want]
-        assert [r.idx for r in got[v]] == list(range(len(want)))
+        begins, ends = {u[0]: k for k, u in enumerate(flat)}, {u[1]: k for k, u in enumerate(flat)}
+        check_packing([b - a for a, b in flat], [(begins[r.char_start], ends[r.char_end]) for r in got[v]], packing)
+        assert all(r.text == text[r.char_start : r.char_end] for r in got[v])
+        assert [r.idx for r in got[v]] == list(range(len(got[v])))
         assert all(x.start_s <= x.end_s for x in got[v])
         assert all(x.start_s <= y.start_s + timeline.INSTANT for x, y in zip(got[v], got[v][1:]))
 
@@ -116,3 +115,12 @@ def test_overlap_column(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], cues.CUES)
     assert cues.clean_transcript(none).count() == 0 and passages.passages_of(none).count() == 0
+
+
+def test_new_words_against_every_overlap():
+    pick = random.Random(4)
+    for _ in range(3000):
+        before, text = (" ".join(pick.choice("abAB") for _ in range(pick.randrange(16))) for _ in range(2))
+        low, words = before.lower().split(), text.split()
+        longest = max(n for n in range(13) if n <= min(len(low), len(words)) and low[len(low) - n :] == [w.lower() for w in words[:n]])
+        assert cues.new_words(before, text) == (" ".join(words[longest:]) if longest else text)

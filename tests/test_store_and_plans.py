@@ -146,3 +146,76 @@ def test_queue_skips_finished_jobs(spark, tmp_path):
     run = stream.run_queue(spark.readStream.schema("job_id string").parquet(jobs), finished, lambda part: done.extend(r.job_id for r in part.collect()), str(tmp_path / "at"))
     run.trigger(availableNow=True).start().awaitTermination()
     assert done == ["b"]
+
+
+def test_a_replacement_that_broke_off_is_ended_at_the_next_opening(spark, monkeypatch):
+    folder = scratch_folder(spark)
+    videos, rows = talk(spark)
+    segments = rows.select("video_id", "idx", "start_s", (F.col("start_s") + F.col("duration_s")).alias("end_s"), "text")
+    first = Store(spark, folder, 4)
+    first.save_videos(videos, segments)
+    before = {r.table_name: r.n for r in first.stats().collect()}
+    # The parts are gone and nothing has been written in their place.
+    monkeypatch.setattr(Store, "_write", lambda *a: (_ for _ in ()).throw(OSError("the machine stopped")))
+    with pytest.raises(OSError):
+        first.replace("segments", segments.withColumn("text", F.upper("text")), videos, ["video_id"])
+    monkeypatch.undo()
+    assert first.read("segments").count() == 0
+    again = Store(spark, folder)
+    assert {r.table_name: r.n for r in again.stats().collect()} == before
+    assert all(r.text == r.text.upper() for r in again.read("segments").collect())
+    # One that broke off before it was staged changes nothing.
+    segments.write.parquet(f"{folder}/_staged/segments-half/rows")
+    third = Store(spark, folder)
+    assert third.read("segments").count() == before["segments"] and not third._exists(f"{folder}/_staged/segments-half")
+
+
+def test_many_rows_of_one_part_get_several_writers(spark):
+    store = Store(spark, scratch_folder(spark), 1)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        store.append("segments", spark.range(60_000).select(F.lit("v").alias("video_id"), F.col("id").cast("int").alias("idx"), F.lit(0.0).alias("start_s"), F.lit(1.0).alias("end_s"), F.sha2(F.col("id").cast("string"), 256).alias("text")))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert store.read("segments").select(F.input_file_name()).distinct().count() > 4
+
+
+def test_cached_transcripts(spark, store):
+    videos, rows = talk(spark)
+    own = Store(spark, scratch_folder(spark), 2)
+    own.save_videos(videos.withColumn("language", F.lit(None).cast("string")), rows.select("video_id", "idx", "start_s", (F.col("start_s") + F.col("duration_s")).alias("end_s"), "text").orderBy(F.col("idx").desc()))
+    got = [(r.language, r.idx, r.duration_s) for r in own.transcript(["a"]).collect()]
+    assert got == [("en", i, 4.0) for i in range(4)]
+
+
+def test_cached_vectors_of_another_width_are_an_error(spark):
+    own = Store(spark, scratch_folder(spark), 2)
+    own.append("embedding_sets", spark.createDataFrame([("v", 1, 2, "m", 3)], "video_id string, chunk_set_id long, embedding_set_id long, model_id string, dim int"))
+    own.append("embeddings", spark.createDataFrame([("v", 2, 5, [1.0])], "video_id string, embedding_set_id long, chunk_id long, vector array<float>"))
+    own.append("chunk_sets", spark.createDataFrame([("v", 1, "f", 1)], "video_id string, chunk_set_id long, fingerprint string, n_chunks int"))
+    own.append("chunks", spark.createDataFrame([("v", 1, 5, 0, "t", 0.0, 1.0, 0, 0, 1)], "video_id string, chunk_set_id long, chunk_id long, idx int, text string, start_s double, end_s double, seg_start int, seg_end int, n_chars int"))
+    with pytest.raises(Exception, match="width"):
+        own.embeddings("f", "m").collect()
+
+
+def test_dense_in_passes_equals_one_pass(spark):
+    import numpy as np
+
+    x = np.random.default_rng(3).normal(size=(300, 6))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "passage_id long, vector array<double>").repartition(5)
+    asked = vectors.filter("passage_id % 10 = 0").withColumnRenamed("passage_id", "query_id")
+    rows = lambda df: sorted((r.query_id, r["rank"], r.passage_id, r.score) for r in df.collect())
+    one, many = rows(dense.retrieve(vectors, asked, 7)), rows(dense.retrieve(vectors, asked, 7, block_bytes=100))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.round(unit @ unit.T, dense.DIGITS)
+    want = sorted((q, k, int(p), float(near[q, p])) for q in range(0, 300, 10) for k, p in enumerate(np.lexsort((np.arange(300), -near[q]))[:7]))
+    assert one == many and [r[:3] for r in one] == [r[:3] for r in want]
+
+
+def test_dense_hands_on_k_rows_of_a_task(spark):
+    vectors = spark.range(0, 5000, 1, 2).select(F.col("id").alias("passage_id"), F.array(F.rand(1), F.rand(2)).alias("vector"))
+    asked = [(1, [1.0, 0.5]), (2, [0.2, 0.9])]
+    import numpy as np
+
+    got = dense._one_pass(vectors, [a for a, _ in asked], np.array([v for _, v in asked]), 4)
+    assert got.count() == 2 * 2 * 4
