@@ -2,48 +2,86 @@
 
     python -m cuewright index --captions rows.parquet --videos videos.parquet
     python -m cuewright ask LOCATOR QUESTION --model package.module:load
+    python -m cuewright chat LOCATOR --model package.module:load
     python -m cuewright cache stats | clear LOCATOR
-    python -m cuewright eval BENCHMARK.yaml LOCATOR --out folder
+    python -m cuewright eval BENCHMARK.yaml LOCATOR --out folder [--retrievers dense,sparse,hybrid] [--model package.module:load]
+    python -m cuewright calibrate BENCHMARK.yaml LOCATOR
+    python -m cuewright draft LOCATOR QUESTION
 
-A model is a function without arguments that gives the function from prompts to replies.
+A model is a function without arguments that gives the function from prompts to replies. Exit codes: 0 done, 2 wrong
+arguments, locators, benchmarks or settings, 3 nothing indexed for the video, 4 the answer was a refusal.
 """
 
 from __future__ import annotations
 
 import argparse
-import importlib
 import sys
+from functools import reduce
 
-from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.scalars import require_locator
-from .operators import embed
+from .functions.scalars import format_timestamp, parse_locator, quote
+from .operators.calibrate import best_threshold
 from .plans import evaluate, index
 from .plans.chat import ChatSession
+from .plans.retrieve import retrieve
+from .shared import materialize
+from .shipping import named
 from .sources import benchmarks, reports
 from .sources.settings import Settings
 from .sources.store import Store
 
 
-def _load(name: str):
-    """The function package.module:name; its module's code goes to the executors with the tasks."""
-    module, _, attribute = name.partition(":")
-    found = importlib.import_module(module)
-    cloudpickle.register_pickle_by_value(found)
-    return getattr(found, attribute)
+def _video(spark: SparkSession, locator: str) -> str:
+    found = spark.createDataFrame([(locator,)], "l string").select(parse_locator(F.col("l"))).first()[0]
+    if found is None:
+        raise ValueError(f"no video in {locator!r}")
+    return found
 
 
-def _video(spark: SparkSession, locator: str) -> str:
-    return spark.createDataFrame([(locator,)], "l string").select(require_locator(F.col("l"))).first()[0]
+class _Index:
+    """Passages and vectors of one indexed video."""
 
+    def __init__(self, store: Store, video: str, settings: Settings) -> None:
+        key = settings.packing.fingerprint()
+        chunks = store.chunks(key).filter(F.col("video_id") == video)
+        self.passages = chunks.select(F.col("video_id").alias("scope"), F.col("chunk_id").alias("passage_id"), "video_id", "start_s", "end_s", "text")
+        self.vectors = store.embeddings(key, settings.model_id).filter(F.col("video_id") == video).select(F.col("chunk_id").alias("passage_id"), "vector")
+        if self.passages.isEmpty():
+            raise LookupError(f"nothing is indexed for {video}; run index first")
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+
+def _print_answer(told: dict) -> None:
+    print(told["text"], *(f"[{c['marker']}] {c['timestamp']}  {c['url']}" for c in told["citations"]), sep="\n")
+
+
+def _chat(session: ChatSession) -> int:
+    """Questions from standard input, a line each; an empty line or `quit` ends the talk."""
+    while (line := sys.stdin.readline().strip()) and line != "quit":
+        _print_answer(session.ask(line))
+    return 0
+
+
+def _draft(spark: SparkSession, index_: _Index, question: str, settings: Settings, k: int = 3) -> None:
+    """A benchmark case to be checked by hand: the question with the spans of its best passages."""
+    asked = spark.createDataFrame([(0, question)], "query_id long, text string")
+    hits = retrieve("hybrid", index_.passages, asked, settings, index_.vectors).filter(F.col("rank") < k).join(index_.passages, "passage_id")
+    rows = hits.orderBy("rank").select(format_timestamp(F.col("start_s")), format_timestamp(F.col("end_s")), F.round("confidence", 2), quote(F.col("text"), 70)).collect()
+    print(f"- id: TODO\n  question: {question!r}\n  expected_answer: TODO\n  relevant_spans:", *(f"  - ['{a}', '{b}']  # confidence {c}, check: {t}" for a, b, c, t in rows), sep="\n")
+
+
+COMMANDS = {
+    "index": ["--captions", "--videos"], "ask": ["locator", "question", "--model"], "chat": ["locator", "--model"], "cache": ["action"],
+    "eval": ["benchmark", "locator", "--out"], "calibrate": ["benchmark", "locator"], "draft": ["locator", "question"],
+}
+
+
+def _arguments(argv: list[str] | None) -> argparse.Namespace:
     parser = argparse.ArgumentParser("cuewright", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     parser.add_argument("--folder")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, arguments in {"index": ["--captions", "--videos"], "ask": ["locator", "question", "--model"], "cache": ["action"], "eval": ["benchmark", "locator", "--out"]}.items():
+    for name, arguments in COMMANDS.items():
         sub = commands.add_parser(name)
         for a in arguments:
             sub.add_argument(a, **({"required": True} if a.startswith("--") else {}))
@@ -51,31 +89,63 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             sub.add_argument("locator", nargs="?")
         if name == "index":
             sub.add_argument("--force", action="store_true")
-    args = parser.parse_args(argv)
+        if name == "eval":
+            sub.add_argument("--model")
+            sub.add_argument("--retrievers", default="dense,sparse,hybrid")
+    return parser.parse_args(argv)
+
+
+def _run(args: argparse.Namespace, spark: SparkSession) -> int:
     settings = Settings.load(folder=args.folder)
-    spark = spark or SparkSession.builder.appName("cuewright").getOrCreate()
     store = Store(spark, settings.folder)
     if args.command == "index":
         print(index.ensure_indexed(store, spark.read.parquet(args.videos), spark.read.parquet(args.captions), settings, args.force))
-    elif args.command == "ask":
-        told = ChatSession(store, _video(spark, args.locator), _load(args.model), settings).ask(args.question)
-        print(told["text"], *(f"[{c['marker']}] {c['timestamp']}  {c['url']}" for c in told["citations"]), sep="\n")
-        return 4 if told["refused"] else 0
-    elif args.command == "cache":
+        return 0
+    if args.command == "cache":
+        if args.action not in ("stats", "clear") or (args.action == "clear") != bool(args.locator):
+            raise ValueError("cache takes stats, or clear and a locator")
         if args.action == "clear":
             store.clear(spark.createDataFrame([(_video(spark, args.locator),)], "video_id string"))
         print(*(f"{r.table_name}: {r.n}" for r in store.stats().collect()), sep="\n")
-    else:
-        cases, video = benchmarks.read_benchmark(spark, args.benchmark), _video(spark, args.locator)
-        key = settings.packing.fingerprint()
-        chunks = store.chunks(key).filter(F.col("video_id") == video)
-        passages = chunks.select(F.col("video_id").alias("scope"), F.col("chunk_id").alias("passage_id"), "video_id", "start_s", "end_s", "text")
-        vectors = store.embeddings(key, embed.model_id(settings.embedder, settings.dim)).filter(F.col("video_id") == video).select(F.col("chunk_id").alias("passage_id"), "vector")
-        results = evaluate.evaluate(settings.retriever, cases, passages, settings, vectors)
-        reports.write_csv(results, args.out)
-        print(reports.markdown(results, evaluate.calibrate(results)))
+        return 0
+    video = _video(spark, args.locator)
+    held = _Index(store, video, settings)
+    if args.command in ("ask", "chat"):
+        session = ChatSession(store, video, named(args.model), settings)
+        if args.command == "chat":
+            return _chat(session)
+        told = session.ask(args.question)
+        _print_answer(told)
+        return 4 if told["refused"] else 0
+    if args.command == "draft":
+        _draft(spark, held, args.question, settings)
+        return 0
+    cases = benchmarks.read_benchmark(spark, args.benchmark)
+    if args.command == "calibrate":
+        sweep = materialize(evaluate.calibrate(evaluate.evaluate(settings.retriever, cases, held.passages, settings, held.vectors)))
+        best = best_threshold(sweep).first()
+        print(*(f"{r.threshold:.2f}  correct refusal {r.correct_refusal_rate or 0:.2f}  false refusal {r.false_refusal_rate or 0:.2f}" for r in sweep.orderBy("threshold").collect()), sep="\n")
+        print(f"recommended CUEWRIGHT_MIN_SCORE={best.threshold:.2f}" if best else "no threshold")
+        return 0
+    load = named(args.model) if args.model else None
+    results = materialize(reduce(DataFrame.unionByName, (evaluate.evaluate(n.strip(), cases, held.passages, settings, held.vectors, load) for n in args.retrievers.split(","))))
+    reports.write_csv(results, args.out)
+    print(reports.markdown(results, evaluate.calibrate(results)))
     return 0
 
 
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    args = _arguments(argv)
+    spark = spark or SparkSession.builder.appName("cuewright").getOrCreate()
+    try:
+        return _run(args, spark)
+    except LookupError as problem:
+        print(problem, file=sys.stderr)
+        return 3
+    except ValueError as problem:
+        print(problem, file=sys.stderr)
+        return 2
+
+
 if __name__ == "__main__":
     sys.exit(main())

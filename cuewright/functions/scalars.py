@@ -116,9 +116,11 @@ def judge_score(reply: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
 
+# Wordings of quota and overload messages.
+EXHAUSTED = r"(?i)tokens per day|requests per day|\bTPD\b|\bRPD\b|per day|limit:?\s*0\b"
+TRANSIENT = "(?i)429|rate.?limit|quota|resource.?exhausted|503|overloaded|timeout|unavailable"
+
+
 def call_failure(message: Column) -> Column:
     """What a model service's error message says: `exhausted` (do not retry), `transient` (retry) or `permanent`."""
-    # Wordings of quota and overload messages.
-    exhausted = r"(?i)tokens per day|requests per day|\bTPD\b|\bRPD\b|per day|limit:?\s*0\b"
-    transient = "(?i)429|rate.?limit|quota|resource.?exhausted|503|overloaded|timeout|unavailable"
-    return F.when(message.rlike(exhausted), "exhausted").when(message.rlike(transient), "transient").otherwise("permanent")
+    return F.when(message.rlike(EXHAUSTED), "exhausted").when(message.rlike(TRANSIENT), "transient").otherwise("permanent")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import features, hash_terms
-from ..shipping import ship
+from ..shipping import named, ship
 from .dense import l2_normalize
 
 DIM = 384
@@ -29,9 +29,11 @@ def with_prefix(text: Column, model: str, query: bool) -> Column:
     return F.concat(F.lit(prefix), text)
 
 
-def model_id(name: str, dim: int = DIM, version: int = 1) -> str:
-    """The key under which vectors of a model are kept."""
-    return f"{name}-{dim}-v{version}" if name.startswith("hashing") else f"{name}+{family(name) or 'plain'}-v{version}"
+def model_id(embedder: str, dim: int = DIM, model: str = "", version: int = 1) -> str:
+    """The key under which vectors are kept; it tells real models apart by name, and by whether they get prefixes."""
+    if embedder != "model":
+        return f"{embedder}-{dim}-v{version}"
+    return f"model:{model}:{'prefixed' if QUERY_PREFIX.get(family(model) or '') or PASSAGE_PREFIX.get(family(model) or '') else 'plain'}-{dim}-v{version}"
 
 
 def hash_embed_md5(texts: DataFrame, dim: int = DIM) -> DataFrame:
@@ -89,7 +91,23 @@ def model_embed(texts: DataFrame, load: Callable[[], Callable[[list[str]], np.nd
                 x = np.asarray(encode([t or "" for t in part.column(1).to_pylist()]), np.float32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(x), pa.list_(pa.float32()))], names=["passage_id", "vector"])
 
+    ship(texts.sparkSession)
     return texts.select("passage_id", "text").mapInArrow(run, "passage_id long, vector array<float>")
 
 
-EMBEDDERS: dict[str, Callable[..., DataFrame]] = {"hashing": hash_embed, "hashing-md5": hash_embed_md5, "model": model_embed}
+def embed(texts: DataFrame, embedder: str, dim: int = DIM, model: str = "", load: str = "", query: bool = False) -> DataFrame:
+    """(passage_id, vector) of texts(passage_id, text) by the embedder's name: hashing, hashing-md5 or model.
+
+    model is the real model's name, which decides the prefix of queries and passages; load names the function that
+    makes it in each task. Vectors of a real model are scaled to unit length.
+    """
+    if embedder == "hashing":
+        return hash_embed(texts, dim)
+    if embedder == "hashing-md5":
+        return hash_embed_md5(texts, dim)
+    if embedder != "model":
+        raise ValueError(f"unknown embedder: {embedder}")
+    if not load or not model:
+        raise ValueError("the embedder `model` needs a model's name and its loader")
+    told = model_embed(texts.withColumn("text", with_prefix(F.coalesce("text", F.lit("")), model, query)), named(load))
+    return told.select("passage_id", l2_normalize(F.col("vector")).alias("vector"))

@@ -54,6 +54,16 @@ def span_recall(hits: DataFrame, spans: DataFrame, cases: DataFrame, k: int) ->
     return cases.select("case_id").join(share, "case_id", "left").select("case_id", F.coalesce("recall_at_k", F.lit(0.0)).alias("recall_at_k"))
 
 
+def passage_iou(hits: DataFrame, spans: DataFrame, cases: DataFrame) -> DataFrame:
+    """(case_id, citation_iou): the mean over a case's hits of the best IoU with a gold span; 0 without hits or spans.
+
+    A citation has the span of its passage, so this is what citations can reach at best, without any answer.
+    """
+    best = hits_by_span(hits, spans).groupBy("case_id", "rank").agg(F.max("iou").alias("iou"))
+    mean = hits.select("case_id", "rank").join(best, ["case_id", "rank"], "left").groupBy("case_id").agg(F.avg(F.coalesce("iou", F.lit(0.0))).alias("citation_iou"))
+    return cases.select("case_id").join(mean, "case_id", "left").select("case_id", F.coalesce("citation_iou", F.lit(0.0)).alias("citation_iou"))
+
+
 def retrieval_scores(hits: DataFrame, spans: DataFrame, cases: DataFrame, k: int) -> DataFrame:
     """(case_id, recall_at_k, precision_at_k, mrr, ndcg_at_k)."""
     return span_recall(hits, spans, cases, k).join(ranking_scores(relevance(hits, spans), cases, k), "case_id")

@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import functions as F
 
 from ..operators import answers as ans
-from ..operators import embed
 from ..shared import materialize
 from ..sources.settings import Settings
 from ..sources.store import Store
@@ -37,7 +36,7 @@ class ChatSession:
             search = ans.rewrite(asked, ans.history_text(turns, s.history_turns), self.load).first()["search_text"]
         chunks = self.store.chunks(s.packing.fingerprint()).filter(F.col("video_id") == self.video_id)
         passages = chunks.select(F.col("video_id").alias("scope"), F.col("chunk_id").alias("passage_id"), "text")
-        vectors = self.store.embeddings(s.packing.fingerprint(), embed.model_id(s.embedder, s.dim)).filter(F.col("video_id") == self.video_id).select(F.col("chunk_id").alias("passage_id"), "vector")
+        vectors = self.store.embeddings(s.packing.fingerprint(), s.model_id).filter(F.col("video_id") == self.video_id).select(F.col("chunk_id").alias("passage_id"), "vector")
         hits = retrieve(s.retriever, passages, spark.createDataFrame([(0, search)], "query_id long, text string"), s, vectors)
         hits = materialize(hits)
         full = hits.withColumnRenamed("query_id", "question_id").join(chunks.select(F.col("chunk_id").alias("passage_id"), "video_id", "start_s", "end_s", "text"), "passage_id")

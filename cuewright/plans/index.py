@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import embed
 from ..operators.cues import clean_transcript, normalise_rows
 from ..operators.passages import passages_of
 from ..sources.settings import Settings
@@ -31,12 +30,12 @@ def ensure_indexed(store: Store, videos: DataFrame, rows: DataFrame, settings: S
     did["passages"] = bare.count()
     if did["passages"]:
         store.save_chunks(passages_of(store.read("segments").join(bare, "video_id", "left_semi"), settings.packing), fingerprint)
-    model = embed.model_id(settings.embedder, settings.dim)
+    model = settings.model_id
     chunks = store.chunks(fingerprint).join(wanted, "video_id", "left_semi")
     blank = chunks.select("video_id", "chunk_set_id").distinct().join(store.read("embedding_sets").filter(F.col("model_id") == model), ["video_id", "chunk_set_id"], "left_anti")
     did["vectors"] = blank.count()
     if did["vectors"]:
         todo = chunks.join(blank, ["video_id", "chunk_set_id"], "left_semi")
-        vectors = embed.EMBEDDERS[settings.embedder](todo.select(F.col("chunk_id").alias("passage_id"), "text"), settings.dim).select(F.col("passage_id").alias("chunk_id"), F.col("vector").cast("array<float>").alias("vector"))
+        vectors = settings.embed(todo.select(F.col("chunk_id").alias("passage_id"), "text")).select(F.col("passage_id").alias("chunk_id"), F.col("vector").cast("array<float>").alias("vector"))
         store.save_embeddings(todo.select("video_id", "chunk_set_id", "chunk_id").join(vectors, "chunk_id"), model, settings.dim)
     return did

@@ -512,7 +512,7 @@ def evaluate_retrievers(spark, d):
     store, settings = _index(spark, d), Settings()
     chunks = store.chunks(settings.packing.fingerprint())
     own = chunks.select(F.lit("all").alias("scope"), F.col("chunk_id").alias("passage_id"), "video_id", "start_s", "end_s", "text")
-    vectors = store.embeddings(settings.packing.fingerprint(), embed.model_id(settings.embedder, settings.dim)).select(F.col("chunk_id").alias("passage_id"), "vector")
+    vectors = store.embeddings(settings.packing.fingerprint(), settings.model_id).select(F.col("chunk_id").alias("passage_id"), "vector")
     asked = fx.cues(spark, d).filter("idx = 0").select(F.col("video_id").alias("case_id"), F.col("text").alias("question"), (F.col("video_id") % 3 != 0).alias("answerable"), F.array(F.lit("t")).alias("tags"), F.lit(None).cast("string").alias("followup_to"), F.array(F.struct(F.col("end_s").alias("gold_start"), (F.col("end_s") + 30).alias("gold_end"))).alias("spans"))
     out = None
     for name in ("dense", "sparse", "hybrid"):

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import dense, embed, fusion, lexical, rerank
+from ..operators import dense, fusion, lexical, rerank
 from ..sources.settings import Settings
 
 RETRIEVERS = ("dense", "sparse", "hybrid")
@@ -30,7 +30,7 @@ def retrieve(name: str, passages: DataFrame, questions: DataFrame, settings: Set
     pool = max(settings.candidate_k, depth) if name == "hybrid" else depth
     sides = {}
     if name != "sparse":
-        own = embed.EMBEDDERS[settings.embedder](asked.withColumnRenamed("query_id", "passage_id"), settings.dim).withColumnRenamed("passage_id", "query_id")
+        own = settings.embed(asked.withColumnRenamed("query_id", "passage_id"), query=True).withColumnRenamed("passage_id", "query_id")
         sides["dense"] = dense.retrieve(vectors, own, pool).join(passages.select("passage_id"), "passage_id", "left_semi")
     if name != "dense":
         sides["sparse"] = lexical.retrieve(passages, asked, pool, settings.bm25_k1, settings.bm25_b)

@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import importlib
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 
+def named(name: str) -> Callable:
+    """The function `package.module:name`; its module's code goes to the executors with the tasks that use it."""
+    module, _, attribute = name.partition(":")
+    found = importlib.import_module(module)
+    cloudpickle.register_pickle_by_value(found)
+    return getattr(found, attribute)
+
+
 def ship(spark: SparkSession) -> None:
     """Once for each context: a zip of the package's sources goes out with the context's files."""
     context = spark.sparkContext

@@ -6,6 +6,9 @@ import os
 from dataclasses import dataclass, fields, replace
 from typing import get_type_hints
 
+from pyspark.sql import DataFrame
+
+from ..operators.embed import embed, model_id
 from ..operators.passages import Packing
 
 
@@ -19,6 +22,9 @@ class Settings:
     min_chars: int = 200
     embedder: str = "hashing"
     dim: int = 384
+    #: For the embedder `model`: the model's name, and the function package.module:name that makes it in each task.
+    embedding_model: str = ""
+    embedding_loader: str = ""
     retriever: str = "hybrid"
     top_k: int = 5
     candidate_k: int = 30
@@ -48,6 +54,13 @@ class Settings:
                 out = replace(out, **{f.name: read[kind](text) if kind in read else tuple(x.strip() for x in text.split(","))})
         return replace(out, **{k: v for k, v in given.items() if v is not None})
 
+    def embed(self, texts: DataFrame, query: bool = False) -> DataFrame:
+        return embed(texts, self.embedder, self.dim, self.embedding_model, self.embedding_loader, query)
+
+    @property
+    def model_id(self) -> str:
+        return model_id(self.embedder, self.dim, self.embedding_model)
+
     @property
     def packing(self) -> Packing:
         return Packing(self.max_chars, self.overlap_chars, self.min_chars)

@@ -74,7 +74,7 @@ def test_evaluation_with_a_model(spark, store):
     own = chunks.select(F.lit("b").alias("scope"), F.col("chunk_id").alias("passage_id"), "video_id", "start_s", "end_s", "text")
     rows = [("t", "c1", "What is the bridge made of?", "steel", True, ["x"], None, [(0.0, 4.0)], 1), ("t", "c2", "Quantum qubits zeta?", None, False, [], None, [], 0)]
     asked = spark.createDataFrame(rows, benchmarks.CASES)
-    script = ['Reply {"score" -> {"score": 0.5, "reason": "r"}', "Steel [1]."]
+    script = ['Reply {"faithfulness" -> {"faithfulness": 0.75, "correctness": 0.5, "reason": "r"}', "Steel [1]."]
     got = evaluate.evaluate("sparse", asked, own, SETTINGS, load=answers.scripted(script))
     by = {r.case_id: r for r in got.collect()}
     assert by["c1"].recall_at_k == 1 and not by["c1"].refused and by["c1"].correctness == 0.5 and by["c1"].citation_hit_rate == 1
@@ -219,3 +219,134 @@ def test_dense_hands_on_k_rows_of_a_task(spark):
 
     got = dense._one_pass(vectors, [a for a, _ in asked], np.array([v for _, v in asked]), 4)
     assert got.count() == 2 * 2 * 4
+
+
+def replying(spark, rows, reply, **more):
+    """The rows of call_model over (id, prompt) with a model made of reply(prompts)."""
+    df = spark.createDataFrame(rows, "id int, prompt string").coalesce(1)
+    got = answers.call_model(df, "prompt", lambda: reply, "reply", failure="failure", took_ms="ms", patience=answers.Patience(3, 0.01, 0.02), **more)
+    return {r.id: (r.reply, r.failure) for r in got.collect()}
+
+
+def test_a_failing_prompt_costs_no_other_its_reply(spark):
+    def model(prompts):
+        if any("bad" in p for p in prompts):
+            raise ValueError("invalid request")
+        return [p.upper() for p in prompts]
+
+    got = replying(spark, [(1, "a"), (2, "bad"), (3, None), (4, "b")], model)
+    assert got == {1: ("A", None), 2: (None, "ValueError invalid request"), 3: (None, None), 4: ("B", None)}
+
+
+def test_passing_failures_are_tried_again_and_others_not():
+    calls = []
+
+    def model(prompts):
+        calls.append(len(prompts))
+        if len(calls) < 3:
+            raise OSError("503 overloaded")
+        return ["ok"] * len(prompts)
+
+    caller = answers._Caller(model, answers.Patience(3, 0.001, 0.002))
+    assert caller.replies(["p", "q"]) == [("ok", None)] * 2 and calls == [2, 2, 2]
+    spent = []
+
+    def exhausted(prompts):
+        spent.append(1)
+        raise OSError("rate limit: tokens per day")
+
+    assert answers._Caller(exhausted, answers.Patience(3, 0.001)).replies(["p", "q"]) == [(None, "OSError rate limit: tokens per day")] * 2 and len(spent) == 1
+
+
+def test_a_rewrite_that_fails_searches_for_the_question(spark):
+    def load():
+        def model(prompts):
+            raise RuntimeError("no such model")
+
+        return model
+
+    questions = spark.createDataFrame([(1, "c", "Why?")], "question_id long, conversation_id string, text string")
+    history = spark.createDataFrame([("c", "User: x")], "conversation_id string, history string")
+    row = answers.rewrite(questions, history, load).first()
+    assert (row.search_text, row.was_rewritten) == ("Why?", False)
+
+
+GIVEN = "question_id long, question string, context string, text string, refused boolean, expected string"
+
+
+@pytest.mark.parametrize("combined", [True, False])
+def test_judgements(spark, combined):
+    rows = [(1, "q", "c", "good", False, "e"), (2, "q", "c", "none", True, None), (3, "q", "c", "odd", False, "e"), (4, "q", "c", "down", False, "e")]
+
+    def load():
+        def model(prompts):
+            if any("ANSWER:\ndown" in p for p in prompts):
+                raise RuntimeError("gone")
+            told = '{"faithfulness": 7, "answer_relevance": 0.25, "context_relevance": null, "correctness": 0.5, "reason": "so"}' if combined else '{"score": 0.25, "reason": "so"}'
+            return ["what?" if "ANSWER:\nodd" in p else told for p in prompts]
+
+        return model
+
+    got = {r.question_id: r for r in answers.judge(spark.createDataFrame(rows, GIVEN).coalesce(1), load, combined).collect()}
+    assert (got[1].faithfulness, got[1].answer_relevance, got[1].correctness) == ((1.0, 0.25, 0.5) if combined else (0.25, 0.25, 0.25)) and got[1].reasons["correctness"] == "so"
+    assert got[2].faithfulness == 1 and got[2].correctness is None and "refusal" in got[2].reasons["faithfulness"]
+    assert (got[3].faithfulness, got[3].correctness) == (0, 0) and "what?" in got[3].reasons["faithfulness"]
+    assert (got[4].faithfulness, got[4].answer_relevance, got[4].correctness) == (0, 0, 0) and "judge call failed: RuntimeError gone" in got[4].reasons["answer_relevance"]
+
+
+def test_follow_ups_are_asked_with_their_history(spark, store):
+    chunks = store.chunks(SETTINGS.packing.fingerprint()).filter("video_id = 'b'")
+    own = chunks.select(F.lit("b").alias("scope"), F.col("chunk_id").alias("passage_id"), "video_id", "start_s", "end_s", "text")
+    rows = [("t", "c3", "And then?", None, True, [], "c2", [(0.0, 4.0)], 1), ("t", "c2", "Why that?", None, True, [], "c1", [(0.0, 4.0)], 1), ("t", "c1", "What is the bridge made of?", "steel", True, ["x"], None, [(0.0, 4.0)], 1), ("t", "d1", "Why that?", None, True, [], None, [(0.0, 4.0)], 1)]
+    script = ['Reply {"faith -> {"faithfulness": 1}', "User: What is the bridge made of? -> bridge steel", "stands alone -> nothing of use zzz", "Steel [1]."]
+    got = {r.case_id: r for r in evaluate.evaluate("sparse", spark.createDataFrame(rows, benchmarks.CASES), own, SETTINGS, load=answers.scripted(script)).collect()}
+    assert not got["c1"].refused and not got["c2"].refused and not got["c3"].refused and got["c3"].recall_at_k == 1
+    assert got["d1"].refused and got["c1"].latency_ms >= 0 and got["d1"].latency_ms is None
+    alone = {r.case_id: r for r in evaluate.evaluate("sparse", spark.createDataFrame(rows, benchmarks.CASES), own, SETTINGS).collect()}
+    assert alone["c2"].top_confidence == 0 and alone["c2"].latency_ms is None
+
+
+def test_sizes_of_passages_with_what_retrieval_reaches(spark):
+    from cuewright.operators import timeline
+
+    videos, rows = talk(spark)
+    line = timeline.spans(rows.withColumn("end_s", F.col("start_s") + F.col("duration_s")))
+    asked = spark.createDataFrame([("t", "c1", "Many ships pass", None, True, [], None, [(8.0, 12.0)], 1), ("t", "c2", "zeta", None, False, [], None, [], 0)], benchmarks.CASES)
+    got = {(r.max_chars, r.retriever): r for r in evaluate.sweep_retrieval(line, asked, SETTINGS, (30, 1500)).collect()}
+    assert set(got) == {(30, "dense"), (30, "hybrid"), (1500, "dense"), (1500, "hybrid")}
+    assert got[1500, "dense"].n_passages == 2 and got[1500, "dense"].mean_s == 16 and got[1500, "dense"].citation_iou == pytest.approx(0.25)
+    assert got[30, "hybrid"].recall_at_k == 1 and got[30, "hybrid"].citation_iou > 0.25
+
+
+def test_passage_iou(spark):
+    hits = spark.createDataFrame([("a", 0, 0.0, 4.0), ("a", 1, 10.0, 14.0), ("b", 0, 0.0, 1.0)], "case_id string, rank int, start_s double, end_s double")
+    spans = spark.createDataFrame([("a", 0.0, 4.0), ("a", 2.0, 6.0)], "case_id string, gold_start double, gold_end double")
+    cases_ = spark.createDataFrame([("a",), ("b",), ("c",)], "case_id string")
+    assert {r.case_id: r.citation_iou for r in metrics.passage_iou(hits, spans, cases_).collect()} == {"a": 0.5, "b": 0.0, "c": 0.0}
+
+
+def letters():
+    """A small model: shares of letters, and how the text begins."""
+    import numpy as np
+
+    return lambda texts: np.array([[t.lower().count(c) for c in "abcdefghijklmnopqrstuvwxyz"] + [10.0 * t.startswith("query: "), 10.0 * t.startswith("passage: ")] for t in texts])
+
+
+def test_a_real_model_is_wired_with_its_prefixes(spark):
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    settings = Settings(**{**SETTINGS.__dict__, "embedder": "model", "embedding_model": "some/e5-small", "embedding_loader": f"{__name__}:letters", "dim": 28, "retriever": "dense"})
+    own = Store(spark, scratch_folder(spark), 2)
+    videos, rows = talk(spark)
+    assert index.ensure_indexed(own, videos, rows, settings)["vectors"] == 2
+    held = own.embeddings(settings.packing.fingerprint(), settings.model_id).collect()
+    assert held and all(r.vector[27] > 0 and r.vector[26] == 0 and abs(sum(x * x for x in r.vector) - 1) < 1e-5 for r in held)
+    query = settings.embed(spark.createDataFrame([(1, "bridge")], "passage_id long, text string"), query=True).first()
+    assert query.vector[26] > 0 and query.vector[27] == 0
+    other = Settings(**{**settings.__dict__, "embedding_model": "other/plain"})
+    assert other.model_id != settings.model_id and "plain" in other.model_id
+    with pytest.raises(ValueError, match="loader"):
+        Settings(embedder="model").embed(spark.createDataFrame([], "passage_id long, text string"))
