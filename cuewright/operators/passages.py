@@ -47,9 +47,15 @@ def densities(timeline: DataFrame) -> DataFrame:
     return timeline.groupBy("video_id").agg((F.sum(F.regexp_count("text", F.lit("[.!?]"))) / F.nullif(chars, F.lit(0))).alias("density"))
 
 
+def strategies(timeline: DataFrame, packing: Packing = Packing()) -> DataFrame:
+    """(video_id, strategy): `sentences` in videos with enough punctuation, else `windows`."""
+    enough = F.coalesce("density", F.lit(0.0)) >= packing.punctuation_density_threshold
+    return densities(timeline).select("video_id", F.when(enough, "sentences").otherwise("windows").alias("strategy"))
+
+
 def units(timeline: DataFrame, packing: Packing = Packing()) -> DataFrame:
     """Words with the number of their unit: a sentence in videos with enough punctuation, else a window of words."""
-    dense = densities(timeline).select("video_id", (F.coalesce("density", F.lit(0.0)) >= packing.punctuation_density_threshold).alias("dense"))
+    dense = strategies(timeline, packing).select("video_id", (F.col("strategy") == "sentences").alias("dense"))
     line = Window.partitionBy("video_id").orderBy("word_start")
     before = line.rowsBetween(Window.unboundedPreceding, -1)
     sentence = F.coalesce(F.sum(F.col("word").rlike(SENTENCE_END).cast("int")).over(before), F.lit(0))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from ..functions.text import ANNOTATIONS
 from ..functions.tokens import STOPWORDS
+from ..operators.answers import CONTINUATION, REFERENTIAL
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 
 
+def _quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
 def _terms(text: str) -> str:
     found = f"regexp_extract_all(lower({text}), '[a-z0-9]+(?:[''-][a-z0-9]+)*')"
     spread = f"flatten(list_transform({found}, lambda w: CASE WHEN regexp_matches(w, '[''-]') THEN list_concat([w], regexp_split_to_array(w, '[''-]')) ELSE [w] END))"
@@ -16,7 +22,7 @@ def _terms(text: str) -> str:
 _CUES = """cues AS (SELECT conv_id::VARCHAR AS video_id, turn::INT AS idx, (sum(length(text)) OVER w - length(text))::DOUBLE / 15 AS start_s, (sum(length(text)) OVER w)::DOUBLE / 15 AS end_s, text
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))"""
 _SQUEEZE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
-_ANNOTATION = r"(?i)[\[\(](?:music|applause|laughter|inaudible|silence|foreign|blank_audio|crosstalk)[^\])]*[\]\)]"
+_ANNOTATION = r"(?i)[\[\(](?:" + "|".join(ANNOTATIONS) + r")[^\])]*[\]\)]"
 _SPEAKER = r"^\s*(?:>>+|-\s|[A-Z][A-Z .''-]{1,24}:)\s*"
 _MARKED = _CUES + """, marked AS (SELECT video_id, idx, CASE idx % 3 WHEN 0 THEN '>> JOHN SMITH: ' || text WHEN 1 THEN '[Music playing] <i>' || text || '</i>' ELSE '- ' || text || ' (APPLAUSE)' END AS text FROM cues)"""
 
@@ -140,7 +146,7 @@ ORACLES: dict[str, str] = {
     "idf_stats": f"WITH {_BY_LANG} SELECT scope, term, df, round(ln(1 + (n_docs - df + 0.5) / (df + 0.5)), 6) AS idf FROM freq JOIN stats USING (scope)",
     "doc_length_stats": f"WITH {_BY_LANG} SELECT scope, n_docs, round(avg_len, 6) AS avg_len FROM stats",
     "tokenize_compound_terms": "SELECT doc_id AS passage_id, array_to_string(" + _terms("text || ' It''s state-of-the-art, the x-ray isn''t.'") + ", ' ') AS terms FROM documents",
-    "hash_features": "WITH t AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM benchmark) SELECT query_id, array_to_string(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || '_' || t[i + 1])), ' ') AS features FROM t",
+    "hash_features": "WITH t AS (SELECT doc_id AS passage_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents) SELECT passage_id, array_to_string(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || '_' || t[i + 1])), ' ') AS features FROM t",
     "dense_topk": f"WITH {_PROBES} SELECT query_id, passage_id, score, rank FROM dense WHERE rank < 10",
     "cosine_confidence": f"WITH {_PROBES} SELECT query_id, max(confidence) AS confidence FROM dense GROUP BY query_id",
     "l2_normalize": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * 3) AS x FROM embeddings), n AS (SELECT *, sqrt(list_inner_product(x, x)) AS n FROM v) SELECT vec_id AS passage_id, unnest(range(len(x))) AS place, unnest(list_transform(x, lambda y: round(CASE WHEN n > 0 THEN y / n ELSE y END, 6) + 0)) AS x FROM n",
@@ -185,9 +191,9 @@ SELECT video_id, round(sum(u - t), 6) AS covered_s FROM lit GROUP BY video_id"""
     "sentence_units": f"""WITH {_WORDS}, n AS (SELECT *, coalesce(sum(regexp_matches(word, '[.!?]+["'')\\]]*$')::INT) OVER (PARTITION BY video_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS unit FROM placed) SELECT video_id, unit, min(e - length(word))::INT AS char_start, max(e)::INT AS char_end FROM n GROUP BY ALL""",
     "word_windows": f"WITH {_WORDS} SELECT video_id, ((k - 1) // 28)::INT AS unit, min(e - length(word))::INT AS char_start, max(e)::INT AS char_end FROM placed GROUP BY ALL",
     "unit_strategy": f"WITH {_WORDS} SELECT video_id, CASE WHEN len(regexp_extract_all(text, '[.!?]')) / length(text)::DOUBLE >= 0.012 THEN 'sentences' ELSE 'windows' END AS strategy FROM whole",
-    "hash_embed_md5": """WITH t AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM benchmark), f AS (SELECT item_id, md5(unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || '_' || t[i + 1])))) AS h FROM t),
-s AS (SELECT item_id, ('0x' || h[1:8])::BIGINT % 64 AS bucket, sum(CASE WHEN h[9] >= '8' THEN -1 ELSE 1 END)::DOUBLE AS s FROM f GROUP BY ALL), n AS (SELECT item_id, sqrt(sum(s * s)) AS n FROM s GROUP BY ALL)
-SELECT b.item_id AS passage_id, i AS bucket, round(coalesce(s / nullif(n, 0), 0), 6) + 0 AS x FROM benchmark b CROSS JOIN range(64) r(i) LEFT JOIN s ON s.item_id = b.item_id AND s.bucket = i LEFT JOIN n ON n.item_id = b.item_id""",
+    "hash_embed_md5": """WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents), f AS (SELECT doc_id, md5(unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || '_' || t[i + 1])))) AS h FROM t),
+s AS (SELECT doc_id, ('0x' || h[1:8])::BIGINT % 384 AS bucket, sum(CASE WHEN h[9] >= '8' THEN -1 ELSE 1 END)::DOUBLE AS s FROM f GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(s * s)) AS n FROM s GROUP BY ALL)
+SELECT doc_id AS passage_id, bucket::INT AS bucket, round(s / n, 6) AS x FROM s JOIN n USING (doc_id) WHERE round(s / n, 6) <> 0""",
     "format_timestamp": f"WITH {_CUES} SELECT video_id, idx, {_at(_whole('start_s * 20 - 5'))} AS at FROM cues",
     "timestamp_url": f"WITH {_CUES} SELECT video_id, idx, 'https://www.youtube.com/watch?v=' || video_id || '&t=' || greatest(0, trunc(start_s - 2))::BIGINT || 's' AS url FROM cues",
     "to_seconds": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN (event_id % 5) || ':' ELSE '' END || CASE WHEN event_id % 2 = 0 THEN (event_id % 60) || ':' ELSE '' END || (event_id % 59) AS at, (CASE WHEN event_id % 3 = 0 THEN (event_id % 5) * CASE WHEN event_id % 2 = 0 THEN 3600 ELSE 60 END ELSE 0 END + CASE WHEN event_id % 2 = 0 THEN (event_id % 60) * 60 ELSE 0 END + event_id % 59)::DOUBLE AS seconds FROM events",
@@ -202,8 +208,8 @@ FROM cited c JOIN p ON p.question_id = c.question_id AND p.rank + 1 = c.marker""
     "gate_a": f"WITH {_CHAT} SELECT question_id, round(confidence, 6) AS confidence, confidence < 0.28 AS refused FROM conf",
     "answer_gates": f"WITH {_CHAT} SELECT question_id, CASE WHEN layer IN ('A', 'B', 'C') THEN 'I cannot find this information in the video.' ELSE cleaned END AS text, coalesce(layer IN ('A', 'B', 'C'), false) AS refused, layer FROM layered",
     "retrieved_rule": f"WITH {_CHAT} SELECT c.question_id, c.rank, c.passage_id FROM chat c JOIN layered l ON l.question_id = c.question_id LEFT JOIN used u ON u.question_id = c.question_id AND u.rank = c.rank WHERE coalesce(layer IN ('A', 'B', 'C'), false) OR u.rank IS NOT NULL",
-    "needs_rewrite": r"""WITH q AS (SELECT conv_id, turn, trim(CASE WHEN turn % 4 = 2 THEN 'And ' || text WHEN conv_id % 5 = 0 THEN 'Why so?' ELSE text END) AS q FROM conversations WHERE role = 'user')
-SELECT conv_id, turn, turn > 0 AND (len(list_filter(regexp_split_to_array(q, '\s+'), lambda w: w <> '')) <= 3 OR regexp_matches(q, '(?i)\b(it|its|it''s|that|this|those|these|they|them|their|he|she|his|her|the same|the former|the latter|there|such)\b') OR regexp_matches(q, '(?i)^\s*(and|but|so|then|also|what about|how about|why|ok|okay)\b')) AS needed FROM q""",
+    "needs_rewrite": rf"""WITH q AS (SELECT conv_id, turn, trim(CASE WHEN turn % 4 = 2 THEN 'And ' || text WHEN conv_id % 5 = 0 THEN 'Why so?' ELSE text END) AS q FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, turn > 0 AND (len(list_filter(regexp_split_to_array(q, '\s+'), lambda w: w <> '')) <= 3 OR regexp_matches(q, '{_quoted(REFERENTIAL)}') OR regexp_matches(q, '{_quoted(CONTINUATION)}')) AS needed FROM q""",
     "history_window": f"WITH t AS (SELECT conv_id, turn, role, {_SQUEEZE.format('text')} AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) SELECT conv_id AS conversation_id, string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || CASE WHEN length(x) > 240 THEN substr(x, 1, 239) || '…' ELSE x END, chr(10) ORDER BY turn) AS history FROM t WHERE n <= 4 GROUP BY conv_id",
     "parse_judge_score": "SELECT doc_id, round(CASE doc_id % 5 WHEN 0 THEN least(1, (doc_id % 30) / 10.0::DOUBLE) WHEN 1 THEN (doc_id % 10) / 10.0::DOUBLE WHEN 4 THEN 1 ELSE 0 END, 6)::DOUBLE AS score FROM documents",
     "call_failures": "SELECT (['transient', 'exhausted', 'transient', 'exhausted', 'permanent'])[(event_id % 5 + 1)::INT] AS failure, count(*) AS n FROM events GROUP BY ALL",

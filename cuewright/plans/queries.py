@@ -69,7 +69,7 @@ def tokenize_compound_terms(spark, d):
 
 @query
 def hash_features(spark, d):
-    return fx.questions(spark, d).select("query_id", F.concat_ws(" ", tk.features(tk.hash_terms(F.col("text")))).alias("features"))
+    return fx.passages(spark, d).select("passage_id", F.concat_ws(" ", tk.features(tk.hash_terms(F.col("text")))).alias("features"))
 
 
 @query
@@ -298,8 +298,7 @@ def word_windows(spark, d):
 
 @query
 def unit_strategy(spark, d):
-    got = passages.densities(_timeline(spark, d))
-    return got.select("video_id", F.when(F.col("density") >= 0.012, "sentences").otherwise("windows").alias("strategy"))
+    return passages.strategies(_timeline(spark, d), passages.Packing(punctuation_density_threshold=0.012))
 
 
 @query
@@ -312,10 +311,17 @@ def chunk_size_sweep(spark, d):
     return evaluate.sweep_sizes(_timeline(spark, d))
 
 
+@query
+def chunk_retrieval_sweep(spark, d):
+    """Cases are the first questions of conversations; their gold span is the answer that follows."""
+    return evaluate.sweep_retrieval(_timeline(spark, d), _first_questions(spark, d))
+
+
 @query
 def hash_embed_md5(spark, d):
-    texts = fx.questions(spark, d).withColumnRenamed("query_id", "passage_id")
-    return embed.hash_embed_md5(texts, 64).select("passage_id", F.posexplode("vector").alias("bucket", "x")).withColumn("x", F.round("x", 6) + 0.0)
+    """Buckets that are not zero."""
+    each = embed.hash_embed_md5(fx.passages(spark, d)).select("passage_id", F.posexplode("vector").alias("bucket", "x"))
+    return each.withColumn("x", F.round("x", 6)).filter("x <> 0")
 
 
 @query
@@ -513,7 +519,7 @@ def evaluate_retrievers(spark, d):
     chunks = store.chunks(settings.packing.fingerprint())
     own = chunks.select(F.lit("all").alias("scope"), F.col("chunk_id").alias("passage_id"), "video_id", "start_s", "end_s", "text")
     vectors = store.embeddings(settings.packing.fingerprint(), settings.model_id).select(F.col("chunk_id").alias("passage_id"), "vector")
-    asked = fx.cues(spark, d).filter("idx = 0").select(F.col("video_id").alias("case_id"), F.col("text").alias("question"), (F.col("video_id") % 3 != 0).alias("answerable"), F.array(F.lit("t")).alias("tags"), F.lit(None).cast("string").alias("followup_to"), F.array(F.struct(F.col("end_s").alias("gold_start"), (F.col("end_s") + 30).alias("gold_end"))).alias("spans"))
+    asked = _first_questions(spark, d)
     out = None
     for name in ("dense", "sparse", "hybrid"):
         one = evaluate.evaluate(name, asked, own, settings, vectors)
@@ -521,6 +527,10 @@ def evaluate_retrievers(spark, d):
     return out.drop("latency_ms")
 
 
+def _first_questions(spark, d):
+    return fx.cues(spark, d).filter("idx = 0").select(F.col("video_id").alias("case_id"), F.col("text").alias("question"), (F.col("video_id") % 3 != 0).alias("answerable"), F.array(F.lit("t")).alias("tags"), F.lit(None).cast("string").alias("followup_to"), F.array(F.struct(F.col("end_s").alias("gold_start"), (F.col("end_s") + 30).alias("gold_end"))).alias("spans"))
+
+
 @query
 def cue_stream(spark, d):
     """rolling_dedup as a stream that ends with what is there, read back then."""

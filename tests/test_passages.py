@@ -1,6 +1,7 @@
 """Cleaning, rolling duplicates and packing against plain Python statements of what they mean."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +45,25 @@ def check_packing(sizes, runs, p):
     assert alone != bool(joined) or (alone and not any(full(a, m) for m in range(new, b)))
 
 
+def plain_units(text, packing):
+    """(start, end) of the units of a text: sentences or windows of words, cut at words where they are too long."""
+    words, at = [], 0
+    for w in text.split(" "):
+        words.append((at, at + len(w), w))
+        at += len(w) + 1
+    words = [w for w in words if w[2]]
+    dense = sum(text.count(c) for c in ".!?") / len(text) >= packing.punctuation_density_threshold
+    ends = [k for k, w in enumerate(words) if (re.search(passages.SENTENCE_END, w[2]) if dense else k % packing.words_per_window == packing.words_per_window - 1)]
+    flat = []
+    for first, last in zip([0, *(e + 1 for e in ends)], [*ends, len(words) - 1]):
+        piece = words[first : last + 1]
+        while piece:
+            fit = [w for w in piece if w[1] - piece[0][0] <= packing.max_chars] or piece[:1]
+            flat.append((fit[0][0], fit[-1][1]))
+            piece = piece[len(fit) :]
+    return flat
+
+
 @pytest.mark.parametrize("packing", [passages.Packing(160, 40, 40), passages.Packing(60, 0, 30), passages.Packing(80, 30, 70, 5, 2.0), passages.Packing(30, 20, 10, 28, 0.0)])
 def test_packs_keep_the_rules(spark, packing):
     rows = cue_rows(packing.max_chars)
@@ -55,27 +75,7 @@ def test_packs_keep_the_rules(spark, packing):
     for v, _, _, _, text in rows:
         texts[v] = f"{texts[v]} {text}" if v in texts else text
     for v, text in texts.items():
-        words, at = [], 0
-        for w in text.split(" "):
-            words.append((at, at + len(w), w))
-            at += len(w) + 1
-        dense = sum(text.count(c) for c in ".!?") / len(text) >= packing.punctuation_density_threshold
-        units, cur = [], []
-        for k, w in enumerate(words):
-            cur.append(w)
-            if (w[2][-1] in ".!?") if dense else (k % packing.words_per_window == packing.words_per_window - 1):
-                units.append(cur)
-                cur = []
-        units += [cur] if cur else []
-        flat = []
-        for unit in units:
-            start = end = unit[0][0]
-            for a, b, _ in unit:
-                if b - start > packing.max_chars and end > start:
-                    flat.append((start, end))
-                    start = a
-                end = b
-            flat.append((start, end))
+        flat = plain_units(text, packing)
         begins, ends = {u[0]: k for k, u in enumerate(flat)}, {u[1]: k for k, u in enumerate(flat)}
         check_packing([b - a for a, b in flat], [(begins[r.char_start], ends[r.char_end]) for r in got[v]], packing)
         assert all(r.text == text[r.char_start : r.char_end] for r in got[v])
