@@ -29,4 +29,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         discard(labels)
         labels = after.select("node", "root")
         if not changed:
+            discard(both)
             return labels
