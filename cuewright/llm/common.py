@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import math
 import tempfile
 import uuid
 import zipfile
@@ -119,9 +120,23 @@ def ship(spark: SparkSession) -> None:
 
 
 def prepare(df: DataFrame) -> None:
-    """Bound the rows in an Arrow batch, and see that tasks can import what they run."""
+    """Bound the rows in an Arrow batch, unless the session has a bound of its own, and see that tasks can import what they run."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    rows, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if conf.get(rows) == "10000":  # Spark's own
+        conf.set(rows, str(BATCH_ROWS))
+
+
+def rank_among(edges: list, x: Column) -> Column:
+    """How many of the sorted edges lie below x. About twice the square root of their number are looked at for each row."""
+    if not edges:
+        return F.lit(0)
+    step = math.isqrt(len(edges) - 1) + 1
+    groups = [edges[i : i + step] for i in range(0, len(edges), step)]
+    count = lambda among: F.aggregate(among, F.lit(0), lambda n, e: n + (e < x).cast("int"))
+    whole = count(F.array(*(F.lit(g[-1]) for g in groups)))
+    inside = F.element_at(F.array(*(F.array(*map(F.lit, g)) for g in groups)), F.least(whole + 1, F.lit(len(groups))))
+    return F.when(x.isNotNull(), F.when(whole == len(groups), len(edges)).otherwise(whole * step + count(inside)))
 
 
 def append_columns(df: DataFrame, text_col: str, fields: list[T.StructField], setup: Callable[[], Callable[[list[bytes]], list[pa.Array]]]) -> DataFrame:

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import rank_among
+
 #: Characters of the longest leaf, and hexadecimal digits of a short digest.
 LEAF, DIGITS = 80, 8
 PARAGRAPH = "[^\n]*\n|[^\n]+"
@@ -135,8 +137,7 @@ def with_next(df: DataFrame, id_col: str, order: list[Column], columns: dict[str
     spark = df.sparkSession
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = sorted(set(df.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or []))
-    below = F.aggregate(F.array(*map(F.lit, edges)), F.lit(0), lambda n, e: n + (e >= F.col(id_col)).cast("int")) if edges else F.lit(0)
-    own = F.when(F.col(id_col).isNull(), len(edges) + 1).otherwise(below)
+    own = F.coalesce(len(edges) - rank_among(edges, F.col(id_col)), F.lit(len(edges) + 1))
     dealt = df.withColumn("_own", own)
     heads = sorted(tuple(r) for r in dealt.groupBy("_own").agg(F.max(id_col)).collect())
     if not heads:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, rank_among
 
 #: Headers of a 304 that must not replace those of the stored response (RFC 9111, section 3.2, and hop-by-hop ones).
 KEPT_HEADERS = ("connection", "content-encoding", "content-length", "content-md5", "content-range", "content-type", "etag", "keep-alive", "proxy-authenticate", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade")
@@ -55,7 +55,7 @@ def resolve(captures: DataFrame, ranges: int | None = None) -> DataFrame:
     """
     ranges = ranges or 4 * int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = sorted(set(captures.agg(F.percentile_approx("time", [i / ranges for i in range(1, ranges)] or [0.5], 100 * ranges)).first()[0] or []))
-    part = F.aggregate(F.array(*map(F.lit, edges)), F.lit(0), lambda n, e: n + (e < F.col("time")).cast("int")) if edges else F.lit(0)
+    part = rank_among(edges, F.col("time"))
     no_headers = F.create_map().cast("map<string,string>")
     rows = captures.select("capture_id", canonical_url(F.col("url")).alias("canonical_url"), "time", "kind", "etag", "last_modified", F.coalesce("headers", no_headers).alias("headers"))
     usable = F.col("canonical_url").isNotNull() & F.col("time").isNotNull()

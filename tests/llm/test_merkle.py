@@ -65,6 +65,15 @@ def test_next_document_with_outlier_ids_nulls_and_repeats(spark):
     assert got == {a: b for a, b in zip(order, order[1:] + order[:1])}
 
 
+def test_rank_among_edges(spark):
+    from cuewright.llm.common import rank_among
+
+    for edges in ([], [3], [1, 5, 5, 9], list(range(0, 200, 3))):
+        got = spark.range(-2, 205).select("id", rank_among(edges, F.col("id")).alias("n")).collect()
+        assert all(r.n == sum(e < r.id for e in edges) for r in got)
+    assert spark.range(1).select(rank_among([1, 2], F.lit(None).cast("long")).alias("n")).first().n is None
+
+
 def test_outlier_ids_leave_no_full_range(spark):
     df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")).union(spark.createDataFrame([(1 << 60, "t")], DOCS))
     spread = merkle.with_next(df, "doc_id", [], {"text": "after"}).groupBy(F.spark_partition_id()).count().collect()

@@ -22,7 +22,7 @@ from test_leaks_everywhere import every_pair
 
 DOCS = "doc_id long, text string"
 LONG = "Die lange Rede ist kurz. " * 20_000
-ODD = [(1, None), (2, ""), (3, "\n \t"), (4, "é"), (5, "Hello world again and again my friend"), (6, "Hello world again and again my friend"), (None, "mail me: a.b@c.org or +1 (202) 555-0100"), (7, "😀 4111 1111 1111 1111 ﬁ"), (8, LONG)]
+ODD = [(1, None), (2, ""), (3, "\n \t"), (4, "é"), (5, "Hello world again and again my friend"), (6, "Hello world again and again my friend"), (None, "mail me: a.b@c.org or +1 (202) 555-0100"), (7, "😀 4111 1111 1111 1111 ﬁ"), (8, LONG), (90, "f0" * 100_000 + "@."), (91, "漢字" * 40_000), (92, "1." * 20_000 + "\x00\x01 ;.")]
 
 
 def table(spark, name):
