@@ -53,7 +53,11 @@ def _one_pass(vectors: DataFrame, ids: list[int], block: np.ndarray, k: int) ->
             if not len(x):
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)[there]
-            near = np.hstack([near, np.round(asked @ _unit_rows(x).T, DIGITS)])
+            new = np.round(asked @ _unit_rows(x).T, DIGITS)
+            if near.shape[1] == k:  # most vectors are no better than the last of the best for any query
+                able = (new >= near[:, -1:]).any(axis=0)
+                new, ids = new[:, able], ids[able]
+            near = np.hstack([near, new])
             own = np.hstack([own, np.broadcast_to(ids, (len(names), len(ids)))])
             pick = np.lexsort((own, -near), axis=1)[:, :k]
             near, own = np.take_along_axis(near, pick, axis=1), np.take_along_axis(own, pick, axis=1)

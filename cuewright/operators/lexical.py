@@ -53,7 +53,8 @@ def score(passages: DataFrame, queries: DataFrame, k1: float = K1, b: float = B)
     # The empty term, which no text has, stands for the passage itself, so that passages without a hit count too.
     wanted = asked.select("term").distinct().union(asked.sparkSession.createDataFrame([("",)], "term string"))
     rows = passages.select("scope", "passage_id", search_terms(F.col("text")).alias("terms"))
-    each = rows.select("scope", "passage_id", F.size("terms").alias("len"), F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
+    # A plain explode would have the optimizer test the array's size below it, which cuts every text into terms twice.
+    each = rows.select("scope", "passage_id", F.size("terms").alias("len"), F.explode_outer(F.concat(F.array(F.lit("")), "terms")).alias("term"))
     held = materialize(each.join(wanted, "term", "left_semi").groupBy("scope", "passage_id", "len", "term").agg(F.count("*").alias("tf")))
     posted = held.filter("term <> ''")
     stats = held.filter("term = ''").groupBy("scope").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("avg_len"))

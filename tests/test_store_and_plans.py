@@ -350,3 +350,27 @@ def test_a_real_model_is_wired_with_its_prefixes(spark):
     assert other.model_id != settings.model_id and "plain" in other.model_id
     with pytest.raises(ValueError, match="loader"):
         Settings(embedder="model").embed(spark.createDataFrame([], "passage_id long, text string"))
+
+
+def test_given_rows_stand_in_for_sources(spark):
+    schema = "video_id string, language string, kind string"
+    first = benchmarks.static_rows(spark, [("v", "en", "manual")], schema)
+    second = benchmarks.static_rows(spark, [("v", "de", "generated"), ("w", "de", "generated")], schema)
+    got = captions.first_available([first, second])
+    assert {(r.video_id, r.language) for r in got.collect()} == {("v", "en"), ("w", "de")}
+
+
+def test_a_cross_encoder_ranks_anew(spark):
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from cuewright.operators import rerank
+
+    @F.pandas_udf(T.DoubleType())
+    def longer(query: pd.Series, passage: pd.Series) -> pd.Series:
+        return passage.str.len() - query.str.len() * 1.0
+
+    hits = spark.createDataFrame([(1, 10, 0.9, 0), (1, 11, 0.8, 1), (1, 12, 0.7, 2)], "query_id long, passage_id long, score double, rank int")
+    texts = spark.createDataFrame([(10, "ab"), (11, "abcd"), (12, "abc")], "passage_id long, text string")
+    got = rerank.rerank(hits, spark.createDataFrame([(1, "ab")], "query_id long, text string"), texts, 2, 3, longer).orderBy("rank").collect()
+    assert [(r.passage_id, r.score, r.base_rank) for r in got] == [(11, 2.0, 1), (12, 1.0, 2)] and got[0].confidence == pytest.approx(1 / (1 + 2.718281828**-2), 1e-6)
