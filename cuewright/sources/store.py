@@ -2,6 +2,7 @@
 
 A replacement is written in full beside the table first, with a list of the parts that it stands for; only then are
 these parts deleted and written anew. Whatever breaks off in between, the next opening of the cache ends it.
+One session uses a cache at a time, as opening it may write.
 """
 
 from __future__ import annotations
