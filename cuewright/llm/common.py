@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -127,6 +128,18 @@ def prepare(df: DataFrame) -> None:
         conf.set(rows, str(BATCH_ROWS))
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows in what runs inside; the session's own bound holds again after it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def rank_among(edges: list, x: Column) -> Column:
     """How many of the sorted edges lie below x. About twice the square root of their number are looked at for each row."""
     if not edges:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, merkle, pii, quality, revisits, secret_scan, simhash_vp, suffix_index
+from . import bpe, clustered_search, decontaminate, fim, langid, merkle, pii, pivot_search, quality, revisits, secret_scan, simhash_vp, suffix_index
 from .common import span_list, table
 
 #: Rank file of the tokenizer; None takes the installed public one.
@@ -90,7 +90,25 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(~learn, F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_merkle_fingerprints, op3_secret_ledger, op4_benchmark_leaks, op5_revisit_resolution, op6_simhash_near_duplicates, op7_language_identification, op8_personal_data, op9_byte_bpe, op10_compression_quality)}
+def op11_clustered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = clustered_search.build(documents(spark, sf_dir))
+    found = clustered_search.search(index, table(spark, sf_dir, "benchmark"), 10)
+    index.drop()
+    return found
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.rearrange(documents(spark, sf_dir))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return pivot_search.exact_top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_dedup, op2_merkle_fingerprints, op3_secret_ledger, op4_benchmark_leaks, op5_revisit_resolution, op6_simhash_near_duplicates, op7_language_identification, op8_personal_data, op9_byte_bpe, op10_compression_quality, op11_clustered_search, op12_fill_in_middle, op13_pivot_search)}
 
 #: crc32 has no counterpart in DuckDB, so the oracle of op5 computes it bit by bit from the polynomial.
 _CRC32 = """list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(page_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
@@ -143,4 +161,28 @@ r AS (SELECT a.page_id, a.canonical_url, a.crc, CASE WHEN a.crc % 7 = 0 THEN NUL
 v AS (SELECT r.*, b.size, CASE WHEN b.page_id IS NULL THEN 'missing' WHEN coalesce(r.etag = b.etag, r.modified = b.modified) THEN 'match' WHEN NOT coalesce(r.etag = b.etag, r.modified = b.modified) THEN 'changed' ELSE 'unproven' END AS verdict
   FROM r LEFT JOIN u b ON r.refers_to_page = b.page_id)
 SELECT page_id, canonical_url, refers_to_page, verdict, 'cache-control: max-age=300; content-length: ' || CASE WHEN verdict = 'match' THEN size ELSE 0 END || CASE WHEN verdict = 'match' THEN '; content-type: text/html' ELSE '' END || '; date: visit-' || page_id AS headers FROM v""",
+    "op11_clustered_search": r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+p AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id),
+c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM d),
+m AS (SELECT doc_id, 10 + (90 * n * docs) // words AS m FROM d, c),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+f AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, c WHERE term IN (SELECT term FROM q) GROUP BY term),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN f USING (term) JOIN p USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10""",
+    "op12_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || doc_id) AS h FROM documents),
+c AS (SELECT doc_id, text, u, len(u)::BIGINT AS n, [('0x' || substr(h, 8 * i + 1, 8))::BIGINT for i in range(4)] AS x FROM d),
+e AS (SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS a, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR x[3] % 100 >= 50 THEN 'plain' WHEN x[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM c),
+f AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS pre, coalesce(array_to_string(u[a + 1:b], ''), '') AS mid, coalesce(array_to_string(u[b + 1:n], ''), '') AS suf FROM e)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256 FROM f""",
+    "op13_pivot_search": r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5""",
 }
