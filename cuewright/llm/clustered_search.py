@@ -23,11 +23,11 @@ from .common import batch_rows, discard, materialize, prepare, slices
 #: Documents whose bisections make the tree, terms of each and of all that it looks at, and its levels. None changes a result.
 SAMPLE, SAMPLE_TERMS, VOCABULARY, DEPTH = 4096, 256, 1 << 15, 6
 #: Documents in a cluster of the index, and postings that a task reorders at once (a longer document is alone).
-CLUSTER, GROUP_POSTINGS = 512, 1 << 20
+CLUSTER, GROUP_POSTINGS = 512, 1 << 19
 #: Rows in an Arrow batch of clusters, each of which holds all the postings of a cluster that some item has.
 BATCH_CLUSTERS = 16
 #: Bytes of the terms of the items that are searched for at once.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: How far the rounds of a search go down: these parts of the way from the best bound to the score that is to be beaten.
 ROUNDS = (0.5, 0.75, 1.0)
 #: What a byte becomes; letters are lower-cased, all that no term holds is a blank.
@@ -231,7 +231,8 @@ def _one_block(index: Index, names: list, items: list[set[bytes]], k: int, item_
     spark = index.table.sparkSession
     number = {t: i for i, t in enumerate(sorted(set().union(*items)))}
     wanted = spark.createDataFrame([(t.decode(), i) for t, i in number.items()], "term string, t int")
-    posted = index.table.filter("term <> ''").join(wanted, "term").select("cluster", "t", "df", "top", "places", "impacts")
+    # The terms of a block are bounded, and the index is then looked through where it lies.
+    posted = index.table.filter("term <> ''").join(F.broadcast(wanted), "term").select("cluster", "t", "df", "top", "places", "impacts")
     held = F.collect_list(F.struct("t", "top", F.size("places").alias("size"), "places", "impacts"))
     packed = posted.groupBy("cluster").agg(held.alias("s")).join(index.table.filter("term = ''").select("cluster", "docs"), "cluster")
     packed = materialize(packed.select("cluster", "s.t", "s.top", "s.size", F.flatten("s.places").alias("places"), F.flatten("s.impacts").alias("impacts"), "docs"), "packed")
