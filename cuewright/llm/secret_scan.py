@@ -8,11 +8,12 @@ finding carries its rule's key (kind/version), so findings of a version that a n
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 @dataclass(frozen=True)
@@ -61,9 +62,11 @@ def unseen(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...
     return blobs.join(done, "blob", "left").select("blob", "text", todo.alias("todo")).filter(F.size("todo") > 0)
 
 
-def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, marks: bool = False) -> DataFrame:
     """Findings (blob, rule, kind, start, end) in code points, leftmost and without overlaps within a kind.
 
+    marks: also a row without kind and place for each blob, whose rule names all that it was scanned by.
+
     A match's place is the length of all gaps and matches before it: a text is cut at the matches of a rule, and
     the lengths of the pieces are summed in order within one blob and rule.
     """
@@ -79,11 +82,18 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         return F.when(test, rows).otherwise(empty)
 
     kinds = F.array(*(F.struct(F.lit(r.key).alias("rule"), F.lit(r.kind).alias("kind"), F.lit(r.least).alias("least"), pieces(r).alias("pieces")) for r in rules))
+    if marks:
+        mark = F.array(F.struct(F.lit(0).alias("gap"), F.lit(0).alias("hit"), F.lit(None).cast("int").alias("held")))
+        kinds = F.concat(kinds, F.array(F.struct(F.array_join("todo", " ").alias("rule"), F.lit("").alias("kind"), F.lit(1).alias("least"), mark.alias("pieces"))))
     found = blobs.select("blob", F.explode(F.filter(kinds, lambda k: F.size(k["pieces"]) > 0)).alias("k"))
     found = found.select("blob", "k.rule", "k.kind", "k.least", F.posexplode("k.pieces").alias("place", "p"))
     line = Window.partitionBy("blob", "rule").orderBy("place")
     found = found.withColumn("end", F.sum(F.col("p.gap") + F.col("p.hit")).over(line))
-    return found.filter(F.col("p.held") >= F.col("least")).select("blob", "rule", "kind", (F.col("end") - F.col("p.hit")).alias("start"), "end")
+    real = F.col("p.held").isNotNull()
+    kept = found.filter(F.col("p.held") >= F.col("least")) if not marks else found.filter(~real | (F.col("p.held") >= F.col("least")))
+    if marks:
+        return kept.select("blob", "rule", F.when(real, F.col("kind")).alias("kind"), F.when(real, F.col("end") - F.col("p.hit")).alias("start"), F.when(real, F.col("end")).alias("end"))
+    return kept.select("blob", "rule", "kind", (F.col("end") - F.col("p.hit")).alias("start"), "end")
 
 
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, known: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -94,19 +104,29 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, known: D
     still hold (of a rule whose version changed only the new version's stay); ledger: (blob, rule) pairs scanned so
     far. A null text is an empty blob. Repeated rows stay; a null path stays; an empty table gives empty results.
     """
-    rows = versions.select(path_col, content_address(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    blobs = unseen(rows.select("blob", "text"), ledger, rules)
+    findings, scanned = scan_new(versions, ledger, known, rules, text_col)
+    return join_back(versions, findings, rules, path_col, text_col), findings, scanned if ledger is None else ledger.unionByName(scanned)
+
+
+def scan_new(versions: DataFrame, ledger: DataFrame | None, known: DataFrame | None, rules: tuple[Rule, ...], text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(findings with those known that still hold, the (blob, rule) pairs scanned now)."""
+    blobs = unseen(versions.select(content_address(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), ledger, rules)
     findings = scan(blobs, rules)
     if known is not None:
         findings = findings.unionByName(known.filter(F.col("rule").isin(*(r.key for r in rules))))
-    scanned = blobs.select("blob", F.explode("todo").alias("rule"))
+    return findings, blobs.select("blob", F.explode("todo").alias("rule"))
+
+
+def join_back(versions: DataFrame, findings: DataFrame, rules: tuple[Rule, ...], path_col: str, text_col: str) -> DataFrame:
+    """(path_col, blob, spans) for every version."""
+    rows = versions.select(path_col, content_address(F.col(text_col)).alias("blob"))
     place = F.array_position(F.array(*(F.lit(r.key) for r in rules)), F.col("rule")).cast("int")
     span = F.struct(F.col("start").cast("long").alias("start"), place.alias("place"), "kind", F.col("end").cast("long").alias("end"))
     # A table of its own, so that the join can split a blob that very many paths have.
     each = materialize(findings.groupBy("blob").agg(F.array_sort(F.collect_list(span)).alias("spans")), "findings")
-    paths = rows.select(path_col, "blob").join(each, "blob", "left")
+    paths = rows.join(each, "blob", "left")
     none = F.array().cast("array<struct<start:bigint,place:int,kind:string,end:bigint>>")
-    return paths.select(path_col, "blob", F.coalesce("spans", none).alias("spans")), findings, scanned if ledger is None else ledger.unionByName(scanned)
+    return paths.select(path_col, "blob", F.coalesce("spans", none).alias("spans"))
 
 
 def count_kind(kind: str, spans: str = "spans") -> Column:
@@ -116,12 +136,19 @@ def count_kind(kind: str, spans: str = "spans") -> Column:
 def scan_generations(generations: list[DataFrame], rules: tuple[Rule, ...] = RULES, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """paths (as scan_versions has them) of the last of several generations of versions.
 
-    Each generation is scanned with the ledger and the findings that those before it left, which are written to the
-    shared folder in between, so a blob that an earlier generation had is not scanned again.
+    Each generation is scanned with the ledger and the findings that those before it left. What a generation found and
+    scanned is written in one run, a finding with the pair that has it, so no blob is scanned again; in the end only
+    the findings that the result reads are left.
     """
-    ledger = known = paths = None
-    for n, versions in enumerate(generations):
-        paths, findings, scanned = scan_versions(versions, ledger, known, rules, path_col, text_col)
-        if n < len(generations) - 1:
-            known, ledger = materialize(findings, "known"), materialize(scanned, "ledger")
+    kept: list[DataFrame] = []
+    for versions in generations:
+        ledger = None
+        if kept:
+            ledger = reduce(DataFrame.unionByName, kept).filter("kind IS NULL").select("blob", F.explode(F.split("rule", " ")).alias("rule"))
+        blobs = unseen(versions.select(content_address(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), ledger, rules)
+        kept.append(materialize(scan(blobs, rules, marks=True), "scanned"))
+    found = reduce(DataFrame.unionByName, kept).filter(F.col("kind").isNotNull() & F.col("rule").isin(*(r.key for r in rules)))
+    paths = join_back(generations[-1], found, rules, path_col, text_col)
+    for table in kept:
+        discard(table)
     return paths
