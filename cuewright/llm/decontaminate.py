@@ -142,31 +142,44 @@ class Items:
         ends = np.append(new[1:], len(keys)) - 1 if len(keys) else new
         return cls(ids, words, width, keys[new], item[new], place[new], place[ends])
 
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Item numbers, in order, and where in one text each item would begin by a seed in common, at the earliest and
-        at the latest (places below 0 too). A seed that an item repeats is one hit."""
-        grams = ngrams(words, self.width)
-        low, high = np.searchsorted(self.keys, grams), np.searchsorted(self.keys, grams, "right")
+    def _places(self, seeds: np.ndarray, ordered: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in a text an item would begin by its seeds, at the earliest and at the latest (places below 0 too), in order.
+
+        ordered and line are the text's n-grams sorted and where they stand. A seed that the item repeats is one hit.
+        """
+        low, high = np.searchsorted(ordered, self.keys[seeds]), np.searchsorted(ordered, self.keys[seeds], "right")
         n = high - low
-        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n)
-        at = np.repeat(np.arange(len(grams)), n)
-        item, low, high = self.item[k], at - self.last[k], at - self.first[k]
-        order = np.lexsort((high, low, item))
-        return item[order], low[order], high[order]
+        at = line[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n)]
+        first, last = at - np.repeat(self.last[seeds], n), at - np.repeat(self.first[seeds], n)
+        order = np.lexsort((last, first))
+        return first[order], last[order]
 
     def leaks(self, words: np.ndarray) -> list[tuple[int, float, int, int]]:
-        """(item_id, score, start, end) of the items found in one text; places count its words."""
-        of, lows, highs = self.hits(words)
-        numbers, edges = np.unique(of, return_index=True)
+        """(item_id, score, start, end) of the items found in one text; places count its words.
+
+        First come items alone, each with the seeds that the text has somewhere: a seed that is common in both is one
+        pair for each of its items, however often the text has it. Most items go by the words in common; only for one
+        that stays, and one at a time, are the places looked up.
+        """
+        grams = ngrams(words, self.width)
+        line = np.argsort(grams, kind="stable")
+        ordered = grams[line]
+        own = ordered[np.append(True, ordered[1:] != ordered[:-1])] if len(ordered) else ordered
+        low, high = np.searchsorted(self.keys, own), np.searchsorted(self.keys, own, "right")
+        n = high - low
+        seed = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n)
+        seed = seed[np.argsort(self.item[seed], kind="stable")]
+        numbers, edges = np.unique(self.item[seed], return_index=True)
         if not len(numbers):
             return []
         # Where even all words in common in order would score lower, the item needs no look at its places.
         sizes = np.array([len(self.words[i]) for i in numbers])
         common = np.add.reduceat(np.isin(np.concatenate([self.words[i] for i in numbers]), words), np.cumsum(sizes) - sizes, dtype=np.int64)
         found = []
-        for i, low, high, able in zip(numbers.tolist(), np.split(lows, edges[1:]), np.split(highs, edges[1:]), common >= LEAK * sizes):
+        for i, seeds, able in zip(numbers.tolist(), np.split(seed, edges[1:]), common >= LEAK * sizes):
             if not able:
                 continue
+            low, high = self._places(seeds, ordered, line)
             item = self.words[i]
             # Words of the text within an alignment cost a point each where they match nothing, and all of the item's
             # words together earn two each, so a score of LEAK leaves room for so many; no alignment through a seed
