@@ -8,8 +8,9 @@
     python -m cuewright calibrate BENCHMARK.yaml LOCATOR
     python -m cuewright draft LOCATOR QUESTION
 
-A model is a function without arguments that gives the function from prompts to replies. Exit codes: 0 done, 2 wrong
-arguments, locators, benchmarks or settings, 3 nothing indexed for the video, 4 the answer was a refusal.
+A model is a function without arguments that gives the function from prompts to replies. Exit codes: 0 done, 1 the
+answer was a refusal, 2 wrong arguments, locators or benchmarks, 3 nothing indexed for the video, 5 a cache that
+cannot be read, 6 vectors, 7 retrieval, 8 the model, 9 settings.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import NoTranscript, Problem
 from .functions.scalars import format_timestamp, parse_locator, quote
 from .operators.calibrate import best_threshold
 from .plans import evaluate, index
@@ -36,7 +38,7 @@ from .sources.store import Store
 def _video(spark: SparkSession, locator: str) -> str:
     found = spark.createDataFrame([(locator,)], "l string").select(parse_locator(F.col("l"))).first()[0]
     if found is None:
-        raise ValueError(f"no video in {locator!r}")
+        raise Problem(f"no video in {locator!r}")
     return found
 
 
@@ -49,17 +51,56 @@ class _Index:
         self.passages = chunks.select(F.col("video_id").alias("scope"), F.col("chunk_id").alias("passage_id"), "video_id", "start_s", "end_s", "text")
         self.vectors = store.embeddings(key, settings.model_id).filter(F.col("video_id") == video).select(F.col("chunk_id").alias("passage_id"), "vector")
         if self.passages.isEmpty():
-            raise LookupError(f"nothing is indexed for {video}; run index first")
+            raise NoTranscript(f"nothing is indexed for {video}; run index first")
 
 
 def _print_answer(told: dict) -> None:
     print(told["text"], *(f"[{c['marker']}] {c['timestamp']}  {c['url']}" for c in told["citations"]), sep="\n")
 
 
+TALK = """/ask QUESTION (or the question alone), /sources and /debug of the last answer, /history, /retriever NAME,
+/compare QUESTION, /video, /clear (forget what was said), /help, /exit"""
+
+
+def _command(session: ChatSession, name: str, rest: str) -> None:
+    told = session.told
+    if name == "/ask" and rest:
+        _print_answer(session.ask(rest))
+    elif name == "/sources":
+        print(*((f"[{c['marker']}] {c['timestamp']}  {c['url']}\n    {c['quote']}" for c in told["citations"]) if told else ["no answer yet"]), sep="\n")
+    elif name == "/debug":
+        print(*(f"{k}: {told[k]}" for k in ("search_text", "confidence", "refused", "layer")) if told else ["no answer yet"], sep="\n")
+    elif name == "/history":
+        print(*(f"{r.role}: {r.text}" for r in session.history().orderBy("turn").collect()), sep="\n")
+    elif name in ("/retriever", "/change-retriever"):
+        session.use(rest)
+        print(f"retriever: {rest}")
+    elif name == "/compare" and rest:
+        rows = session.store.spark.createDataFrame(session.compare(rest)).select("retriever", "rank", "confidence", format_timestamp(F.col("start_s")).alias("at"), quote(F.col("text"), 70).alias("text"))
+        print(*(f"{r.retriever} {r['rank'] + 1}  {r.confidence}  {r['at']}  {r.text}" for r in rows.collect()), sep="\n")
+    elif name == "/video":
+        held = session.store.table("videos", [session.video_id]).first()
+        print(f"{held.title}\nchannel: {held.channel}\nseconds: {held.duration_s}\ncaptions: {held.transcript_kind} ({held.language})\ncues: {held.n_segments}\npassages: {session.passages()[0].count()}\nvectors: {session.settings.model_id}")
+    elif name == "/clear":
+        session.begin()
+        print("forgotten")
+    else:
+        print(TALK)
+
+
 def _chat(session: ChatSession) -> int:
-    """Questions from standard input, a line each; an empty line or `quit` ends the talk."""
-    while (line := sys.stdin.readline().strip()) and line != "quit":
-        _print_answer(session.ask(line))
+    """Questions and commands from standard input, a line each; the end of the input, /exit or `quit` ends the talk."""
+    for line in map(str.strip, sys.stdin):
+        name, _, rest = line.partition(" ")
+        if line == "quit" or name.lower() in ("/exit", "/quit", "/q"):
+            break
+        try:
+            if line.startswith("/"):
+                _command(session, name.lower(), rest.strip())
+            elif line:
+                _print_answer(session.ask(line))
+        except Problem as problem:
+            print(problem)
     return 0
 
 
@@ -103,7 +144,7 @@ def _run(args: argparse.Namespace, spark: SparkSession) -> int:
         return 0
     if args.command == "cache":
         if args.action not in ("stats", "clear") or (args.action == "clear") != bool(args.locator):
-            raise ValueError("cache takes stats, or clear and a locator")
+            raise Problem("cache takes stats, or clear and a locator")
         if args.action == "clear":
             store.clear(spark.createDataFrame([(_video(spark, args.locator),)], "video_id string"))
         print(*(f"{r.table_name}: {r.n}" for r in store.stats().collect()), sep="\n")
@@ -116,7 +157,7 @@ def _run(args: argparse.Namespace, spark: SparkSession) -> int:
             return _chat(session)
         told = session.ask(args.question)
         _print_answer(told)
-        return 4 if told["refused"] else 0
+        return 1 if told["refused"] else 0
     if args.command == "draft":
         _draft(spark, held, args.question, settings)
         return 0
@@ -139,12 +180,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("cuewright").getOrCreate()
     try:
         return _run(args, spark)
-    except LookupError as problem:
-        print(problem, file=sys.stderr)
-        return 3
     except ValueError as problem:
         print(problem, file=sys.stderr)
-        return 2
+        return getattr(problem, "code", 2)
 
 
 if __name__ == "__main__":

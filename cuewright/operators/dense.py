@@ -17,12 +17,16 @@ from .lexical import DIGITS, ranked
 
 #: Query vectors that tasks hold at once (as float64); a larger query set is answered in several passes.
 BLOCK_BYTES = 16 << 20
+#: Scores that a task computes in one step, whatever the number of queries.
+CELLS = 1 << 20
 
 
 def l2_normalize(vector: Column) -> Column:
     """The vector over its length; a zero vector stays."""
     norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    return F.when(norm > 0, F.transform(vector, lambda x: x.cast("double") / norm)).otherwise(F.transform(vector, lambda x: x.cast("double")))
+    # An outer expression within a lambda is computed again for every element; an array of it is computed once.
+    lengths = F.array_repeat(F.when(norm > 0, norm).otherwise(1.0), F.size(vector))
+    return F.zip_with(vector, lengths, lambda x, n: x.cast("double") / n)
 
 
 def _unit_rows(x: np.ndarray) -> np.ndarray:
@@ -52,15 +56,17 @@ def _one_pass(vectors: DataFrame, ids: list[int], block: np.ndarray, k: int) ->
             x, there = _matrix(batch.column(1), asked.shape[1])
             if not len(x):
                 continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)[there]
-            new = np.round(asked @ _unit_rows(x).T, DIGITS)
-            if near.shape[1] == k:  # most vectors are no better than the last of the best for any query
-                able = (new >= near[:, -1:]).any(axis=0)
-                new, ids = new[:, able], ids[able]
-            near = np.hstack([near, new])
-            own = np.hstack([own, np.broadcast_to(ids, (len(names), len(ids)))])
-            pick = np.lexsort((own, -near), axis=1)[:, :k]
-            near, own = np.take_along_axis(near, pick, axis=1), np.take_along_axis(own, pick, axis=1)
+            every, unit = batch.column(0).to_numpy(zero_copy_only=False)[there], _unit_rows(x)
+            step = max(1, CELLS // len(names))
+            for at in range(0, len(unit), step):
+                new, ids = np.round(asked @ unit[at : at + step].T, DIGITS), every[at : at + step]
+                if near.shape[1] == k:  # most vectors are no better than the last of the best for any query
+                    able = (new >= near[:, -1:]).any(axis=0)
+                    new, ids = new[:, able], ids[able]
+                near = np.hstack([near, new])
+                own = np.hstack([own, np.broadcast_to(ids, (len(names), len(ids)))])
+                pick = np.lexsort((own, -near), axis=1)[:, :k]
+                near, own = np.take_along_axis(near, pick, axis=1), np.take_along_axis(own, pick, axis=1)
         rows = np.repeat(np.arange(len(names)), near.shape[1])
         yield pa.RecordBatch.from_arrays([pa.array(np.array(names)[rows]), pa.array(own.ravel()), pa.array(near.ravel())], names=["query_id", "passage_id", "score"])
 

@@ -10,11 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import EmbeddingProblem
 from ..functions.tokens import features, hash_terms
 from ..shipping import named, ship
 from .dense import l2_normalize
 
 DIM = 384
+#: Features of a text that reach a Python task in one row.
+PIECE = 256
 # What model families expect before a query and before a passage.
 QUERY_PREFIX = {"bge": "Represent this sentence for searching relevant passages: ", "e5": "query: ", "gte": ""}
 PASSAGE_PREFIX = {"bge": "", "e5": "passage: ", "gte": ""}
@@ -43,9 +46,10 @@ def hash_embed_md5(texts: DataFrame, dim: int = DIM) -> DataFrame:
     sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") >= 8, -1.0).otherwise(1.0)
     each = texts.select("passage_id", F.explode_outer(features(hash_terms(F.col("text")))).alias("f"))
     sums = each.groupBy("passage_id", bucket.alias("bucket")).agg(F.sum(sign).alias("s"))
-    maps = sums.groupBy("passage_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("bucket").isNotNull(), F.struct("bucket", "s")))).alias("m"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0.0)))
-    return maps.select("passage_id", l2_normalize(vector).alias("vector"))
+    held = F.col("bucket").isNotNull()
+    maps = sums.groupBy("passage_id").agg(F.map_from_entries(F.collect_list(F.when(held, F.struct("bucket", "s")))).alias("m"), F.sqrt(F.sum(F.when(held, F.col("s") * F.col("s")))).alias("norm"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_divide(F.try_element_at("m", i.cast("long")), "norm"), F.lit(0.0)))
+    return maps.select("passage_id", vector.alias("vector"))
 
 
 def bucket_of(feature: str, dim: int) -> tuple[int, float]:
@@ -54,30 +58,54 @@ def bucket_of(feature: str, dim: int) -> tuple[int, float]:
     return v % dim, 1.0 if v >> 63 else -1.0
 
 
-def embed_texts(texts: list[str], dim: int = DIM) -> np.ndarray:
-    out = np.zeros((len(texts), dim), np.float32)
-    memo: dict[str, tuple[int, float]] = {}
-    for i, feats in enumerate(texts):
+class Folded:
+    """Sums the signs of features piece by piece, text after text."""
+
+    def __init__(self, dim: int) -> None:
+        self.dim, self.sums = dim, np.zeros(dim, np.float32)
+        self.memo: dict[str, tuple[int, float]] = {}
+
+    def add(self, feats: list[str]) -> None:
+        if len(self.memo) > 1 << 17:
+            self.memo.clear()
         for f in feats:
-            if f not in memo:
-                memo[f] = bucket_of(f, dim)
-            at, sign = memo[f]
-            out[i, at] += sign
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norm > 0, norm, 1)
+            if f not in self.memo:
+                self.memo[f] = bucket_of(f, self.dim)
+            at, sign = self.memo[f]
+            self.sums[at] += sign
+
+    def close(self) -> np.ndarray:
+        """The vector of the text that ends here."""
+        norm = np.linalg.norm(self.sums)
+        out, self.sums = self.sums / (norm if norm > 0 else 1), np.zeros(self.dim, np.float32)
+        return out
 
 
 def hash_embed(texts: DataFrame, dim: int = DIM) -> DataFrame:
-    """(passage_id, vector) with buckets from BLAKE2b, which Spark lacks: features are cut in the JVM, hashed in Arrow batches."""
+    """(passage_id, vector) with buckets from BLAKE2b, which Spark lacks: features are cut in the JVM, hashed in Arrow batches.
+
+    A text's features come in pieces of PIECE, one row after the other, so an Arrow batch is bounded in bytes however
+    long texts are; what a text adds up to so far passes from batch to batch.
+    """
 
     ship(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folded = Folded(dim)
         for batch in batches:
-            x = embed_texts(batch.column(1).to_pylist(), dim)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), dim).cast(pa.list_(pa.float32()))], names=["passage_id", "vector"])
+            ids, out = [], []
+            for passage, left, feats in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                folded.add(feats)
+                if not left:
+                    ids.append(passage)
+                    out.append(folded.close())
+            flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.float32))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.FixedSizeListArray.from_arrays(flat, dim).cast(pa.list_(pa.float32()))], names=["passage_id", "vector"])
 
-    return texts.select("passage_id", features(hash_terms(F.col("text"))).alias("f")).mapInArrow(run, "passage_id long, vector array<float>")
+    cut = texts.select("passage_id", features(hash_terms(F.col("text"))).alias("f"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("f") - 1, F.lit(0)), F.lit(PIECE))
+    pieces = cut.select("passage_id", F.explode(F.transform(starts, lambda i: F.struct((F.size("f") - i > PIECE).alias("left"), F.slice("f", i + 1, PIECE).alias("piece")))).alias("p"))
+    return pieces.select("passage_id", "p.left", "p.piece").mapInArrow(run, "passage_id long, vector array<float>")
 
 
 def model_embed(texts: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 64) -> DataFrame:
@@ -106,8 +134,8 @@ def embed(texts: DataFrame, embedder: str, dim: int = DIM, model: str = "", load
     if embedder == "hashing-md5":
         return hash_embed_md5(texts, dim)
     if embedder != "model":
-        raise ValueError(f"unknown embedder: {embedder}")
+        raise EmbeddingProblem(f"unknown embedder: {embedder}")
     if not load or not model:
-        raise ValueError("the embedder `model` needs a model's name and its loader")
+        raise EmbeddingProblem("the embedder `model` needs a model's name and its loader")
     told = model_embed(texts.withColumn("text", with_prefix(F.coalesce("text", F.lit("")), model, query)), named(load))
     return told.select("passage_id", l2_normalize(F.col("vector")).alias("vector"))

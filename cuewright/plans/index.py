@@ -29,7 +29,7 @@ def ensure_indexed(store: Store, videos: DataFrame, rows: DataFrame, settings: S
     bare = wanted.join(sets, "video_id", "left_anti")
     did["passages"] = bare.count()
     if did["passages"]:
-        store.save_chunks(passages_of(store.read("segments").join(bare, "video_id", "left_semi"), settings.packing), fingerprint)
+        store.save_chunks(passages_of(store.read("segments").join(bare, "video_id", "left_semi"), settings.packing), fingerprint, bare)
     model = settings.model_id
     chunks = store.chunks(fingerprint).join(wanted, "video_id", "left_semi")
     blank = chunks.select("video_id", "chunk_set_id").distinct().join(store.read("embedding_sets").filter(F.col("model_id") == model), ["video_id", "chunk_set_id"], "left_anti")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import RetrievalProblem
 from ..operators import dense, fusion, lexical, rerank
 from ..sources.settings import Settings
 
@@ -21,9 +22,9 @@ def retrieve(name: str, passages: DataFrame, questions: DataFrame, settings: Set
     ranked anew.
     """
     if name not in RETRIEVERS:
-        raise ValueError(f"unknown retriever: {name}")
+        raise RetrievalProblem(f"unknown retriever: {name}")
     if name != "sparse" and vectors is None:
-        raise ValueError(f"{name} needs vectors")
+        raise RetrievalProblem(f"{name} needs vectors")
     asked = questions.filter(F.trim("text") != "").select("query_id", "text")
     k = settings.top_k
     depth = max(settings.rerank_candidates, k) if settings.rerank else k

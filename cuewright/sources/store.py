@@ -1,19 +1,19 @@
-"""The cache: Parquet tables cut into parts by a hash of the video, replaced part by part.
+"""The cache: tables of videos, cues, passages, vectors and conversations, kept as snapshots.
 
-A replacement is written in full beside the table first, with a list of the parts that it stands for; only then are
-these parts deleted and written anew. Whatever breaks off in between, the next opening of the cache ends it.
-One session uses a cache at a time, as opening it may write.
+What belongs together is replaced together: a reader sees all tables before a change or all after it.
 """
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VERSION = 1
+from ..errors import CacheProblem
+from .snapshots import Change, Snapshots, Version
+
+VERSION = 2
 #: Parts of each table of a new cache; a replacement rewrites the parts of its videos only.
 PARTS = 32
 SCHEMAS = {
@@ -28,96 +28,38 @@ SCHEMAS = {
 }
 
 
-class Store:
+class Store(Snapshots):
     """Tables of SCHEMAS below a folder. Each is keyed by video; everything of a video can be replaced or deleted at once."""
 
     def __init__(self, spark: SparkSession, folder: str, parts: int = PARTS) -> None:
-        self.spark, self.folder, self.parts = spark, folder, parts
-        path = self._path("_version")
-        if self._exists(path):
+        super().__init__(spark, folder, {name: (schema, "video_id") for name, schema in SCHEMAS.items()}, parts)
+        path = f"{folder}/_version"
+        if self._names(path):
             held, self.parts = spark.read.parquet(path).select("version", "parts").first()
             if held != VERSION:
-                raise ValueError(f"the cache has version {held}; this code needs {VERSION}")
+                raise CacheProblem(f"the cache has version {held}; this code needs {VERSION}")
         else:
             spark.createDataFrame([(VERSION, parts)], "version int, parts int").write.parquet(path)
-        self.recover()
-
-    def _path(self, name: str) -> str:
-        return f"{self.folder}/{name}"
-
-    def _hadoop(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _exists(self, path: str) -> bool:
-        fs, p = self._hadoop(path)
-        return fs.exists(p)
 
-    def _part(self):
-        return F.pmod(F.xxhash64(F.col("video_id").cast("string")), F.lit(self.parts)).cast("int")
-
-    def read(self, name: str, videos: list[str] | None = None) -> DataFrame:
-        """A table; with a few videos named, only their parts are listed and read."""
-        path, schema = self._path(name), SCHEMAS[name]
-        if not self._exists(path):
-            return self.spark.createDataFrame([], schema)
-        df = self.spark.read.schema(f"{schema}, part int").parquet(path)
-        if videos is not None:
-            wanted = [r[0] for r in self.spark.createDataFrame([(v,) for v in videos], "video_id string").select(self._part()).distinct().collect()]
-            df = df.filter(F.col("part").isin(wanted) & F.col("video_id").isin(videos))
-        return df.drop("part")
+    def table(self, name: str, videos: list[str] | None = None, at: Version | None = None) -> DataFrame:
+        """A table as of a version; with a few videos named, only their parts are listed and read."""
+        if videos is None:
+            return self.read(name, at)
+        wanted = self.parts_of(name, self.spark.createDataFrame([(v,) for v in videos], "video_id string"))
+        return self.read(name, at, wanted).filter(F.col("video_id").isin(videos))
 
     def append(self, name: str, rows: DataFrame) -> None:
-        self._write(name, rows)
-
-    def _write(self, name: str, rows: DataFrame) -> None:
-        columns = [f.strip().split(" ")[0] for f in SCHEMAS[name].split(", ")]
-        # Spark splits and joins what a part gets by its size, so writers grow with the rows and not with the number of parts.
-        rows.select(*columns).withColumn("part", self._part()).hint("rebalance", "part").write.mode("append").partitionBy("part").parquet(self._path(name))
-
-    def _delete(self, path: str) -> None:
-        fs, p = self._hadoop(path)
-        fs.delete(p, True)
+        self.commit(lambda change: change.append(name, rows))
 
     def replace(self, name: str, rows: DataFrame, keys: DataFrame, on: list[str]) -> None:
-        """Put rows in the place of all rows whose `on` columns are among keys; repeated calls with the same rows change nothing.
-
-        What the parts concerned will hold is staged in the folder first. From the moment that the list of parts is
-        there as well, the replacement counts as made: `recover` ends it if this run does not.
-        """
-        parts = sorted(r[0] for r in keys.select(self._part()).distinct().collect())  # at most as many numbers as there are parts
-        path, staged = self._path(name), self._path(f"_staged/{name}-{uuid.uuid4().hex}")
-        columns = [f.strip().split(" ")[0] for f in SCHEMAS[name].split(", ")]
-        kept = rows.select(*columns)
-        if self._exists(path):
-            old = self.spark.read.schema(f"{SCHEMAS[name]}, part int").parquet(path).filter(F.col("part").isin(parts)).drop("part")
-            kept = old.join(keys.select(*on).distinct(), on, "left_anti").select(*columns).unionByName(kept)
-        kept.write.parquet(f"{staged}/rows")
-        self.spark.createDataFrame([(p,) for p in parts], "part int").coalesce(1).write.parquet(f"{staged}/parts")
-        self._finish(name, staged)
-
-    def _finish(self, name: str, staged: str) -> None:
-        for part in [r.part for r in self.spark.read.parquet(f"{staged}/parts").collect()]:
-            self._delete(f"{self._path(name)}/part={part}")
-        self._write(name, self.spark.read.schema(SCHEMAS[name]).parquet(f"{staged}/rows"))
-        self._delete(staged)
-
-    def recover(self) -> None:
-        """End every replacement that broke off after it was staged, and forget those that broke off before."""
-        if not self._exists(self._path("_staged")):
-            return
-        fs, p = self._hadoop(self._path("_staged"))
-        for entry in fs.listStatus(p):
-            staged = f"{self._path('_staged')}/{entry.getPath().getName()}"
-            if self._exists(f"{staged}/parts/_SUCCESS"):
-                self._finish(entry.getPath().getName().rpartition("-")[0], staged)
-            else:
-                self._delete(staged)
+        """Put rows in the place of all rows whose `on` columns are among keys; repeated calls with the same rows change nothing."""
+        self.commit(lambda change: change.replace(name, rows, keys, on))
 
     def transcript(self, videos: list[str] | None = None) -> DataFrame:
         """Cached cues (video_id, language, transcript_kind, idx, start_s, duration_s, text) in order of idx within a video; an unknown language is `en`."""
-        held = self.read("videos", videos).select("video_id", F.coalesce("language", F.lit("en")).alias("language"), "transcript_kind")
-        cues = self.read("segments", videos).join(held, "video_id")
+        at = self.version()
+        held = self.table("videos", videos, at).select("video_id", F.coalesce("language", F.lit("en")).alias("language"), "transcript_kind")
+        cues = self.table("segments", videos, at).join(held, "video_id")
         rows = cues.select("video_id", "language", "transcript_kind", "idx", "start_s", (F.col("end_s") - F.col("start_s")).alias("duration_s"), "text")
         return rows.repartition("video_id").sortWithinPartitions("video_id", "idx")
 
@@ -125,42 +67,63 @@ class Store:
         """Upsert videos and all their segments; language and kind are the transcript's, a missing duration is that of the last segment."""
         last = segments.groupBy("video_id").agg(F.max_by("end_s", "idx").alias("_end"), F.count("*").cast("int").alias("n_segments"))
         rows = videos.drop("n_segments").join(last, "video_id", "left").withColumns({"duration_s": F.coalesce("duration_s", "_end"), "n_segments": F.coalesce("n_segments", F.lit(0)), "fetched_at": F.current_timestamp()})
-        self.replace("segments", segments, videos, ["video_id"])
-        self.replace("videos", rows, videos, ["video_id"])  # last: a video row says that its segments are there
 
-    def save_chunks(self, chunks: DataFrame, fingerprint: str) -> None:
-        """Replace the passages of these videos under one fingerprint; ids are hashes, so saving again gives the same."""
+        def change(c: Change) -> None:
+            c.replace("segments", segments, videos, ["video_id"])
+            c.replace("videos", rows, videos, ["video_id"])
+
+        self.commit(change)
+
+    def save_chunks(self, chunks: DataFrame, fingerprint: str, videos: DataFrame | None = None) -> None:
+        """Replace the passages of videos(video_id) under one fingerprint, so a video that has none left keeps none; without
+        videos, those that chunks have. Ids are hashes, so saving again gives the same."""
         set_id = F.xxhash64("video_id", F.lit(fingerprint))
         rows = chunks.withColumns({"chunk_set_id": set_id, "chunk_id": F.xxhash64("video_id", F.lit(fingerprint), "idx")})
         sets = rows.groupBy("video_id", "chunk_set_id").agg(F.count("*").cast("int").alias("n_chunks")).withColumn("fingerprint", F.lit(fingerprint))
-        self.replace("chunks", rows, sets, ["video_id", "chunk_set_id"])
-        self.replace("chunk_sets", sets, sets, ["video_id", "chunk_set_id"])
+        keys = sets if videos is None else videos.select("video_id").distinct().withColumn("chunk_set_id", set_id)
+
+        def change(c: Change) -> None:
+            c.replace("chunks", rows, keys, ["video_id", "chunk_set_id"])
+            c.replace("chunk_sets", sets, keys, ["video_id", "chunk_set_id"])
 
-    def chunks(self, fingerprint: str) -> DataFrame:
-        sets = self.read("chunk_sets").filter(F.col("fingerprint") == fingerprint).select("video_id", "chunk_set_id")
-        return self.read("chunks").join(sets, ["video_id", "chunk_set_id"])
+        self.commit(change)
+
+    def chunks(self, fingerprint: str, at: Version | None = None) -> DataFrame:
+        at = at or self.version()
+        sets = self.read("chunk_sets", at).filter(F.col("fingerprint") == fingerprint).select("video_id", "chunk_set_id")
+        return self.read("chunks", at).join(sets, ["video_id", "chunk_set_id"])
 
     def save_embeddings(self, vectors: DataFrame, model: str, dim: int) -> None:
         """vectors(video_id, chunk_set_id, chunk_id, vector); a vector of another width fails the job."""
         checked = F.when(F.size("vector") == dim, F.col("vector")).otherwise(F.raise_error(F.lit(f"a vector has not {dim} numbers")))
         rows = vectors.withColumns({"embedding_set_id": F.xxhash64("chunk_set_id", F.lit(model)), "vector": checked})
         sets = rows.select("video_id", "chunk_set_id", "embedding_set_id").distinct().withColumns({"model_id": F.lit(model), "dim": F.lit(dim)})
-        self.replace("embeddings", rows, sets, ["video_id", "embedding_set_id"])
-        self.replace("embedding_sets", sets, sets, ["video_id", "embedding_set_id"])
+
+        def change(c: Change) -> None:
+            c.replace("embeddings", rows, sets, ["video_id", "embedding_set_id"])
+            c.replace("embedding_sets", sets, sets, ["video_id", "embedding_set_id"])
+
+        self.commit(change)
 
     def embeddings(self, fingerprint: str, model: str) -> DataFrame:
         """Vectors of the passages of a packing with the passages; a vector of another width than its set's fails the job."""
-        sets = self.read("embedding_sets").filter(F.col("model_id") == model).select("video_id", "chunk_set_id", "embedding_set_id", "dim")
+        at = self.version()
+        sets = self.read("embedding_sets", at).filter(F.col("model_id") == model).select("video_id", "chunk_set_id", "embedding_set_id", "dim")
         checked = F.when(F.size("vector") == F.col("dim"), F.col("vector")).otherwise(F.raise_error(F.lit("a cached vector has not the width of its set")))
-        held = self.read("embeddings").join(sets, ["video_id", "embedding_set_id"]).withColumn("vector", checked).drop("dim")
-        return held.join(self.chunks(fingerprint), ["video_id", "chunk_set_id", "chunk_id"])
+        held = self.read("embeddings", at).join(sets, ["video_id", "embedding_set_id"]).withColumn("vector", checked).drop("dim")
+        return held.join(self.chunks(fingerprint, at), ["video_id", "chunk_set_id", "chunk_id"])
 
     def clear(self, videos: DataFrame) -> None:
         """Delete videos(video_id) with everything that depends on them."""
-        for name in SCHEMAS:
-            if self._exists(self._path(name)):
-                self.replace(name, self.spark.createDataFrame([], SCHEMAS[name]), videos, ["video_id"])
+
+        def change(c: Change) -> None:
+            for name in SCHEMAS:
+                if c.base.of(name):
+                    c.replace(name, self.spark.createDataFrame([], SCHEMAS[name]), videos, ["video_id"])
+
+        self.commit(change)
 
     def stats(self) -> DataFrame:
         """(table_name, n) of all tables."""
-        return reduce(DataFrame.union, (self.read(t).agg(F.lit(t).alias("table_name"), F.count("*").alias("n")) for t in SCHEMAS))
+        at = self.version()
+        return reduce(DataFrame.union, (self.read(t, at).agg(F.lit(t).alias("table_name"), F.count("*").alias("n")) for t in SCHEMAS))
