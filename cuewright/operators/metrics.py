@@ -85,7 +85,24 @@ def mean_scores(scores: DataFrame, cases: DataFrame, columns: list[str], by: lis
 
 
 def summary(results: DataFrame, by: str = "retriever") -> DataFrame:
-    """One row for each retriever of case results: mean retrieval, citation and judged scores, and both refusal rates.
+    """One row for each retriever of case results: mean retrieval, citation and judged scores, and both refusal rates."""
+    return results.groupBy(by).agg(*_summaries())
+
+
+def summaries(results: DataFrame) -> DataFrame:
+    """summary for each retriever and tag, for each retriever, for each tag, and for all; null stands for all.
+
+    A case counts once for each of its tags and once without them, so a case of several tags is not counted twice
+    where tags do not matter. Every row goes with its partial sums through one shuffle.
+    """
+    tags = F.concat(F.array(F.lit(None).cast("string")), F.array_distinct(F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: t.isNotNull())))
+    sides = F.array(F.lit(None).cast("string"), F.col("retriever").cast("string"))
+    spread = results.withColumn("tag", F.explode(tags)).withColumn("side", F.explode(sides)).drop("retriever")
+    return spread.groupBy(F.col("side").alias("retriever"), "tag").agg(*_summaries())
+
+
+def _summaries() -> list[Column]:
+    """The columns of a summary.
 
     results: (by, case_id, answerable, refused, has_answer, recall_at_k, precision_at_k, mrr, ndcg_at_k,
     citation_precision, faithfulness, answer_relevance, correctness). Correctness skips nulls; rates and citations
@@ -94,10 +111,10 @@ def summary(results: DataFrame, by: str = "retriever") -> DataFrame:
     answerable, answered = F.col("answerable"), F.col("has_answer")
     mean = lambda c, which: F.coalesce(F.avg(F.when(which, F.col(c))), F.lit(0.0)).alias(c)
     rate = lambda which, name: F.coalesce(F.avg(F.when(which & answered, F.col("refused").cast("int"))), F.lit(0.0)).alias(name)
-    return results.groupBy(by).agg(
+    return [
         F.count("*").alias("cases"), *(mean(c, answerable) for c in ("recall_at_k", "precision_at_k", "mrr", "ndcg_at_k")), mean("citation_precision", answerable & answered & ~F.col("refused")),
         *(F.avg(c).alias(c) for c in ("faithfulness", "answer_relevance", "correctness")), rate(~answerable, "correct_refusal_rate"), rate(answerable, "false_refusal_rate"),
-    )
+    ]
 
 
 def failures(results: DataFrame, most: int | None = 8, by: str = "retriever") -> DataFrame:

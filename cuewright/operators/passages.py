@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -99,62 +101,79 @@ class _Unit:
 
 
 class _Packer:
-    """Splits units over the limit at words, packs them greedily and carries an overlap; holds two groups at most."""
+    """Splits units over the limit at words and cuts the line of units into passages.
+
+    A passage is two places in the line. Where it ends and where its overlap begins is looked up in the running sums
+    of the units' sizes; units before the last passage that is not told yet are let go.
+    """
 
     def __init__(self, packing: Packing) -> None:
-        self.p, self.n = packing, 0
-        self.group: list[_Unit] = []
-        self.chars = 0
-        self.done: list[_Unit] | None = None
-        self.video = None
+        self.p, self.n, self.video = packing, 0, None
+        self.line: list[_Unit] = []
+        self.sums = [0]
+        #: The open passage begins at `first`, and `new` is the first unit that no passage has; `last` is the one before it.
+        self.first = self.new = 0
+        self.last: tuple[int, int] | None = None
 
     def feed(self, row: dict) -> list[tuple]:
         self.video = row["video_id"]
-        if not row["words"]:
-            return self._take(_Unit(row["start"], row["end"], row["from_s"], row["to_s"], row["first"], row["last"], row["text"]))
-        out, piece = [], []
-        for word in [*row["words"], None]:
-            if piece and (word is None or word["word_end"] - piece[0]["word_start"] > self.p.max_chars):
-                a, b = piece[0], piece[-1]
-                out += self._take(_Unit(a["word_start"], b["word_end"], a["from_s"], b["to_s"], a["seg_index"], b["seg_index"], " ".join(w["word"] for w in piece)))
-                piece = []
-            piece.append(word)
-        return out
-
-    def _take(self, unit: _Unit) -> list[tuple]:
+        for unit in self._pieces(row):
+            self.line.append(unit)
+            self.sums.append(self.sums[-1] + unit.size)
         out = []
-        if self.group and self.chars + unit.size + 1 > self.p.max_chars:
-            if self.done is not None:
-                out.append(self._row(self.done))
-            self.done = self.group
-            self.group = self._tail(self.group)
-            self.chars = sum(u.size for u in self.group) + max(0, len(self.group) - 1)
-        self.chars += unit.size + bool(self.group)
-        self.group.append(unit)
+        while (end := self._end()) < len(self.line):
+            out += [self._row(*self.last)] if self.last else []
+            self.last, self.first, self.new = (self.first, end), self._overlap(end), end
+        self._forget()
         return out
 
-    def _tail(self, group: list[_Unit]) -> list[_Unit]:
-        """Last units that fit into the overlap together; failing that the last one, if it is under twice the overlap."""
-        budget = self.p.overlap_chars
-        if budget <= 0:
-            return []
-        k, total = len(group), 0
-        while k and total + group[k - 1].size <= budget:
-            k -= 1
-            total += group[k].size
-        return group[k:] or ([group[-1]] if group[-1].size <= 2 * budget else [])
-
-    def _row(self, group: list[_Unit]) -> tuple:
+    def _pieces(self, row: dict) -> Iterator[_Unit]:
+        if not row["words"]:
+            yield _Unit(row["start"], row["end"], row["from_s"], row["to_s"], row["first"], row["last"], row["text"])
+            return
+        words, at = row["words"], 0
+        starts = [w["word_start"] for w in words]
+        while at < len(words):
+            # As many words as end within the limit, one at least.
+            stop = max(at + 1, bisect_right(words, starts[at] + self.p.max_chars, lo=at, key=lambda w: w["word_end"]))
+            a, b = words[at], words[stop - 1]
+            yield _Unit(a["word_start"], b["word_end"], a["from_s"], b["to_s"], a["seg_index"], b["seg_index"], " ".join(w["word"] for w in words[at:stop]))
+            at = stop
+
+    def _end(self) -> int:
+        """Where the open passage ends: after the last unit that fits with a space between each two, and after a new one at least."""
+        room = self.sums[self.first] + self.first + self.p.max_chars + 1
+        return max(self.new + 1, bisect_right(range(len(self.sums)), room, lo=self.first, key=lambda k: self.sums[k] + k) - 1)
+
+    def _overlap(self, end: int) -> int:
+        """Where the overlap before `end` begins: all last units that fit into it, or a single one of under twice its size."""
+        most = self.p.overlap_chars
+        if most <= 0:
+            return end
+        begin = max(self.first, bisect_left(self.sums, self.sums[end] - most, hi=end))
+        return end - 1 if begin == end and self.line[end - 1].size <= 2 * most else begin
+
+    def _forget(self) -> None:
+        gone = (self.last or (self.first,))[0]
+        if gone > 256:
+            del self.line[:gone], self.sums[:gone]
+            self.first, self.new = self.first - gone, self.new - gone
+            self.last = self.last and (self.last[0] - gone, self.last[1] - gone)
+
+    def _row(self, begin: int, end: int) -> tuple:
+        group = self.line[begin:end]
         text = " ".join(u.text for u in group)
-        start, end = group[0].from_s, max(group[0].from_s, group[-1].to_s)
+        start, stop = group[0].from_s, max(group[0].from_s, group[-1].to_s)
         self.n += 1
-        return (self.video, self.n - 1, text, round(start, 3), round(end, 3), group[0].first, group[-1].last, group[0].start, group[-1].end, len(text))
+        return (self.video, self.n - 1, text, round(start, 3), round(stop, 3), group[0].first, group[-1].last, group[0].start, group[-1].end, len(text))
 
     def close(self) -> list[tuple]:
-        if self.done is not None and self.group and sum(u.size for u in self.group) < self.p.min_chars:
-            # A runt joins the passage before, whose units it may share.
-            self.done, self.group = self.done + [u for u in self.group if all(u is not d for d in self.done)], []
-        return [self._row(g) for g in (self.done, self.group) if g]
+        end = len(self.line)
+        if not end:
+            return []
+        if self.last and self.sums[end] - self.sums[self.first] < self.p.min_chars:
+            return [self._row(self.last[0], end)]  # a last passage that is too short joins the one before
+        return [self._row(*g) for g in (self.last, (self.first, end)) if g]
 
 
 def pack(timeline: DataFrame, packing: Packing = Packing()) -> DataFrame:

@@ -40,6 +40,17 @@ def times_at(positions: DataFrame, timeline: DataFrame) -> DataFrame:
     return found.select("video_id", "pos", *extra, time.alias("time_s"), F.col("s.seg_index").alias("seg_index"))
 
 
+def recent(marks: DataFrame, seconds: float = 30.0, key: str = "video_id") -> DataFrame:
+    """marks(key, at_s, talk_s, hit) with talk_share, hit_share and silence_s over those that begin in the last `seconds` up to and with each.
+
+    talk_s is how long a mark lasts, hit whether it counts as one. The frame is one of values: however many marks a
+    second has, it reaches back the same time. Marks that begin together see each other.
+    """
+    frame = f"OVER (PARTITION BY `{key}` ORDER BY CAST(at_s AS DOUBLE) RANGE BETWEEN {float(seconds)}D PRECEDING AND CURRENT ROW)"
+    talk = F.least(F.lit(float(seconds)), F.expr(f"sum(talk_s) {frame}"))
+    return marks.withColumns({"talk_share": talk / seconds, "hit_share": F.expr(f"avg(CAST(hit AS DOUBLE)) {frame}"), "silence_s": F.lit(float(seconds)) - talk})
+
+
 def time_coverage(ranges: DataFrame, key: str = "video_id") -> DataFrame:
     """(key, covered_s): seconds that the union of (key, start_s, end_s) covers; ranges that touch or overlap are islands."""
     before = Window.partitionBy(key).orderBy("start_s", "end_s").rowsBetween(Window.unboundedPreceding, -1)

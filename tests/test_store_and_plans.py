@@ -106,6 +106,16 @@ def test_settings_order():
     assert (got.top_k, got.rerank, got.languages, got.alpha) == (7, True, ("de", "fr"), 0.2)
 
 
+def test_settings_of_a_file(tmp_path):
+    held = tmp_path / ".env"
+    held.write_text("# mine\nCUEWRIGHT_TOP_K = 9\nexport CUEWRIGHT_ALPHA='0.25'\nCUEWRIGHT_RETRIEVER=dense # not hybrid\nOTHER=x\nnot a line\nCUEWRIGHT_FOLDER=\"a # b\"\nCUEWRIGHT_RRF_K=1\nCUEWRIGHT_RRF_K=2\n")
+    got = Settings.load({"CUEWRIGHT_TOP_K": "7"}, str(held), min_score=0.5)
+    assert (got.top_k, got.alpha, got.retriever, got.folder, got.rrf_k, got.min_score) == (7, 0.25, "dense", "a # b", 2, 0.5)
+    assert Settings.load({}, str(tmp_path / "none")) == Settings()
+    with pytest.raises(ValueError, match="CUEWRIGHT_DIM"):
+        Settings.load({"CUEWRIGHT_DIM": "wide"}, None)
+
+
 def test_cycles_have_no_depth(spark):
     rows = [("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "nowhere")]
     got = {r.case_id: r.depth for r in cases.with_depth(spark.createDataFrame(rows, "case_id string, followup_to string")).collect()}
@@ -148,26 +158,80 @@ def test_queue_skips_finished_jobs(spark, tmp_path):
     assert done == ["b"]
 
 
-def test_a_replacement_that_broke_off_is_ended_at_the_next_opening(spark, monkeypatch):
-    folder = scratch_folder(spark)
+def some_segments(spark):
     videos, rows = talk(spark)
-    segments = rows.select("video_id", "idx", "start_s", (F.col("start_s") + F.col("duration_s")).alias("end_s"), "text")
+    return videos, rows.select("video_id", "idx", "start_s", (F.col("start_s") + F.col("duration_s")).alias("end_s"), "text")
+
+
+def test_a_replacement_that_broke_off_changes_nothing(spark, monkeypatch):
+    folder = scratch_folder(spark)
+    videos, segments = some_segments(spark)
     first = Store(spark, folder, 4)
     first.save_videos(videos, segments)
     before = {r.table_name: r.n for r in first.stats().collect()}
-    # The parts are gone and nothing has been written in their place.
-    monkeypatch.setattr(Store, "_write", lambda *a: (_ for _ in ()).throw(OSError("the machine stopped")))
+    monkeypatch.setattr(Store, "_publish", lambda *a: (_ for _ in ()).throw(OSError("the machine stopped")))
     with pytest.raises(OSError):
-        first.replace("segments", segments.withColumn("text", F.upper("text")), videos, ["video_id"])
+        first.save_videos(videos, segments.withColumn("text", F.upper("text")))
     monkeypatch.undo()
-    assert first.read("segments").count() == 0
     again = Store(spark, folder)
     assert {r.table_name: r.n for r in again.stats().collect()} == before
-    assert all(r.text == r.text.upper() for r in again.read("segments").collect())
-    # One that broke off before it was staged changes nothing.
-    segments.write.parquet(f"{folder}/_staged/segments-half/rows")
-    third = Store(spark, folder)
-    assert third.read("segments").count() == before["segments"] and not third._exists(f"{folder}/_staged/segments-half")
+    assert not any(r.text == r.text.upper() for r in again.read("segments").collect())
+    assert again.vacuum(0) == 0 and {r.table_name: r.n for r in again.stats().collect()} == before
+    assert len(again._names(f"{folder}/segments")) == 1  # what the broken run wrote is gone
+
+
+def test_readers_see_old_or_new_and_tables_change_together(spark):
+    folder = scratch_folder(spark)
+    videos, segments = some_segments(spark)
+    own = Store(spark, folder, 2)
+    own.save_videos(videos, segments)
+    old, at = own.read("segments"), own.version()
+    own.save_videos(videos.withColumn("title", F.lit("new")), segments.filter("idx < 2").withColumn("text", F.lit("new")))
+    assert old.count() == 8 and "new" not in {r.text for r in old.collect()}
+    assert own.read("videos", at).filter("title = 'new'").count() == 0 and own.read("segments", at).count() == 8
+    assert {r.text for r in own.read("segments").collect()} == {"new"} and {r.title for r in own.read("videos").collect()} == {"new"}
+    assert own.vacuum(3600) == 0 and old.count() == 8
+    assert own.vacuum(0) == 1 and own.read("segments").count() == 4
+    with pytest.raises(Exception):
+        old.count()
+
+
+def test_two_writers(spark):
+    folder = scratch_folder(spark)
+    videos, segments = some_segments(spark)
+    own, other = Store(spark, folder, 1), Store(spark, folder)
+    own.save_videos(videos, segments)
+    runs = []
+
+    def change(c):
+        runs.append(1)
+        if len(runs) == 1:  # another writer is faster: it adds to a table that this one does not touch, and changes one that it does
+            other.append("conversations", spark.createDataFrame([("a", "c")], "video_id string, conversation_id string"))
+            other.replace("segments", segments.filter("video_id = 'a' AND idx = 0"), videos.filter("video_id = 'a'"), ["video_id"])
+        c.replace("segments", segments.filter("video_id = 'b' AND idx < 2"), videos.filter("video_id = 'b'"), ["video_id"])
+
+    own.commit(change)
+    assert len(runs) == 2
+    assert {(r.video_id, r.idx) for r in own.read("segments").collect()} == {("a", 0), ("b", 0), ("b", 1)}
+    assert own.read("conversations").count() == 1
+    runs.clear()
+
+    def append(c):
+        runs.append(1)
+        other.append("messages", spark.createDataFrame([("a", "c", 1, "user", "x", None)], "video_id string, conversation_id string, message_id long, role string, content string, citations string"))
+        c.append("conversations", spark.createDataFrame([("b", "d")], "video_id string, conversation_id string"))
+
+    own.commit(append)  # what is only added goes on top of the other's version
+    assert len(runs) == 1 and own.read("conversations").count() == 2 and own.read("messages").count() == 1
+
+
+def test_videos_without_passages_keep_none(spark):
+    own = Store(spark, scratch_folder(spark), 2)
+    videos, rows = talk(spark)
+    index.ensure_indexed(own, videos, rows, SETTINGS)
+    assert own.chunks(SETTINGS.packing.fingerprint()).filter("video_id = 'a'").count() > 0
+    own.save_chunks(own.chunks(SETTINGS.packing.fingerprint()).filter("video_id = 'b'").drop("chunk_set_id", "chunk_id"), SETTINGS.packing.fingerprint(), videos)
+    assert {r.video_id for r in own.chunks(SETTINGS.packing.fingerprint()).collect()} == {"b"}
 
 
 def test_many_rows_of_one_part_get_several_writers(spark):
@@ -291,7 +355,7 @@ def test_judgements(spark, combined):
     assert (got[1].faithfulness, got[1].answer_relevance, got[1].correctness) == ((1.0, 0.25, 0.5) if combined else (0.25, 0.25, 0.25)) and got[1].reasons["correctness"] == "so"
     assert got[2].faithfulness == 1 and got[2].correctness is None and "refusal" in got[2].reasons["faithfulness"]
     assert (got[3].faithfulness, got[3].correctness) == (0, 0) and "what?" in got[3].reasons["faithfulness"]
-    assert (got[4].faithfulness, got[4].answer_relevance, got[4].correctness) == (0, 0, 0) and "judge call failed: RuntimeError gone" in got[4].reasons["answer_relevance"]
+    assert (got[4].faithfulness, got[4].answer_relevance, got[4].correctness) == (0, 0, 0) and "no judgement: RuntimeError gone" in got[4].reasons["answer_relevance"]
 
 
 def test_follow_ups_are_asked_with_their_history(spark, store):
@@ -374,3 +438,23 @@ def test_a_cross_encoder_ranks_anew(spark):
     texts = spark.createDataFrame([(10, "ab"), (11, "abcd"), (12, "abc")], "passage_id long, text string")
     got = rerank.rerank(hits, spark.createDataFrame([(1, "ab")], "query_id long, text string"), texts, 2, 3, longer).orderBy("rank").collect()
     assert [(r.passage_id, r.score, r.base_rank) for r in got] == [(11, 2.0, 1), (12, 1.0, 2)] and got[0].confidence == pytest.approx(1 / (1 + 2.718281828**-2), 1e-6)
+
+
+def test_track_files(spark, tmp_path):
+    from cuewright.sources import tracks
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "abc.en-US.vtt").write_text("WEBVTT - talk\r\n\r\nNOTE 00:01 --> nothing\r\n\r\nSTYLE\r\n::cue {}\r\n\r\n1\r\n00:01.500 --> 00:03.000 align:start\r\nOne\r\ntwo\r\n\r\n\r\n1:00:00.000 --> 1:00:01.250\r\nlate\r\n")
+    (tmp_path / "in" / "x.y.de.generated.srt").write_text("1\n00:00:00,000 --> 00:00:02,000\nHallo\n\n2\n00:00:02,000 --> 00:00:02,500\n\n")
+    (tmp_path / "in" / "empty.en.vtt").write_text("WEBVTT\n")
+    want = [("abc", "en-US", "unknown", 0, 1.5, 1.5, "One\ntwo"), ("abc", "en-US", "unknown", 1, 3600.0, 1.25, "late"), ("x.y", "de", "generated", 0, 0.0, 2.0, "Hallo"), ("x.y", "de", "generated", 1, 2.0, 0.5, "")]
+    clean = lambda df: sorted((*tuple(r)[:-1], r.text.strip()) for r in df.collect())
+    assert clean(tracks.read_tracks(spark, str(tmp_path / "in"), flat=True)) == want
+    query = tracks.read_tracks(spark, str(tmp_path / "in"), flat=True, stream=True).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start()
+    assert query.awaitTermination(60)
+    assert clean(spark.read.parquet(f"{tmp_path}/out")) == want
+    cues = spark.createDataFrame([("v 1", "en", "manual", 0, 0.0, 1.0, "a\n\n\nb"), ("v 1", "en", "manual", 1, 359999.0, 360001.0016, None), ("v 1", "de", "manual", 0, 5.0, 6.0, "c")], "video_id string, language string, kind string, idx int, start_s double, end_s double, text string")
+    tracks.write_tracks(cues, f"{tmp_path}/made")
+    back = tracks.read_tracks(spark, f"{tmp_path}/made")
+    assert clean(back) == [("v 1", "de", "manual", 0, 5.0, 1.0, "c"), ("v 1", "en", "manual", 0, 0.0, 1.0, "a\nb"), ("v 1", "en", "manual", 1, 359999.0, 2.002, "")]
+    assert "PartitionFilters: [isnotnull(language" in back.filter("language = 'de'")._jdf.queryExecution().executedPlan().toString()
