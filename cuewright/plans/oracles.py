@@ -221,4 +221,30 @@ LEFT JOIN pages a ON a.page_id = v.conv_id AND a.page_id % 2 = 0 LEFT JOIN part
     "cascade_delete": """WITH k AS (SELECT * FROM conversations WHERE conv_id % 3 <> 0), v AS (SELECT count(DISTINCT conv_id) AS v, count(*) AS c FROM k)
 SELECT unnest(['videos', 'segments', 'chunk_sets', 'chunks', 'embedding_sets', 'embeddings', 'conversations', 'messages']) AS table_name, unnest([v, c, v, c, 0, 0, 0, 0]) AS n FROM v""",
     "event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "event_sessions": """WITH m AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n, round(sum(value), 4) AS value FROM s GROUP BY user_id, island""",
+    "snapshot_versions": f"""WITH {_CUES}, v AS (SELECT *, unnest([1, 2]) AS version FROM cues)
+SELECT video_id, version, count(*) AS cues, round(max(end_s), 6) AS end_s, 'Talk ' || video_id || CASE WHEN version = 2 AND video_id::INT % 2 = 0 THEN ' cut' ELSE '' END AS title FROM v WHERE version = 1 OR video_id::INT % 2 = 1 OR idx <= 1 GROUP BY video_id, version""",
+    "cue_overlaps": f"""WITH {_CUES}, s AS (SELECT video_id, idx AS span, start_s - 4 AS a, start_s - 4 + CASE WHEN idx % 10 = 0 THEN 10000 ELSE 3 + idx * 7 % 40 END AS b FROM cues)
+SELECT c.video_id, c.idx, s.span, round(least(end_s, b) - greatest(start_s, a), 6) AS shared_s FROM cues c JOIN s ON c.video_id = s.video_id AND c.end_s > s.a AND s.b > c.start_s WHERE c.end_s > c.start_s""",
+    "case_positions": """WITH RECURSIVE n AS (SELECT conv_id, turn, CASE turn % 3 WHEN 1 THEN turn + 1 WHEN 0 THEN turn - 1 END AS up FROM conversations),
+c AS (SELECT n.conv_id, n.turn, m.turn AS up, n.conv_id * 1000 + n.turn AS place FROM n LEFT JOIN conversations m ON m.conv_id = n.conv_id AND m.turn = n.up),
+line AS (SELECT conv_id, turn, up, place, turn AS own, 0 AS depth, place AS asked FROM c UNION ALL SELECT l.conv_id, l.turn, c.up, l.place, l.own, l.depth + 1, l.asked FROM line l JOIN c ON c.conv_id = l.conv_id AND c.turn = l.up),
+depths AS (SELECT conv_id, own, max(depth) AS depth FROM line GROUP BY ALL),
+reach AS (SELECT c.conv_id, c.turn AS own, c.turn AS here, c.up, c.place AS asked FROM c UNION ALL SELECT r.conv_id, r.own, c.turn, c.up, r.asked FROM reach r JOIN c ON c.conv_id = r.conv_id AND c.turn = r.up),
+first AS (SELECT conv_id, here AS turn, min(asked) AS asked FROM reach GROUP BY ALL)
+SELECT f.conv_id || '-' || f.turn AS case_id, row_number() OVER (ORDER BY f.asked, d.depth) - 1 AS position FROM first f JOIN depths d ON d.conv_id = f.conv_id AND d.own = f.turn""",
+    "grouped_summaries": f"""WITH {_RESULTS}, tagged AS (SELECT * EXCLUDE (tags), unnest(list_filter([NULL, 'q' || (case_id % 3), 't', CASE WHEN case_id % 4 = 0 THEN 'four' END], lambda x, i: i = 1 OR x IS NOT NULL)) AS tag FROM (SELECT *, 0 AS tags FROM results)),
+sided AS (SELECT * EXCLUDE (retriever), unnest([retriever, NULL]) AS retriever FROM tagged)
+SELECT retriever, tag, count(*) AS cases, {', '.join(f'round(coalesce(avg({c}) FILTER (answerable), 0), 6) AS {c}' for c in ('recall_at_k', 'precision_at_k', 'mrr', 'ndcg_at_k'))},
+  round(coalesce(avg(citation_precision) FILTER (answerable AND has_answer AND NOT refused), 0), 6) AS citation_precision, {', '.join(f'round(avg({c}), 6) AS {c}' for c in ('faithfulness', 'answer_relevance', 'correctness'))},
+  round(coalesce(avg(refused::INT) FILTER (NOT answerable AND has_answer), 0), 6) AS correct_refusal_rate, round(coalesce(avg(refused::INT) FILTER (answerable AND has_answer), 0), 6) AS false_refusal_rate FROM sided GROUP BY retriever, tag""",
+    "recent_talk": f"""WITH {_CUES}, f AS (SELECT video_id, idx, least(30, sum(end_s - start_s) OVER w) AS talk, avg(contains(text, 'the')::INT) OVER w AS hit FROM cues WINDOW w AS (PARTITION BY video_id ORDER BY start_s RANGE BETWEEN 30 PRECEDING AND CURRENT ROW))
+SELECT video_id, idx, round(talk / 30, 6) AS talk_share, round(hit, 6) AS hit_share, round(30 - talk, 6) AS silence_s FROM f""",
+    "confidence_percent_ranks": f"""WITH {_CHAT}, c AS (SELECT question_id, rank AS place, CASE WHEN rank % 7 <> 6 THEN floor(confidence * 100) END AS confidence FROM chat)
+SELECT question_id, place, round(percent_rank() OVER (ORDER BY confidence), 9) AS percent_rank FROM c WHERE confidence IS NOT NULL UNION ALL SELECT question_id, place, NULL FROM c WHERE confidence IS NULL""",
+    "sketched_terms": f"WITH t AS (SELECT lang AS scope, unnest({_terms('text')}) AS term FROM documents), e AS (SELECT scope, count(DISTINCT term) AS terms FROM t GROUP BY scope), n AS (SELECT lang AS scope, count(*) AS n FROM documents GROUP BY lang) SELECT n.scope, n, terms, TRUE AS terms_near, TRUE AS median_near FROM n JOIN e ON e.scope = n.scope",
+    "caption_tracks": f"WITH {_CUES}, t AS (SELECT *, {_SQUEEZE.format('text')} AS line FROM cues WHERE video_id::INT % 3 <> 0) SELECT video_id, (row_number() OVER (PARTITION BY video_id ORDER BY idx) - 1)::INT AS idx, round(start_s, 3) AS start_s, round(end_s, 3) AS end_s, line AS text FROM t WHERE line <> ''",
 }
+ORACLES["bm25_kept_index"] = ORACLES["bm25_topk"]

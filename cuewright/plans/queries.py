@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import scalars as sc
 from ..functions import text as tx
 from ..functions import tokens as tk
-from ..operators import answers, calibrate, cases, citations, cues, dense, embed, fusion, lexical, metrics, passages, rerank, timeline
-from ..sources import captions, reports
+from ..operators import answers, calibrate, cases, citations, cues, dense, embed, fusion, intervals, lexical, metrics, ordered, passages, rerank, sketches, timeline
+from ..sources import captions, reports, tracks
 from ..sources.settings import Settings
 from ..shared import scratch_folder
+from ..sources.postings import PostingIndex
 from ..sources.store import Store
 from ..streaming import cues as stream
 from . import evaluate, index
@@ -43,6 +44,15 @@ def bm25_topk(spark, d):
     return lexical.retrieve(fx.passages(spark, d), fx.questions(spark, d), K).select("query_id", "scope", "passage_id", "score", "rank")
 
 
+@query
+def bm25_kept_index(spark, d):
+    """bm25_topk from an index that was built in two batches."""
+    own = PostingIndex(spark, scratch_folder(spark))
+    for left in (0, 1):
+        own.add(fx.passages(spark, d).filter(F.col("passage_id") % 2 == left))
+    return own.top_k(fx.questions(spark, d), K).select("query_id", "scope", "passage_id", "score", "rank")
+
+
 @query
 def bm25_confidence(spark, d):
     hits = lexical.retrieve(fx.passages(spark, d), fx.questions(spark, d), K)
@@ -474,6 +484,16 @@ def metadata_fallback(spark, d):
     return captions.with_metadata(videos, [first, second])
 
 
+@query
+def caption_tracks(spark, d):
+    """Cues written as track files of two languages; those of one language read back and normalised."""
+    folder = f"{scratch_folder(spark)}/tracks"
+    language = F.when(F.col("video_id") % 3 == 0, "de").otherwise("en")
+    tracks.write_tracks(fx.cues(spark, d).withColumns({"language": language, "kind": F.lit("manual")}), folder)
+    got = cues.normalise_rows(tracks.read_tracks(spark, folder).filter("language = 'en'"))
+    return got.select("video_id", "idx", F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s"), "text")
+
+
 def _store(spark):
     return Store(spark, scratch_folder(spark))
 
@@ -537,8 +557,9 @@ def cue_stream(spark, d):
     base = scratch_folder(spark)
     fx.rolling_cues(spark, d).write.parquet(f"{base}/in")
     arriving = spark.readStream.schema(cues.CUES).parquet(f"{base}/in")
-    running = stream.drop_rolling_stream(arriving).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/at").outputMode("append").trigger(availableNow=True).start()
-    running.awaitTermination()
+    with stream.rocksdb(spark, ends=True):
+        running = stream.drop_rolling_stream(arriving).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/at").outputMode("append").trigger(availableNow=True).start()
+        running.awaitTermination()
     got = spark.read.schema(cues.CUES).parquet(f"{base}/out")
     return got.select("video_id", "idx", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), "text")
 
@@ -546,3 +567,74 @@ def cue_stream(spark, d):
 @query
 def event_windows(spark, d):
     return stream.activity(fx.table(spark, d, "events"))
+
+
+@query
+def event_sessions(spark, d):
+    return stream.sessions(fx.table(spark, d, "events"), "6 hours").select("user_id", "session_start", "session_end", "n", F.round("value", 4).alias("value"))
+
+
+@query
+def snapshot_versions(spark, d):
+    """Two versions of a cache side by side: every second video is replaced by its first half, all tables in one step."""
+    store, videos, own = _store(spark), _videos(spark, d), fx.cues(spark, d)
+    store.save_videos(videos, own)
+    before = store.version()
+    some = videos.filter("video_id % 2 = 0").withColumn("title", F.concat("title", F.lit(" cut")))
+    store.save_videos(some, own.filter("video_id % 2 = 0 AND idx <= 1"))
+    sides = [(store.read("videos", v), store.read("segments", v), n) for n, v in ((1, before), (2, store.version()))]
+    rows = [cues_.groupBy("video_id").agg(F.count("*").alias("cues"), F.round(F.max("end_s"), 6).alias("end_s")).join(videos_.select("video_id", "title"), "video_id").withColumn("version", F.lit(n)) for videos_, cues_, n in sides]
+    return rows[0].unionByName(rows[1])
+
+
+@query
+def cue_overlaps(spark, d):
+    """Every cue with every span of its video that it shares time with; every tenth span is as long as the whole talk."""
+    own = fx.cues(spark, d)
+    length = F.when(F.col("idx") % 10 == 0, 10000.0).otherwise(3.0 + F.col("idx") * 7 % 40)
+    spans = own.select("video_id", F.col("idx").alias("span"), (F.col("start_s") - 4).alias("gold_start"), (F.col("start_s") - 4 + length).alias("gold_end"))
+    pairs = intervals.overlapping(own.select("video_id", "idx", "start_s", "end_s"), spans)
+    return pairs.select("video_id", "idx", "span", F.round("shared_s", 6).alias("shared_s"))
+
+
+@query
+def case_positions(spark, d):
+    """Turns as cases, each third of which follows one that the file has later: the order in which all can be asked."""
+    talk, name = fx.table(spark, d, "conversations"), lambda t: F.concat("conv_id", F.lit("-"), t)
+    up = F.when(F.col("turn") % 3 == 1, F.col("turn") + 1).when(F.col("turn") % 3 == 0, F.col("turn") - 1)
+    rows = talk.select(name(F.col("turn")).alias("case_id"), name(up).alias("f"), (F.col("conv_id") * 1000 + F.col("turn")).alias("place"))
+    known = rows.select(F.col("case_id").alias("f"), F.lit(True).alias("known"))
+    asked = rows.join(known, "f", "left").select("case_id", F.when(F.col("known"), F.col("f")).alias("followup_to"), "place")
+    return cases.in_order(asked).select("case_id", "position")
+
+
+@query
+def grouped_summaries(spark, d):
+    scores = ("recall_at_k", "precision_at_k", "mrr", "ndcg_at_k", "citation_precision", "faithfulness", "answer_relevance", "correctness", "correct_refusal_rate", "false_refusal_rate")
+    results = fx.case_results(spark, d).withColumn("tags", F.array(F.concat(F.lit("q"), F.col("case_id") % 3), F.lit("t"), F.when(F.col("case_id") % 4 == 0, "four")))
+    return metrics.summaries(results).select("retriever", "tag", "cases", *(F.round(c, 6).alias(c) for c in scores))
+
+
+@query
+def recent_talk(spark, d):
+    own = fx.cues(spark, d)
+    marks = own.select("video_id", "idx", F.col("start_s").alias("at_s"), (F.col("end_s") - F.col("start_s")).alias("talk_s"), F.col("text").contains("the").alias("hit"))
+    return timeline.recent(marks).select("video_id", "idx", *(F.round(c, 6).alias(c) for c in ("talk_share", "hit_share", "silence_s")))
+
+
+@query
+def confidence_percent_ranks(spark, d):
+    hits = fx.chat_hits(spark, d).select("question_id", F.col("rank").alias("place"), F.when(F.col("rank") % 7 != 6, F.floor(F.col("confidence") * 100)).alias("confidence"))
+    return ordered.percent_ranks(hits, "confidence").select("question_id", "place", F.round("percent_rank", 9).alias("percent_rank"))
+
+
+@query
+def sketched_terms(spark, d):
+    """Distinct terms and the median of confidence by language, from sketches by language and day; are they as near as promised?"""
+    docs = fx.table(spark, d, "documents")
+    told = docs.select(F.col("lang").alias("scope"), F.timestamp_seconds(F.col("doc_id") * 7200).alias("ts"), "text", (F.col("doc_id") * 37 % 1000 / F.lit(1000.0)).alias("confidence"))
+    kept = sketches.merged(sketches.daily(told), ["scope"])
+    exact = told.select("scope", F.explode(tk.search_terms(F.col("text"))).alias("t")).groupBy("scope").agg(F.countDistinct("t").alias("terms"))
+    below = told.join(kept.select("scope", sketches.quantile(F.col("confidences"), 0.5).alias("median")), "scope").groupBy("scope").agg(F.avg((F.col("confidence") <= F.col("median")).cast("int")).alias("below"))
+    near = F.abs(sketches.distinct_terms(F.col("sketch")) - F.col("terms")) <= 4 * 1.04 / 2 ** (sketches.TERM_BITS / 2) * F.col("terms") + 1
+    return kept.select("scope", "n", F.col("terms").alias("sketch")).join(exact, "scope").join(below, "scope").select("scope", "n", "terms", near.alias("terms_near"), (F.abs(F.col("below") - 0.5) <= 0.035).alias("median_near"))
