@@ -41,15 +41,16 @@ def model_id(embedder: str, dim: int = DIM, model: str = "", version: int = 1) -
 
 def hash_embed_md5(texts: DataFrame, dim: int = DIM) -> DataFrame:
     """(passage_id, vector) with buckets from MD5, in the JVM: a feature adds its sign to its bucket, a partial sum before the shuffle."""
-    digest = F.md5(F.col("f").cast("binary"))
-    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dim
-    sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") >= 8, -1.0).otherwise(1.0)
-    each = texts.select("passage_id", F.explode_outer(features(hash_terms(F.col("text")))).alias("f"))
+    digest = F.md5(F.col("e.f").cast("binary"))
+    bucket = F.coalesce("e.b", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dim)
+    sign = F.when(F.col("e.f").isNull(), 0.0).when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") >= 8, -1.0).otherwise(1.0)
+    # A zero for every bucket, so that each text has all of them and they only need sorting.
+    zeros = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.struct(F.lit(None).cast("string").alias("f"), i.cast("long").alias("b")))
+    feats = F.transform(features(hash_terms(F.col("text"))), lambda f: F.struct(f.alias("f"), F.lit(None).cast("long").alias("b")))
+    each = texts.select("passage_id", F.explode(F.concat(zeros, feats)).alias("e"))
     sums = each.groupBy("passage_id", bucket.alias("bucket")).agg(F.sum(sign).alias("s"))
-    held = F.col("bucket").isNotNull()
-    maps = sums.groupBy("passage_id").agg(F.map_from_entries(F.collect_list(F.when(held, F.struct("bucket", "s")))).alias("m"), F.sqrt(F.sum(F.when(held, F.col("s") * F.col("s")))).alias("norm"))
-    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_divide(F.try_element_at("m", i.cast("long")), "norm"), F.lit(0.0)))
-    return maps.select("passage_id", vector.alias("vector"))
+    whole = sums.groupBy("passage_id").agg(F.sort_array(F.collect_list(F.struct("bucket", "s"))).alias("line"), F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
+    return whole.select("passage_id", F.transform("line", lambda x: F.coalesce(F.try_divide(x["s"], F.col("norm")), F.lit(0.0))).alias("vector"))
 
 
 def bucket_of(feature: str, dim: int) -> tuple[int, float]:
