@@ -90,7 +90,8 @@ class PostingIndex:
             part = F.col("qf") * (F.col("idf") * share(F.col("p.tfs"), F.col("p.lens")))
             return each.groupBy("query_id", "scope", F.col("p.ids").alias("passage_id")).agg(F.round(F.sum(part), DIGITS).alias("score")).filter("score > 0")
 
-        first = bounds.groupBy("query_id", "scope").agg(F.max_by("cell", "bound").alias("cell"))
+        # Equal bounds (copies) leave the choice to the cell's number: what is scored first is left out below, so both have to see the same cell.
+        first = materialize(bounds.groupBy("query_id", "scope").agg(F.max_by("cell", F.struct("bound", "cell")).alias("cell")))
         early = materialize(ranked(scored(first), k))
         floors = early.filter(F.col("rank") == k - 1).select("query_id", "scope", F.col("score").alias("floor"))
         keys = (F.col("b.query_id") == F.col("f.query_id")) & F.col("b.scope").eqNullSafe(F.col("f.scope"))

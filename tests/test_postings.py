@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cuewright.operators import lexical
 from cuewright.plans import fixtures as fx
 from cuewright.shared import scratch_folder
+from cuewright.sources import postings
 from cuewright.sources.postings import PostingIndex
 from compare import FOLDER
 
@@ -44,6 +45,22 @@ def test_batches_add_up(spark):
     assert rows(own.top_k(bound, 5)) == rows(lexical.retrieve(spark.createDataFrame(seen, PASSAGES).filter("scope IS NOT NULL"), bound, 5))
 
 
+def test_cells_with_equal_bounds(spark, monkeypatch):
+    """Copies give cells one bound; which of them is scored first must not depend on the order of rows, which no reading keeps."""
+    copies = spark.createDataFrame([("hot", i, "w1 w2 w3") for i in range(300)], PASSAGES)
+    own = PostingIndex(spark, scratch_folder(spark), 4, 8)
+    own.add(copies)
+    queries = spark.createDataFrame([(i, "w1 w2") for i in range(12)], "query_id long, text string")
+    whole = postings.materialize
+
+    def mixed(batches):
+        for batch in batches:
+            yield batch.take(random.sample(range(batch.num_rows), batch.num_rows))
+
+    monkeypatch.setattr(postings, "materialize", lambda df: whole(df).mapInArrow(mixed, df.schema))
+    assert rows(own.top_k(queries, 5)) == rows(lexical.retrieve(copies, queries, 5))
+
+
 def test_documents_are_not_read_at_query_time(spark):
     own = PostingIndex(spark, scratch_folder(spark))
     own.add(fx.passages(spark, FOLDER))
