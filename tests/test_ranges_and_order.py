@@ -1,5 +1,7 @@
 """Joins of ranges, orders over whole tables, groupings and sketches on small and odd tables."""
 
+import hashlib
+import math
 import random
 
 import pytest
@@ -106,3 +108,17 @@ def test_many_queries_take_several_steps(spark):
     assert dense.CELLS // 3001 < 3000  # a step of a task is smaller than its batch
     best = got.filter("rank = 0 AND query_id > 0").collect()
     assert len(best) == 2999 and all(r.score == 1 for r in best) and got.count() == 6002
+
+
+def test_texts_are_cut_into_terms_once(spark):
+    """However often features need them; and rows of one id add up where the SQL adds them."""
+    texts = spark.createDataFrame([(1, "a b a"), (1, "b c"), (2, None), (3, "x " * 2000 + "y")], "passage_id long, text string")
+    for made in (hash_embed(texts, 16), hash_embed_md5(texts, 16)):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    got = {r.passage_id: r.vector for r in hash_embed_md5(texts, 16).collect()}
+    want = [0.0] * 16
+    for f in "a b a a_b b_a b c b_c".split():
+        h = hashlib.md5(f.encode()).hexdigest()
+        want[int(h[:8], 16) % 16] += -1.0 if h[8] >= "8" else 1.0
+    norm = math.sqrt(sum(x * x for x in want))
+    assert len(got) == 3 and got[2] == [0.0] * 16 and all(abs(a - b / norm) < 1e-12 for a, b in zip(got[1], want))
