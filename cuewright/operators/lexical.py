@@ -12,6 +12,8 @@ from ..shared import materialize
 K1, B = 1.5, 0.75
 #: Digits that scores are rounded to before they are ranked, so that the order of a sum does not decide a rank.
 DIGITS = 6
+#: Pairs of a posting and a query with its term that a task weighs, about.
+PAIRS = 1 << 21
 
 
 def scope_stats(passages: DataFrame) -> DataFrame:
@@ -47,7 +49,9 @@ def score(passages: DataFrame, queries: DataFrame, k1: float = K1, b: float = B)
 
     Queries go to every scope unless they have a column scope. Passages are read once: what is kept of each is a
     row with its length and a row for each term that some query has, written to the shared folder; frequencies,
-    average lengths and scores come from that.
+    average lengths and scores come from that. Postings are dealt out by passage, so a task adds up its passages'
+    scores itself: hits, of which there are queries times passages, are not shuffled before they are ranked, unless
+    the queries' terms are too many for Spark to broadcast them.
     """
     asked = materialize(query_terms(queries))
     # The empty term, which no text has, stands for the passage itself, so that passages without a hit count too.
@@ -58,13 +62,15 @@ def score(passages: DataFrame, queries: DataFrame, k1: float = K1, b: float = B)
     held = materialize(each.join(wanted, "term", "left_semi").groupBy("scope", "passage_id", "len", "term").agg(F.count("*").alias("tf")))
     posted = held.filter("term <> ''")
     stats = held.filter("term = ''").groupBy("scope").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("avg_len"))
-    weights = document_frequencies(posted).join(stats, "scope").select("scope", "term", idf("n_docs", "df").alias("idf"), "avg_len")
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
-    weighed = posted.join(weights, ["scope", "term"]).select("scope", "passage_id", "term", (F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("w"))
-    hits = weighed.join(asked, "term").groupBy("query_id", "scope", "passage_id").agg(F.round(F.sum(F.col("qf") * F.col("w")), DIGITS).alias("score"))
+    weights = document_frequencies(posted).join(stats, "scope").select("scope", "term", "df", idf("n_docs", "df").alias("idf"), "avg_len").join(asked, "term")
     if "scope" in queries.columns:
-        hits = hits.join(queries.select("query_id", "scope"), ["query_id", "scope"], "left_semi")
-    return hits.filter("score > 0")
+        weights = weights.join(queries.select("query_id", "scope"), ["query_id", "scope"], "left_semi")
+    weights = materialize(weights)
+    pairs = weights.agg(F.sum("df")).first()[0] or 0
+    dealt = posted.repartition(-(-pairs // PAIRS) or 1, "scope", "passage_id")
+    norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
+    weighed = dealt.join(weights, ["scope", "term"]).select("query_id", "scope", "passage_id", (F.col("qf") * (F.col("idf") * F.col("tf") * (k1 + 1) / norm)).alias("w"))
+    return weighed.groupBy("query_id", "scope", "passage_id").agg(F.round(F.sum("w"), DIGITS).alias("score")).filter("score > 0")
 
 
 def ranked(hits: DataFrame, k: int, by: str = "score", tie: str = "passage_id", per: tuple[str, ...] = ("query_id", "scope")) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from test_queries import plain_scores
 
 from cuewright.functions.tokens import STOPWORDS
-from cuewright.operators import cues, passages, timeline
+from cuewright.operators import cues, lexical, passages, timeline
 from cuewright.plans import fixtures as fx
 from cuewright.plans.queries import QUERIES, _first_questions, _index
 from cuewright.sources.settings import Settings
@@ -104,3 +104,16 @@ def test_every_row_of_the_retrieval_sweep(spark):
             row, want = got[size, name], [sum(x) / len(each) for x in zip(*each)]
             assert row.n_passages == len(own.places)
             assert [row.recall_at_k, row.precision_at_k, row.mrr, row.ndcg_at_k, row.citation_iou] == pytest.approx(want, abs=0.005)
+
+
+def test_hits_are_added_up_where_postings_lie(spark):
+    """Queries times passages are not shuffled before they are ranked, and several tasks give what one gives."""
+    passages, questions = fx.passages(spark, FOLDER), fx.questions(spark, FOLDER)
+    plan = lexical.score(passages, questions)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" not in plan and plan.count(" Exchange ") == 1
+    one = lexical.retrieve(passages, questions, 5).collect()
+    before, lexical.PAIRS = lexical.PAIRS, 1000
+    try:
+        assert sorted(lexical.retrieve(passages, questions, 5).collect()) == sorted(one) and len(one) > 100
+    finally:
+        lexical.PAIRS = before
