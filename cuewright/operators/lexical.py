@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.scalars import lexical_confidence
 from ..functions.tokens import search_terms
 from ..shared import materialize
+from ..shipping import ship
 
 K1, B = 1.5, 0.75
 #: Digits that scores are rounded to before they are ranked, so that the order of a sum does not decide a rank.
 DIGITS = 6
 #: Pairs of a posting and a query with its term that a task weighs, about.
 PAIRS = 1 << 21
+#: What a tile of passages and queries holds at most, about: passages, their postings, queries, and their terms; and the tiles that there should be at least.
+PASSAGES, POSTINGS, QUERIES, TERMS, TILES = 8192, 1 << 20, 1 << 15, 1 << 20, 16
+#: Scores, and pairs of a posting and a query, that a tile works out in one step.
+CELLS = 1 << 21
 
 
 def scope_stats(passages: DataFrame) -> DataFrame:
@@ -44,15 +56,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(search_terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
 
 
-def score(passages: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, scope, passage_id, score) of all passages with a term of the query in common.
-
-    Queries go to every scope unless they have a column scope. Passages are read once: what is kept of each is a
-    row with its length and a row for each term that some query has, written to the shared folder; frequencies,
-    average lengths and scores come from that. Postings are dealt out by passage, so a task adds up its passages'
-    scores itself: hits, of which there are queries times passages, are not shuffled before they are ranked, unless
-    the queries' terms are too many for Spark to broadcast them.
-    """
+def _prepared(passages: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Terms of queries; (scope, passage_id, len, term, tf) of what some query has, and (scope, n_docs, avg_len): passages are read once."""
     asked = materialize(query_terms(queries))
     # The empty term, which no text has, stands for the passage itself, so that passages without a hit count too.
     wanted = asked.select("term").distinct().union(asked.sparkSession.createDataFrame([("",)], "term string"))
@@ -62,6 +67,19 @@ def score(passages: DataFrame, queries: DataFrame, k1: float = K1, b: float = B)
     held = materialize(each.join(wanted, "term", "left_semi").groupBy("scope", "passage_id", "len", "term").agg(F.count("*").alias("tf")))
     posted = held.filter("term <> ''")
     stats = held.filter("term = ''").groupBy("scope").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("avg_len"))
+    return asked, posted, stats
+
+
+def score(passages: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, scope, passage_id, score) of all passages with a term of the query in common.
+
+    Queries go to every scope unless they have a column scope. Passages are read once: what is kept of each is a
+    row with its length and a row for each term that some query has, written to the shared folder; frequencies,
+    average lengths and scores come from that. Postings are dealt out by passage, so a task adds up its passages'
+    scores itself: hits, of which there are queries times passages, are not shuffled before they are ranked, unless
+    the queries' terms are too many for Spark to broadcast them.
+    """
+    asked, posted, stats = _prepared(passages, queries)
     weights = document_frequencies(posted).join(stats, "scope").select("scope", "term", "df", idf("n_docs", "df").alias("idf"), "avg_len").join(asked, "term")
     if "scope" in queries.columns:
         weights = weights.join(queries.select("query_id", "scope"), ["query_id", "scope"], "left_semi")
@@ -79,6 +97,91 @@ def ranked(hits: DataFrame, k: int, by: str = "score", tie: str = "passage_id",
     return hits.withColumn("rank", F.row_number().over(line)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
+def _best_of_tile(passage: pa.Array, term: np.ndarray, w: np.ndarray, query: pa.Array, asked: np.ndarray, qf: np.ndarray, k: int) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray]]:
+    """(query, passage, score) of the best k passages of each query of a tile, ties to the smaller id, from postings (passage, term, w) and (query, asked, qf)."""
+    ids = pc.unique(passage)
+    ids = ids.take(pc.sort_indices(ids, null_placement="at_start"))
+    p = pc.index_in(passage, ids).to_numpy(zero_copy_only=False).astype(np.int64)
+    named = query.dictionary_encode("encode")
+    q = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    line = np.argsort(term, kind="stable")
+    term, p, w = term[line], p[line], w[line]
+    low, high = np.searchsorted(term, asked), np.searchsorted(term, asked, "right")
+    line = np.argsort(q, kind="stable")
+    line = line[high[line] > low[line]]
+    q, low, n, qf = q[line], low[line], (high - low)[line], qf[line]
+    sums, at = np.cumsum(n), 0
+    while at < len(q):
+        # Whole queries, one at least, with so many scores and pairs.
+        most = np.searchsorted(sums, (sums[at - 1] if at else 0) + CELLS, "right")
+        until = min(q[most] if most < len(q) else q[-1] + 1, q[at] + max(1, CELLS // len(ids)))
+        stop = int(np.searchsorted(q, max(until, q[at] + 1)))
+        first, size = q[at], int(q[stop - 1] - q[at]) + 1
+        scores = np.zeros(size * len(ids))
+        begin = at
+        while begin < stop:  # a single query may have more pairs
+            end = max(begin + 1, int(np.searchsorted(sums, (sums[begin - 1] if begin else 0) + CELLS, "right")))
+            some = slice(begin, min(end, stop))
+            own = n[some]
+            post = np.arange(own.sum()) + np.repeat(low[some] - np.cumsum(own) + own, own)
+            scores += np.bincount(np.repeat((q[some] - first) * len(ids), own) + p[post], np.repeat(qf[some], own) * w[post], minlength=len(scores))
+            begin = some.stop
+        scores = scores.reshape(size, len(ids))
+        told = np.round(scores, DIGITS)
+        good = told > 0
+        if k < len(ids):
+            last = np.partition(told, len(ids) - k, axis=1)[:, len(ids) - k, None]
+            over, equal = told > last, told == last
+            good &= over | (equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= k - over.sum(axis=1, keepdims=True)))
+        i, j = np.nonzero(good)
+        yield named.dictionary.take(pa.array(i + first)), ids.take(pa.array(j)), scores[i, j]
+        at = stop
+
+
+def best(passages: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, scope, passage_id, score): the best k hits of each query in each tile, which the best k of all are among.
+
+    Scores are those of `score`. Passages of a scope and queries are dealt into tiles of bounded size, each posting to
+    a tile for every block of queries and each query to one for every block of passages. A task adds up the scores of
+    a tile as one array and hands on the best, so no pair of a passage and a query is ever a row. The work grows with
+    the pairs of a posting and a query that has its term, which is what the ranking of all passages takes.
+    """
+    ship(passages.sparkSession)
+    asked, posted, stats = _prepared(passages, queries)
+    freq = document_frequencies(posted)
+    held = freq.groupBy("scope").agg(F.sum("df").alias("n_posted")).join(stats, "scope")
+    most = F.greatest(F.ceil(F.col("n_docs") / PASSAGES), F.ceil(F.col("n_posted") / POSTINGS), F.least(F.lit(TILES), F.ceil(F.col("n_docs") * TILES / PASSAGES)))
+    held = held.withColumn("blocks", F.greatest(most, F.lit(1)).cast("int"))
+    # A number stands for a term of a scope; written once, so that it stays the same.
+    terms = materialize(freq.join(held, "scope").select("scope", "term", idf("n_docs", "df").alias("idf"), "avg_len", "blocks", F.monotonically_increasing_id().alias("t")))
+    n = asked.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("terms")).first()
+    sides = max(1, -(-n.queries // QUERIES), -(-n.terms // TERMS))
+    norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))
+    left = posted.join(terms, ["scope", "term"]).select(
+        "scope", F.pmod(F.xxhash64("passage_id"), F.col("blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(sides - 1))).alias("j"), "passage_id", "t", (F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("w"),
+    )
+    wanted = terms.join(asked, "term")
+    if "scope" in queries.columns:
+        wanted = wanted.join(queries.select("query_id", "scope"), ["query_id", "scope"], "left_semi")
+    right = wanted.select(F.col("scope").alias("scope"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.pmod(F.xxhash64("query_id"), F.lit(sides)).cast("int").alias("j"), "query_id", F.col("t").alias("asked"), F.col("qf").cast("double").alias("qf"))
+    schema = T.StructType([queries.schema["query_id"], passages.schema["scope"], passages.schema["passage_id"], T.StructField("score", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(posted_: pa.Table, asked_: pa.Table) -> pa.Table:
+        if not (posted_.num_rows and asked_.num_rows and k > 0):
+            return arrow.empty_table()
+        posted_, asked_ = posted_.combine_chunks(), asked_.combine_chunks()
+        column = lambda one, name: one.column(name).chunk(0)
+        array = lambda one, name: column(one, name).to_numpy(zero_copy_only=False)
+        out = _best_of_tile(column(posted_, "passage_id"), array(posted_, "t"), array(posted_, "w"), column(asked_, "query_id"), array(asked_, "asked"), array(asked_, "qf"), k)
+        scope = posted_.column("scope")[0]
+        parts = [pa.RecordBatch.from_arrays([a.cast(arrow.field(0).type), pa.repeat(scope, len(a)).cast(arrow.field(1).type), b_.cast(arrow.field(2).type), pa.array(x)], schema=arrow) for a, b_, x in out]
+        return pa.Table.from_batches(parts, arrow)
+
+    dealt = left.groupBy("scope", "i", "j").cogroup(right.groupBy("scope", "i", "j")).applyInArrow(run, schema)
+    return dealt.withColumn("score", F.round("score", DIGITS)).filter("score > 0")
+
+
 def retrieve(passages: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, scope, passage_id, score, rank, confidence)."""
-    return ranked(score(passages, queries, k1, b), k).withColumn("confidence", lexical_confidence(F.col("score")))
+    return ranked(best(passages, queries, k, k1, b), k).withColumn("confidence", lexical_confidence(F.col("score")))

@@ -117,3 +117,20 @@ def test_hits_are_added_up_where_postings_lie(spark):
         assert sorted(lexical.retrieve(passages, questions, 5).collect()) == sorted(one) and len(one) > 100
     finally:
         lexical.PAIRS = before
+
+
+def test_tiles_give_what_all_scores_ranked_give(spark, monkeypatch):
+    """Pairs of a passage and a query are never rows: small tiles of both hand on k hits of a query each, and ties and repeated ids are as in one line."""
+    said = [(s, i // 2 if i % 7 == 0 else i, " ".join(f"w{(i * k) % 11}" for k in range(1, 2 + i % 9)) * (i % 13 > 0)) for s in ("a", "b", None) for i in range(90)]
+    passages = spark.createDataFrame(said, "scope string, passage_id long, text string")
+    queries = spark.createDataFrame([(q, f"w{q % 11} w{q % 5} w{q % 5} other") for q in range(40)], "query_id long, text string")
+    for name, size in (("PASSAGES", 16), ("POSTINGS", 100), ("QUERIES", 16), ("TERMS", 50), ("CELLS", 37)):
+        monkeypatch.setattr(lexical, name, size)
+    bound = queries.withColumn("scope", F.when(F.col("query_id") % 2 == 0, "a").otherwise("b"))
+    for asked in (queries, bound):
+        for k in (0, 1, 4, 500):
+            want = lexical.ranked(lexical.score(passages, asked), k).select("query_id", "scope", "passage_id", "score", "rank")
+            got = lexical.retrieve(passages, asked, k).drop("confidence")
+            assert sorted(got.collect()) == sorted(want.select(*got.columns).collect())
+    rows = lexical.best(passages, queries, 2).groupBy("scope", "query_id").count()
+    assert rows.agg(F.max("count")).first()[0] <= 2 * lexical.TILES < 90 / 2
