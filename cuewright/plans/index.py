@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.cues import clean_transcript, normalise_rows
 from ..operators.passages import passages_of
+from ..shared import materialize
 from ..sources.settings import Settings
 from ..sources.store import Store
 
@@ -23,13 +24,13 @@ def ensure_indexed(store: Store, videos: DataFrame, rows: DataFrame, settings: S
     new = videos.join(store.read("videos").select("video_id"), "video_id", "left_anti")
     did = {"transcripts": new.count()}
     if did["transcripts"]:
-        store.save_videos(new, clean_transcript(normalise_rows(rows.join(new.select("video_id"), "video_id", "left_semi"))))
+        store.save_videos(new, materialize(clean_transcript(normalise_rows(rows.join(new.select("video_id"), "video_id", "left_semi")))))
     fingerprint, wanted = settings.packing.fingerprint(), videos.select("video_id")
     sets = store.read("chunk_sets").filter(F.col("fingerprint") == fingerprint)
     bare = wanted.join(sets, "video_id", "left_anti")
     did["passages"] = bare.count()
     if did["passages"]:
-        store.save_chunks(passages_of(store.read("segments").join(bare, "video_id", "left_semi"), settings.packing), fingerprint, bare)
+        store.save_chunks(materialize(passages_of(store.read("segments").join(bare, "video_id", "left_semi"), settings.packing)), fingerprint, bare)
     model = settings.model_id
     chunks = store.chunks(fingerprint).join(wanted, "video_id", "left_semi")
     blank = chunks.select("video_id", "chunk_set_id").distinct().join(store.read("embedding_sets").filter(F.col("model_id") == model), ["video_id", "chunk_set_id"], "left_anti")
@@ -37,5 +38,5 @@ def ensure_indexed(store: Store, videos: DataFrame, rows: DataFrame, settings: S
     if did["vectors"]:
         todo = chunks.join(blank, ["video_id", "chunk_set_id"], "left_semi")
         vectors = settings.embed(todo.select(F.col("chunk_id").alias("passage_id"), "text")).select(F.col("passage_id").alias("chunk_id"), F.col("vector").cast("array<float>").alias("vector"))
-        store.save_embeddings(todo.select("video_id", "chunk_set_id", "chunk_id").join(vectors, "chunk_id"), model, settings.dim)
+        store.save_embeddings(materialize(todo.select("video_id", "chunk_set_id", "chunk_id").join(vectors, "chunk_id")), model, settings.dim)
     return did

@@ -458,3 +458,19 @@ def test_track_files(spark, tmp_path):
     back = tracks.read_tracks(spark, f"{tmp_path}/made")
     assert clean(back) == [("v 1", "de", "manual", 0, 5.0, 1.0, "c"), ("v 1", "en", "manual", 0, 0.0, 1.0, "a\nb"), ("v 1", "en", "manual", 1, 359999.0, 2.002, "")]
     assert "PartitionFilters: [isnotnull(language" in back.filter("language = 'de'")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_indexing_makes_passages_once(spark, tmp_path, monkeypatch):
+    made, pack = spark.sparkContext.accumulator(0), index.passages_of
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(index, "passages_of", lambda *a: (lambda df: df.mapInArrow(seen, df.schema))(pack(*a)))
+    store = Store(spark, f"file://{tmp_path}/cache")
+    videos = spark.createDataFrame([("v", "t")], "video_id string, title string").selectExpr("*", "CAST(NULL AS string) channel", "CAST(NULL AS double) duration_s", "'en' language", "'manual' transcript_kind")
+    rows = spark.createDataFrame([("v", i, 2.0 * i, 2.0, f"sentence number {i} ends here.") for i in range(200)], "video_id string, idx int, start_s double, duration_s double, text string")
+    index.ensure_indexed(store, videos, rows)
+    assert made.value == store.read("chunks").count() > 5
