@@ -22,12 +22,17 @@ OVERLAP_WORDS = 12
 @F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition, which Spark has no function for; Arrow batches, one C call a text."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+    return text.map(lambda t: unicodedata.normalize("NFKC", t) if isinstance(t, str) else None)
+
+
+# A filter on what comes out would have the optimizer run it twice, in two Python workers a task, but for this.
+nfkc = nfkc.asNondeterministic()
 
 
 def compose(text: Column) -> Column:
-    """NFKC, where Python sees only texts with a character that it could change."""
-    return F.when(text.rlike("[^\\x00-\\x7F]"), nfkc(text)).otherwise(text)
+    """NFKC, where Python sees only texts with a character that it could change, and nulls for the others."""
+    able = text.rlike("[^\\x00-\\x7F]")
+    return F.when(able, nfkc(F.when(able, text))).otherwise(text)
 
 
 def strip_annotations(text: Column) -> Column:

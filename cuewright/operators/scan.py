@@ -17,6 +17,10 @@ from pyspark.sql.types import _parse_datatype_string
 from ..shipping import ship
 
 
+#: Rows that a task has as Python objects at once.
+ROWS = 256
+
+
 class State(Protocol):
     def feed(self, row: dict) -> Iterable[tuple]: ...
 
@@ -31,15 +35,16 @@ def scan(df: DataFrame, key: list[str], order: list[str], begin: Callable[[], St
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, at = None, None
         out: list[tuple] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                here = tuple(row[k] for k in key)
-                if state is None or here != at:
-                    out += state.close() if state is not None else ()
-                    state, at = begin(), here
-                out += state.feed(row)
-            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r)) for r in out], arrow)
-            out = []
+        for whole in batches:
+            for some in range(0, whole.num_rows, ROWS):
+                for row in whole.slice(some, ROWS).to_pylist():
+                    here = tuple(row[k] for k in key)
+                    if state is None or here != at:
+                        out += state.close() if state is not None else ()
+                        state, at = begin(), here
+                    out += state.feed(row)
+                yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r)) for r in out], arrow)
+                out = []
         if state is not None:
             yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r)) for r in state.close()], arrow)
 

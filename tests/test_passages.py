@@ -124,3 +124,22 @@ def test_new_words_against_every_overlap():
         low, words = before.lower().split(), text.split()
         longest = max(n for n in range(13) if n <= min(len(low), len(words)) and low[len(low) - n :] == [w.lower() for w in words[:n]])
         assert cues.new_words(before, text) == (" ".join(words[longest:]) if longest else text)
+
+
+def test_a_scan_holds_few_rows_as_objects(spark, monkeypatch):
+    from cuewright.operators import scan
+
+    line = [("v", i, 2.0 * i, 2.0 * i + 2, f"sentence number {i} ends here.") for i in range(300)]
+    timeline_ = timeline.spans(spark.createDataFrame(line, "video_id string, idx int, start_s double, end_s double, text string"))
+    want = sorted(passages.pack(timeline_).collect())
+    monkeypatch.setattr(scan, "ROWS", 7)
+    assert sorted(passages.pack(timeline_).collect()) == want and len(want) > 5
+
+
+def test_composing_runs_python_once(spark):
+    from cuewright.operators import cues
+
+    told = spark.createDataFrame([("v", 0, 0.0, 1.0, "ﬁne ²"), ("v", 1, 1.0, 2.0, "plain"), ("v", 2, 2.0, 3.0, None), ("v", 3, 3.0, 4.0, " ")], cues.CUES)
+    got = cues.clean(told)
+    assert [(r.idx, r.text) for r in got.orderBy("idx").collect()] == [(0, "fine 2"), (1, "plain")]
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
