@@ -1,11 +1,12 @@
 """Near copies by word-shingle similarity: wide SimHash fingerprints gather texts, whole shingle sets link them.
 
-Two texts are linked if the Jaccard similarity of their five-word shingles is at least LEAST. Their fingerprints, of
-BITS bits, then differ in about a seventh of the bits, which no vantage-point tree over whole fingerprints can tell
-from chance (README.md has figures). So each tree is taken to its end: a projection of a few bits whose leaves hold
-equal points, and there are enough projections for nearly every pair at LEAST to share one. Within a leaf exact
-distances are taken over all bits, and what is close is gathered into clusters. Within a cluster every pair is then
-compared by its whole shingle sets, and only those that are similar enough make links.
+Two texts are linked if the Jaccard similarity of their five-word shingles is at least LEAST. The vantage-point trees
+of simhash_vp gather the closest copies, whose first 64 bits differ in a few bits. Fingerprints at LEAST, of BITS bits,
+differ in about a seventh of the bits, which no tree over whole fingerprints can tell from chance (README.md has
+figures). For those a tree is taken to its end: a projection of a few bits whose leaves hold equal points, and there
+are enough projections for nearly every pair at LEAST to share one. Within a leaf exact distances are taken over all
+bits. What either gathers makes clusters. Within a cluster every pair is then compared by its whole shingle sets, and
+only those that are similar enough make links.
 
 What a leaf or a cluster hands on are spanning links, so rows grow with texts and not with pairs.
 """
@@ -24,6 +25,7 @@ from pyspark.sql import types as T
 
 from .common import SLICE_BYTES, append_columns, discard, fresh, materialize, prepare, slices
 from .components import connected_components
+from .simhash_vp import links as vantage_links
 
 WIDTH, LEAST, SEED = 5, 0.8, 42
 WORDS = 4
@@ -207,6 +209,20 @@ def close_links(distinct: DataFrame, n: int) -> DataFrame:
     return _to_the_smallest(placed.mapInArrow(run, "a long, b long"))
 
 
+def tree_links(distinct: DataFrame) -> DataFrame:
+    """Spanning links (a, b) between forms whose first 64 bits are equal or within simhash_vp's radius, found by its vantage-point trees."""
+    first = F.conv(F.hex(F.substring("fp", 1, 8)), 16, -10).cast("long")
+    own = distinct.filter("fp IS NOT NULL").select("form", first.alias("first"))
+    points = materialize(own.groupBy("first").agg(F.min("form").alias("root")), "points")
+    equal = own.join(points, "first").filter("form <> root").select(F.col("form").alias("a"), F.col("root").alias("b"))
+    near = vantage_links(points.select(F.col("first").alias("fp")), points.count())
+    side = lambda name: points.select(F.col("first").alias(f"{name}_first"), F.col("root").alias(name))
+    near = near.select(F.col("a").alias("a_first"), F.col("b").alias("b_first")).join(side("a"), "a_first").join(side("b"), "b_first").select("a", "b")
+    found = materialize(equal.union(near), "near")
+    discard(points)
+    return found
+
+
 def _to_the_smallest(links: DataFrame) -> DataFrame:
     """Links that connect the same forms, but fewer: each form keeps the smallest of its roots, to which its other roots are linked.
 
@@ -358,7 +374,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     prints = materialize(_sketched(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _digest(text_col).alias("digest"))).drop("text"), "prints")
     distinct = materialize(prints.groupBy("form").agg(F.first("fp").alias("fp"), F.first("digest").alias("digest")), "distinct")
-    close = materialize(close_links(distinct, distinct.count()), "close")
+    near = tree_links(distinct)
+    close = materialize(near.union(close_links(distinct, distinct.count())), "close")
+    discard(near)
     clusters = connected_components(close)
     members = materialize(clusters.select(F.col("node").alias("form"), F.col("root").alias("cluster")).join(distinct.select("form", "digest"), "form"), "members")
     links = similar_links(members, df.select(_digest(text_col).alias("digest"), F.col(text_col).alias("text")))

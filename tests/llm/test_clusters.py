@@ -63,3 +63,15 @@ def test_rows_of_one_template_grow_with_its_texts(spark, monkeypatch):
         assert len({r.root for r in rows}) == 1
         share.append(sum(seen) / n)
     assert max(share) <= 3
+
+
+def test_vantage_trees_gather_close_copies(spark, monkeypatch):
+    """The trees alone find what differs in a word of many; shingle sets decide, whatever has gathered two texts."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(400)) for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts + [t + " end" for t in texts])), DOCS)
+    monkeypatch.setattr(near_copies, "close_links", lambda distinct, n: spark.createDataFrame([], "a long, b long"))
+    by = {}
+    for r in near_copies.classes(docs).collect():
+        by.setdefault(r.root, set()).add(r.id)
+    pairs = [ids for ids in by.values() if len(ids) > 1]
+    assert len(pairs) >= 27 and all(ids == {min(ids), min(ids) + 30} for ids in pairs)
