@@ -26,10 +26,10 @@ def write_tracks(cues: DataFrame, folder: str, packed: bool = False) -> None:
     Each is a file of its own in folders by video, language and kind, as players take them; the file system then makes as
     many files and folders as there are tracks, which takes most of the time. Packed, they are rows (video_id, value) of
     Parquet files in folders by language and kind, of which a task writes one for each, however many tracks it has.
-    Times are kept to the millisecond; empty lines within a cue go, as they would end it. A track is gathered by its task.
+    Times are kept to the millisecond; empty lines of a cue go, as they would end it. A track is gathered by its task.
     """
-    text = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n"), r"\n\s*\n", "\n")
-    block = F.concat(_clock(F.col("start_s")), F.lit(" --> "), _clock(F.col("end_s")), F.lit("\n"), text)
+    below = F.concat(F.lit("\n"), F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n"))
+    block = F.concat(_clock(F.col("start_s")), F.lit(" --> "), _clock(F.col("end_s")), F.regexp_replace(below, r"\n\s*\n", "\n"))
     line = F.transform(F.array_sort(F.collect_list(F.struct("idx", block.alias("block")))), lambda x: x["block"])
     whole = cues.groupBy("video_id", "language", "kind").agg(F.concat(F.lit("WEBVTT\n\n"), F.array_join(line, "\n\n"), F.lit("\n")).alias("value"))
     if packed:

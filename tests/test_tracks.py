@@ -65,3 +65,27 @@ def test_a_long_track_is_read_at_once(spark, tmp_path):
     rows = sorted(spark.read.parquet(f"{tmp_path}/out").collect(), key=lambda r: r.idx)
     assert [(r.start_s, r.duration_s) for r in rows] == [(float(i), 0.5) for i in range(12000)]
     assert [r.text.strip() for r in rows] == [f"{'word ' * 200}{i}" for i in range(12000)]
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_text_after_an_empty_line_stays(spark, tmp_path, packed):
+    texts = ["\nfirst", " \r\n\n second\n\n", "\n\n", "third", "\t\n00:00:09.000 --> 00:00:10.000\n\nWEBVTT"]
+    cues = spark.createDataFrame([("v", "en", "manual", i, 1.0 * i, 1.0 * i + 1, t) for i, t in enumerate(texts)], CUES)
+    tracks.write_tracks(cues, f"{tmp_path}/t", packed=packed)
+    got = tracks.read_tracks(spark, f"{tmp_path}/t", packed=packed).orderBy("idx").collect()
+    assert [(r.idx, r.start_s, r.text.strip()) for r in got] == [(0, 0.0, "first"), (1, 1.0, "second"), (2, 2.0, ""), (3, 3.0, "third"), (4, 4.0, "00:00:09.000 --> 00:00:10.000\nWEBVTT")]
+
+
+def test_the_query_as_its_sql_on_odd_rows(spark, tmp_path):
+    import duckdb
+    from compare import rows
+
+    from cuewright.plans.oracles import ORACLES
+
+    odd = [(1, 0, "\nfirst"), (1, 1, " \r\n\n second\n\nthird"), (1, 2, None), (1, 3, ""), (1, 4, "\n \n"), (1, 5, "x"), (None, 0, "nobody"), (2, 0, "00:00:01.000 --> 00:00:02.000"), (2, 1, "\t\n00:00:01.000 --> 00:00:02.000\n\nWEBVTT"), (3, 0, "de"), (-1, 0, "a\rb"), (-3, 0, "de")]
+    spark.createDataFrame(odd, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(ORACLES["caption_tracks"])
+    got = queries.QUERIES["caption_tracks"](spark, str(tmp_path))
+    assert rows(got.columns, map(tuple, got.collect())) == rows([c[0] for c in want.description], want.fetchall())
