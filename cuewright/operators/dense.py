@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import cosine_confidence
 from ..shared import materialize
 from ..shipping import ship
-from .lexical import DIGITS, ranked
+from .lexical import ranked
+from .tops import Best
 
 #: Query vectors that tasks hold at once (as float64); a larger query set is answered in several passes.
 BLOCK_BYTES = 16 << 20
@@ -50,25 +51,18 @@ def _one_pass(vectors: DataFrame, ids: list[int], block: np.ndarray, k: int) ->
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, asked = shared.value
-        # The best k so far of the whole task: scores and ids, best first, ties by id, as the final rank has them.
-        near, own = np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64)
+        held = Best(len(names), k)
         for batch in batches:
             x, there = _matrix(batch.column(1), asked.shape[1])
             if not len(x):
                 continue
-            every, unit = batch.column(0).to_numpy(zero_copy_only=False)[there], _unit_rows(x)
-            step = max(1, CELLS // len(names))
-            for at in range(0, len(unit), step):
-                new, ids = np.round(asked @ unit[at : at + step].T, DIGITS), every[at : at + step]
-                if near.shape[1] == k:  # most vectors are no better than the last of the best for any query
-                    able = (new >= near[:, -1:]).any(axis=0)
-                    new, ids = new[:, able], ids[able]
-                near = np.hstack([near, new])
-                own = np.hstack([own, np.broadcast_to(ids, (len(names), len(ids)))])
-                pick = np.lexsort((own, -near), axis=1)[:, :k]
-                near, own = np.take_along_axis(near, pick, axis=1), np.take_along_axis(own, pick, axis=1)
-        rows = np.repeat(np.arange(len(names)), near.shape[1])
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(names)[rows]), pa.array(own.ravel()), pa.array(near.ravel())], names=["query_id", "passage_id", "score"])
+            every = batch.column(0).to_numpy(zero_copy_only=False)[there]
+            line = np.argsort(every, kind="stable")
+            every, unit, step = every[line], _unit_rows(x[line]).T, max(1, CELLS // len(x))
+            for at in range(0, len(names), step):
+                held.offer(at, asked[at : at + step] @ unit, every)
+        rows, own, near = held.hits()
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(names)[rows]), pa.array(own), pa.array(near)], names=["query_id", "passage_id", "score"])
 
     return vectors.select("passage_id", "vector").mapInArrow(best, "query_id long, passage_id long, score double")
 

@@ -135,7 +135,7 @@ def model_embed(texts: DataFrame, load: Callable[[], Callable[[list[str]], np.nd
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(x), pa.list_(pa.float32()))], names=["passage_id", "vector"])
 
     ship(texts.sparkSession)
-    return texts.select("passage_id", "text").mapInArrow(run, "passage_id long, vector array<float>")
+    return texts.select("passage_id", "text").mapInArrow(run, T.StructType([T.StructField("passage_id", texts.schema["passage_id"].dataType), T.StructField("vector", T.ArrayType(T.FloatType()))]))
 
 
 def embed(texts: DataFrame, embedder: str, dim: int = DIM, model: str = "", load: str = "", query: bool = False) -> DataFrame:

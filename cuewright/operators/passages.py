@@ -181,5 +181,26 @@ def pack(timeline: DataFrame, packing: Packing = Packing()) -> DataFrame:
     return scan(whole_units(timeline, packing), ["video_id"], ["start"], lambda: _Packer(packing), PASSAGES)
 
 
+class _Packers:
+    """A packer for each of several sizes, fed with the same units."""
+
+    def __init__(self, packings: list[Packing]) -> None:
+        self.own = [_Packer(p) for p in packings]
+
+    def feed(self, row: dict) -> list[tuple]:
+        return [(x.p.max_chars, *r) for x in self.own for r in x.feed(row)]
+
+    def close(self) -> list[tuple]:
+        return [(x.p.max_chars, *r) for x in self.own for r in x.close()]
+
+
+def pack_sizes(timeline: DataFrame, packings: list[Packing]) -> DataFrame:
+    """pack for several packings that differ in sizes only, with max_chars before its columns: units are made once."""
+    if len({(p.words_per_window, p.punctuation_density_threshold) for p in packings}) > 1:
+        raise ValueError("packings with other units")
+    units = whole_units(timeline, min(packings, key=lambda p: p.max_chars))
+    return scan(units, ["video_id"], ["start"], lambda: _Packers(packings), f"max_chars int, {PASSAGES}")
+
+
 def passages_of(cues: DataFrame, packing: Packing = Packing()) -> DataFrame:
     return pack(spans(cues), packing)

@@ -13,10 +13,10 @@ from ..operators.calibrate import threshold_sweep
 from ..operators.cases import with_depth
 from ..operators.citations import context, within_budget
 from ..operators.metrics import citation_scores, passage_iou, retrieval_scores
-from ..operators.passages import Packing, pack
+from ..operators.passages import Packing, pack, pack_sizes
 from ..shared import materialize
 from ..sources.settings import Settings
-from .retrieve import retrieve
+from .retrieve import asked_vectors, retrieve_each
 
 
 def case_spans(cases: DataFrame) -> DataFrame:
@@ -38,17 +38,32 @@ def evaluate(name: str, cases: DataFrame, passages: DataFrame, settings: Setting
     """
     if load is not None:
         return _evaluate_answers(name, cases, passages, settings, vectors, load, combined)
-    spans, none = case_spans(cases), F.lit(None).cast("double")
-    hits = materialize(_search(name, cases.withColumn("search_text", F.col("question")), passages, settings, vectors))
-    out = _with_top(cases, hits).join(retrieval_scores(hits, spans, cases, settings.top_k), "case_id")
-    return out.withColumns({"refused": F.lit(False), "has_answer": F.lit(False), "citation_precision": F.lit(0.0), "citation_hit_rate": F.lit(0.0), **dict.fromkeys(ans.JUDGED, none), "retriever": F.lit(name), "latency_ms": none})
+    return evaluate_each((name,), cases, passages, settings, vectors)
+
+
+def evaluate_each(names: tuple[str, ...], cases: DataFrame, passages: DataFrame, settings: Settings = Settings(), vectors: DataFrame | None = None) -> DataFrame:
+    """evaluate without a model, for several retrievers, which share what they search for."""
+    spans, none, out = case_spans(cases), F.lit(None).cast("double"), []
+    for name, found in _search_each(names, cases.withColumn("search_text", F.col("question")), passages, settings, vectors).items():
+        hits = materialize(found)
+        one = _with_top(cases, hits).join(retrieval_scores(hits, spans, cases, settings.top_k), "case_id")
+        out.append(one.withColumns({"refused": F.lit(False), "has_answer": F.lit(False), "citation_precision": F.lit(0.0), "citation_hit_rate": F.lit(0.0), **dict.fromkeys(ans.JUDGED, none), "retriever": F.lit(name), "latency_ms": none}))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _numbered(asked: DataFrame) -> DataFrame:
+    return asked.select(F.xxhash64("case_id").alias("query_id"), "case_id", F.col("search_text").alias("text"))
+
+
+def _search_each(names: tuple[str, ...], asked: DataFrame, passages: DataFrame, settings: Settings, vectors: DataFrame | None, asked_with: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Hits of each retriever for asked(case_id, search_text), with their passages and the case."""
+    numbered = _numbered(asked)
+    each = retrieve_each(names, passages, numbered.select("query_id", "text"), settings, vectors, asked_with)
+    return {n: _located(hits, passages).join(numbered.select("query_id", "case_id"), "query_id") for n, hits in each.items()}
 
 
 def _search(name: str, asked: DataFrame, passages: DataFrame, settings: Settings, vectors: DataFrame | None) -> DataFrame:
-    """Hits of asked(case_id, search_text) with their passages and the case."""
-    numbered = asked.select(F.xxhash64("case_id").alias("query_id"), "case_id", F.col("search_text").alias("text"))
-    hits = retrieve(name, passages, numbered.select("query_id", "text"), settings, vectors)
-    return _located(hits, passages).join(numbered.select("query_id", "case_id"), "query_id")
+    return _search_each((name,), asked, passages, settings, vectors)[name]
 
 
 def _with_top(cases: DataFrame, hits: DataFrame) -> DataFrame:
@@ -117,17 +132,26 @@ def sweep_retrieval(timeline: DataFrame, cases: DataFrame, settings: Settings =
     (max_chars, retriever, n_passages, mean_s, recall_at_k, precision_at_k, mrr, ndcg_at_k, citation_iou). All videos
     of the timeline are one scope; cases: (case_id, question, answerable, spans).
     """
-    asked = cases.filter("answerable")
-    spans, out = case_spans(asked), []
-    for packing in size_grid(sizes):
-        rows = materialize(pack(timeline, packing))
-        own = rows.select(F.lit("all").alias("scope"), F.xxhash64("video_id", "idx").alias("passage_id"), "video_id", "start_s", "end_s", "text")
-        vectors = materialize(settings.embed(own.select("passage_id", "text")))
-        size = rows.agg(F.count("*").alias("n_passages"), F.avg(F.col("end_s") - F.col("start_s")).alias("mean_s"))
-        for name in names:
-            hits = materialize(_search(name, asked.withColumn("search_text", F.col("question")), own, settings, vectors))
-            each = retrieval_scores(hits, spans, asked, settings.top_k).join(passage_iou(hits, spans, asked), "case_id")
-            means = each.agg(*(F.avg(c).alias(c) for c in each.columns[1:]))
-            key = lambda one: one.withColumns({"max_chars": F.lit(packing.max_chars), "retriever": F.lit(name)})  # noqa: B023, E731
-            out.append(key(size).join(key(means), ["max_chars", "retriever"]))
-    return reduce(DataFrame.unionByName, out).select("max_chars", "retriever", "n_passages", "mean_s", "recall_at_k", "precision_at_k", "mrr", "ndcg_at_k", "citation_iou")
+    asked = materialize(cases.filter("answerable").withColumn("search_text", F.col("question")))
+    spans, numbered = case_spans(asked), _numbered(asked)
+    asked_with = asked_vectors(numbered, settings) if set(names) - {"sparse"} else None
+    rows = materialize(pack_sizes(timeline, size_grid(sizes)).withColumn("passage_id", F.xxhash64("video_id", "idx")), "max_chars")
+    # Passages of all sizes of a video follow each other, and what they have in common is hashed once.
+    every = settings.embed(rows.select(F.struct("max_chars", F.col("passage_id").alias("id")).alias("passage_id"), "text"))
+    vectors, found = materialize(every.select("passage_id.max_chars", F.col("passage_id.id").alias("passage_id"), "vector"), "max_chars"), []
+    for size in sizes:
+        of_size = F.col("max_chars") == size
+        own = rows.filter(of_size).select(F.lit("all").alias("scope"), "passage_id", "video_id", "start_s", "end_s", "text")
+        each = _search_each(names, asked, own, settings, vectors.filter(of_size).drop("max_chars"), asked_with)
+        found += [materialize(hits.withColumns({"max_chars": F.lit(size), "retriever": F.lit(name)})) for name, hits in each.items()]
+    # A case of a size and a retriever is a case of its own, so that all are scored together.
+    keys = asked.sparkSession.createDataFrame([(s, n) for s in sizes for n in names], "max_chars int, retriever string")
+    case = F.struct("max_chars", "retriever", "case_id").alias("case_id")
+    hits = reduce(DataFrame.unionByName, found).withColumn("case_id", case)
+    spans, asked = spans.crossJoin(keys).withColumn("case_id", case).drop(*keys.columns), asked.select("case_id").crossJoin(keys).select(case)
+    scores = retrieval_scores(hits, spans, asked, settings.top_k).join(passage_iou(hits, spans, asked), "case_id")
+    means = scores.groupBy("case_id.max_chars", "case_id.retriever").agg(*(F.avg(c).alias(c) for c in scores.columns[1:]))
+    size = rows.groupBy("max_chars").agg(F.count("*").alias("n_passages"), F.avg(F.col("end_s") - F.col("start_s")).alias("mean_s"))
+    # Without answerable cases, or without passages, a size and retriever still has its row.
+    told = keys.join(size, "max_chars", "left").join(means, ["max_chars", "retriever"], "left").withColumn("n_passages", F.coalesce("n_passages", F.lit(0)))
+    return told.select("max_chars", "retriever", "n_passages", "mean_s", "recall_at_k", "precision_at_k", "mrr", "ndcg_at_k", "citation_iou")

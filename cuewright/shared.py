@@ -19,8 +19,11 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{base}/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """df written once and read back: several uses then share one run, model calls included, and lost executors cost no rerun."""
+def materialize(df: DataFrame, *by: str) -> DataFrame:
+    """df written once and read back: several uses then share one run, model calls included, and lost executors cost no rerun.
+
+    by: columns of which some values will be read, each value in files of its own.
+    """
     path = scratch_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -4,13 +4,15 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from compare import FOLDER
 from pyspark.sql import functions as F
 from test_queries import plain_scores
 
 from cuewright.functions.tokens import STOPWORDS
-from cuewright.operators import cues, lexical, passages, timeline
+from cuewright.operators import cues, dense, lexical, passages, timeline
+from cuewright.operators.tops import Best
 from cuewright.plans import fixtures as fx
 from cuewright.plans.queries import QUERIES, _first_questions, _index
 from cuewright.sources.settings import Settings
@@ -134,3 +136,34 @@ def test_tiles_give_what_all_scores_ranked_give(spark, monkeypatch):
             assert sorted(got.collect()) == sorted(want.select(*got.columns).collect())
     rows = lexical.best(passages, queries, 2).groupBy("scope", "query_id").count()
     assert rows.agg(F.max("count")).first()[0] <= 2 * lexical.TILES < 90 / 2
+
+
+def test_best_of_blocks_is_what_sorting_gives():
+    rng = np.random.default_rng(3)
+    for k, positive in ((1, False), (3, True), (5, False)):
+        scores = np.round(rng.normal(size=(7, 700)), 1) * (rng.random((7, 700)) < 0.9)  # many ties, and many zeros
+        scores[2], scores[3, 5:] = -1.0, 0.0
+        held = Best(7, k, positive)
+        for first, stop in ((300, 700), (0, 2), (2, 300)):
+            for row in (0, 3):
+                held.offer(row, scores[row : row + 3 + row // 3, first:stop], 10 * np.arange(first, stop))
+        want = [(q, 10 * i, scores[q, i]) for q in range(7) for i in sorted((i for i in range(700) if scores[q, i] > 0 or not positive), key=lambda i: (-scores[q, i], i))[:k]]
+        assert list(zip(*(x.tolist() for x in held.hits()))) == want
+
+
+def test_sizes_packed_together(spark):
+    line = timeline.spans(cues.clean(fx.cues(spark, FOLDER))).cache()
+    every = passages.pack_sizes(line, [passages.Packing(size, size // 6, size // 3) for size in (900, 60, 300)])
+    for size in (900, 60, 300):
+        one = passages.pack(line, passages.Packing(size, size // 6, size // 3))
+        assert sorted(every.filter(F.col("max_chars") == size).drop("max_chars").collect()) == sorted(one.collect())
+
+
+@pytest.mark.parametrize("name, searches, packings", [("chunk_retrieval_sweep", 4, 1), ("evaluate_retrievers", 1, 1)])
+def test_what_retrievers_share_is_made_once(spark, monkeypatch, name, searches, packings):
+    """Each size is searched once by vectors and once by terms, whatever the number of retrievers, and units are made once for all sizes."""
+    did = Counter()
+    for module, f in ((dense, "retrieve"), (lexical, "retrieve"), (passages, "whole_units")):
+        monkeypatch.setattr(module, f, lambda *a, key=(module.__name__, f), whole=getattr(module, f), **b: (did.update([key]), whole(*a, **b))[1])
+    QUERIES[name](spark, FOLDER)
+    assert [did[m.__name__, f] for m, f in ((dense, "retrieve"), (lexical, "retrieve"), (passages, "whole_units"))] == [searches, searches, packings]
