@@ -100,7 +100,7 @@ def ranked(hits: DataFrame, k: int, by: str = "score", tie: str = "passage_id",
     return hits.withColumn("rank", F.row_number().over(line)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
-def _best_of_tile(passage: tuple[np.ndarray, ...], query: tuple[np.ndarray, ...], passages: int, queries: int, k: int) -> Best:
+def best_of_tile(passage: tuple[np.ndarray, ...], query: tuple[np.ndarray, ...], passages: int, queries: int, k: int) -> Best:
     """The best k passages of each query of a tile, from postings (passage, term, w) and (query, term, x), passages and queries by number.
 
     Terms with pairs in many cells are multiplied as matrices, the pairs of all others are looked up.
@@ -191,7 +191,7 @@ def best(passages: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: flo
             return np.repeat(number, np.diff(lists.offsets.to_numpy())), flat("ts"), flat(values)
 
         place = pc.index_in(posted_.column("passage_id").chunk(0), ids).to_numpy(zero_copy_only=False).astype(np.int64)
-        row, own, told = _best_of_tile(spread_out(posted_, place, "ws"), spread_out(asked_, np.arange(len(names)), "xs"), len(ids), len(names), k).hits()
+        row, own, told = best_of_tile(spread_out(posted_, place, "ws"), spread_out(asked_, np.arange(len(names)), "xs"), len(ids), len(names), k).hits()
         scope = pa.repeat(posted_.column("scope")[0], len(row))
         columns = [names.take(pa.array(row)), scope, ids.take(pa.array(own)), pa.array(told)]
         return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)

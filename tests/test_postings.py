@@ -1,7 +1,9 @@
 """The kept index against search over the passages themselves."""
 
 import random
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cuewright.operators import lexical
@@ -66,3 +68,29 @@ def test_documents_are_not_read_at_query_time(spark):
     own.add(fx.passages(spark, FOLDER))
     plan = own.top_k(fx.questions(spark, FOLDER), 5)._jdf.queryExecution().optimizedPlan().toString()
     assert "documents" not in plan and "text" not in plan
+
+
+def test_texts_are_dealt_by_cell_and_not_by_scope(spark, monkeypatch):
+    """Texts of one scope would all go to one task; they go once, to the task of their cell, and no row of a term is shuffled before its block is made."""
+    plans, whole = [], postings.materialize
+    monkeypatch.setattr(postings, "materialize", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), whole(df))[1])
+    PostingIndex(spark, scratch_folder(spark)).add(spark.createDataFrame(some(300, 4), PASSAGES))
+    made = [p for p in plans if "regexp_extract_all" in p]
+    assert len(made) == 1 and made[0].count("hashpartitioning(") == 1 and "hashpartitioning(cell" in made[0]
+
+
+def test_blocks_of_batches_cut_anywhere(monkeypatch):
+    rng, words = random.Random(5), [f"w{i}" for i in range(9)]
+    lines = [(c, None if n == 0 else n // 2, [rng.choice(words) for _ in range(rng.randrange(6))]) for c in range(7) for n in range(40)]
+    want = Counter()
+    for cell, passage, terms in lines:
+        for term in ["", *terms]:
+            want[cell, term, passage, len(terms)] += 1
+    schema = pa.schema([("scope", pa.string()), ("cell", pa.int64()), ("passage_id", pa.int64()), ("terms", pa.list_(pa.string()))])
+    table = pa.Table.from_pylist([{"scope": f"s{c}" if c else None, "cell": c, "passage_id": p, "terms": t} for c, p, t in lines], schema)
+    for size, most in ((7, 1), (1000, 1), (11, 150), (1000, 1 << 20)):
+        monkeypatch.setattr(postings, "BLOCK_TERMS", most)
+        blocks = [r for b in postings._blocks(iter(table.to_batches(size))) for r in b.to_pylist()]
+        assert len({(r["cell"], r["term"]) for r in blocks}) == len(blocks)
+        assert {(r["cell"], r["term"], i, n): f for r in blocks for i, f, n in zip(r["ids"], r["tfs"], r["lens"])} == want
+        assert all(r["n"] == len(r["ids"]) and r["max_tf"] == max(r["tfs"]) and r["min_len"] == min(r["lens"]) and r["scope"] == (f"s{r['cell']}" if r["cell"] else None) for r in blocks)
