@@ -21,6 +21,8 @@ K1, B = 1.5, 0.75
 PAIRS = 1 << 21
 #: What a tile of passages and queries holds at most, about: passages, their postings, queries, and their terms; and the tiles that there should be at least.
 PASSAGES, POSTINGS, QUERIES, TERMS, TILES = 16384, 1 << 21, 1 << 15, 1 << 20, 16
+#: Parts that tiles are dealt to at most.
+MOST_PARTS = 2048
 #: Scores, and pairs of a posting and a query, that a tile works out in one step.
 CELLS = 1 << 20
 #: Terms that a tile multiplies as matrices at most, and cells that this takes for the time of one pair that is looked up.
@@ -196,7 +198,10 @@ def best(passages: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: flo
         columns = [names.take(pa.array(row)), scope, ids.take(pa.array(own)), pa.array(told)]
         return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    return left.groupBy("scope", "i", "j").cogroup(right.groupBy("scope", "i", "j")).applyInArrow(run, schema)
+    # Tiles take much time for few bytes, so Spark is told into how many parts they go: joined by bytes, some tasks would have many.
+    parts = min(MOST_PARTS, 2 * sides * (stats.agg(F.sum("blocks")).first()[0] or 1))
+    dealt = [one.repartition(parts, "scope", "i", "j").groupBy("scope", "i", "j") for one in (left, right)]
+    return dealt[0].cogroup(dealt[1]).applyInArrow(run, schema)
 
 
 def retrieve(passages: DataFrame, queries: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:

@@ -135,19 +135,19 @@ def sweep_retrieval(timeline: DataFrame, cases: DataFrame, settings: Settings =
     asked = materialize(cases.filter("answerable").withColumn("search_text", F.col("question")))
     spans, numbered = case_spans(asked), _numbered(asked)
     asked_with = asked_vectors(numbered, settings) if set(names) - {"sparse"} else None
-    rows = materialize(pack_sizes(timeline, size_grid(sizes)).withColumn("passage_id", F.xxhash64("video_id", "idx")), "max_chars")
-    # Passages of all sizes of a video follow each other, and what they have in common is hashed once.
+    rows = materialize(pack_sizes(materialize(timeline), size_grid(sizes)).withColumn("passage_id", F.xxhash64("video_id", "idx")))
+    # Passages of all sizes of a video follow each other: what they have in common is hashed once, and each task writes some of each size.
     every = settings.embed(rows.select(F.struct("max_chars", F.col("passage_id").alias("id")).alias("passage_id"), "text"))
     vectors, found = materialize(every.select("passage_id.max_chars", F.col("passage_id.id").alias("passage_id"), "vector"), "max_chars"), []
     for size in sizes:
         of_size = F.col("max_chars") == size
         own = rows.filter(of_size).select(F.lit("all").alias("scope"), "passage_id", "video_id", "start_s", "end_s", "text")
         each = _search_each(names, asked, own, settings, vectors.filter(of_size).drop("max_chars"), asked_with)
-        found += [materialize(hits.withColumns({"max_chars": F.lit(size), "retriever": F.lit(name)})) for name, hits in each.items()]
+        found += [hits.withColumns({"max_chars": F.lit(size), "retriever": F.lit(name)}) for name, hits in each.items()]
     # A case of a size and a retriever is a case of its own, so that all are scored together.
     keys = asked.sparkSession.createDataFrame([(s, n) for s in sizes for n in names], "max_chars int, retriever string")
     case = F.struct("max_chars", "retriever", "case_id").alias("case_id")
-    hits = reduce(DataFrame.unionByName, found).withColumn("case_id", case)
+    hits = materialize(reduce(DataFrame.unionByName, found).withColumn("case_id", case))
     spans, asked = spans.crossJoin(keys).withColumn("case_id", case).drop(*keys.columns), asked.select("case_id").crossJoin(keys).select(case)
     scores = retrieval_scores(hits, spans, asked, settings.top_k).join(passage_iou(hits, spans, asked), "case_id")
     means = scores.groupBy("case_id.max_chars", "case_id.retriever").agg(*(F.avg(c).alias(c) for c in scores.columns[1:]))
