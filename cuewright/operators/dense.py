@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import cosine_confidence
 from ..shared import materialize
 from ..shipping import ship
-from .lexical import ranked
+from .lexical import DIGITS, ranked  # noqa: F401
 from .tops import Best
 
 #: Query vectors that tasks hold at once (as float64); a larger query set is answered in several passes.
